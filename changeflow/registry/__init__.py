@@ -5,6 +5,7 @@ import importlib
 MODULES = (
     "feed_queries",
     "merge_queries",
+    "plan_queries",
 )
 
 
