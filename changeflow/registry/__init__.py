@@ -6,6 +6,8 @@ MODULES = (
     "feed_queries",
     "merge_queries",
     "plan_queries",
+    "event_queries",
+    "table_queries",
 )
 
 

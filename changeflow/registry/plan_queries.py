@@ -101,11 +101,16 @@ def chunk_assign(spark, sf):
     return plans.chunk_by_position(f, CHUNK, "event_id")
 
 
-@query("chunk_assign_by_key")
+@query(
+    "chunk_assign_by_key",
+    f"""SELECT _commit_version, count(*) AS "rows", count(DISTINCT user_id) AS parts
+FROM ({fx.FEED}) f GROUP BY 1""",
+)
 def chunk_by_key(spark, sf):
-    """Chunk sizes by key hash (a hash DuckDB lacks); no key lies in two chunks."""
+    """As many (key, chunk) pairs as keys: no key lies in two chunks."""
     rows = plans.chunk_by_key(fx.feed(spark, sf), ["user_id"], 8)
-    return rows.groupBy("_commit_version", "chunk").agg(F.count(F.lit(1)).alias("rows"))
+    parts = F.count_distinct("user_id", "chunk").alias("parts")
+    return rows.groupBy("_commit_version").agg(F.count(F.lit(1)).alias("rows"), parts)
 
 
 @query(
