@@ -50,9 +50,11 @@ def _greedy_groups(
     # leads[e]: entering at place e, where the next block is entered and how many groups start here.
     leads = f"""transform(sequence(0, {last}), e -> aggregate(sequence(0, m - 1),
       named_struct('at', e, 'n', 0L),
-      (s, p) -> CASE WHEN s.at = p THEN named_struct('at', following[p], 'n', s.n + 1) ELSE s END,
+      (s, p) -> CASE WHEN s.at = p THEN named_struct('at', f[p], 'n', s.n + 1) ELSE s END,
       s -> named_struct('at', greatest(s.at - m, 0), 'n', s.n)))"""
-    blocks = blocks.withColumn("following", F.expr(following)).withColumn("leads", F.expr(leads))
+    # The one-element transform binds the array to f, so it is built once and not per use.
+    bound = f"transform(array({following}), f -> named_struct('following', f, 'leads', {leads}))[0]"
+    blocks = blocks.withColumn("way", F.expr(bound)).select("block", "a", "m", "way.*")
     entries = blocks.agg(
         F.array_sort(F.collect_list(F.struct("block", "leads"))).alias("b")
     ).select(
@@ -69,16 +71,11 @@ def _greedy_groups(
     starts = """aggregate(sequence(0, m - 1),
       named_struct('at', entry, 'out', cast(array() AS array<int>)),
       (s, p) -> CASE WHEN s.at = p
-        THEN named_struct('at', following[p], 'out', array_append(s.out, p)) ELSE s END).out"""
-    numbered = blocks.join(entries, "block").withColumn("starts", F.expr(starts))
-    return numbered.select(
-        F.inline(
-            F.expr(
-                """transform(slice(a, 1, m), (x, p) -> named_struct('version', x.version,
-                  'rows', x.rows, 'group', groups - 1 + size(filter(starts, q -> q <= p))))"""
-            )
-        )
-    )
+        THEN named_struct('at', f[p], 'out', array_append(s.out, p)) ELSE s END).out"""
+    starts = f"transform(array(following), f -> {starts})[0]"
+    rows = f"""flatten(transform(array({starts}), t -> transform(slice(a, 1, m), (x, p) -> named_struct(
+      'version', x.version, 'rows', x.rows, 'group', groups - 1 + size(filter(t, q -> q <= p))))))"""
+    return blocks.join(entries, "block").select(F.inline(F.expr(rows)))
 
 
 def plan_adaptive(

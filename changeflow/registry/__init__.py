@@ -8,6 +8,7 @@ MODULES = (
     "plan_queries",
     "event_queries",
     "table_queries",
+    "stream_queries",
 )
 
 
