@@ -58,3 +58,8 @@ class Folder:
 
     def remove(self, name: str) -> None:
         self._fs.delete(self._at(name), True)
+
+    def usage(self) -> tuple[int, int]:
+        """Number and total size of the parquet files in the folder."""
+        files = [s for s in self._fs.listStatus(self._at("")) if s.getPath().getName().endswith(".parquet")]
+        return len(files), sum(s.getLen() for s in files)

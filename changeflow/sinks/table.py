@@ -47,7 +47,12 @@ PART, BUCKET = "_part", "_bucket"
 STATE, FEED = "state", "feed"
 
 # A staged batch is broadcast to the target's side up to this many bytes of values.
-BROADCAST_BYTES = 64 * 1024 * 1024
+BROADCAST_BYTES = 32 * 1024 * 1024
+
+# A merge may leave rows where they are, without a shuffle, while files are this large on average
+# or a bucket has at most this many of them.
+GOOD_FILE_BYTES = 32 * 1024 * 1024
+FEW_FILES = 8
 
 
 @dataclass(frozen=True)
@@ -58,6 +63,8 @@ class Extent:
     first: int
     last: int
     rows: int
+    files: int = 1
+    bytes: int = 0
 
 
 @dataclass(frozen=True)
@@ -328,7 +335,7 @@ class VersionedTable:
         after = self._next(base, job, progress, info, schema=_nullable(schema))
         if n:
             rows.write.mode("overwrite").parquet(self._folder(after.version, STATE))
-        new = [Extent(None, after.version, after.version, n)] if n else []
+        new = [Extent(None, after.version, after.version, n, *self._files(after.version))] if n else []
         if mode == "append":
             extents = _joined([*base.extents, *new])
         else:
@@ -368,26 +375,36 @@ class VersionedTable:
         batch = staged.drop(BUCKET)
         old_schema = base.schema or T.StructType([f for f in batch.schema.fields if f.name not in META])
         target = self._rows(old_schema, affected)
-        rows = state_and_feed(target, batch, spec, small)
-        schema = T.StructType([f for f in rows.schema.fields if f.name not in (PART, CHANGE_TYPE)])
-        now = F.when(F.col(PART) == FEED, F.timestamp_millis(F.lit(int(time.time() * 1000))))
-        rows = with_key_bucket(rows.withColumn(COMMIT_TIMESTAMP, now), spec.keys, buckets, BUCKET)
+        # A broadcast merge leaves each target row in the task that read its bucket, so its rows can
+        # be written in place. Only the inserts are gathered by bucket, unless files got too small.
+        files, size = sum(e.files for e in affected), sum(e.bytes for e in affected)
+        in_place = small and bool(affected) and all(e.bucket is not None for e in affected)
+        in_place &= files <= FEW_FILES * len(affected) or size >= GOOD_FILE_BYTES * files
+        matched, inserted = state_and_feed(target, batch, spec, small)
+        matched, inserted = (with_key_bucket(d, spec.keys, buckets, BUCKET) for d in (matched, inserted))
         # Rebalancing gathers the rows of a bucket, yet splits a bucket too large for one task.
+        if in_place:
+            rows = matched.unionByName(inserted.hint("rebalance", PART, BUCKET))
+        else:
+            rows = matched.unionByName(inserted).hint("rebalance", PART, BUCKET)
+        schema = T.StructType(
+            [f for f in rows.schema.fields if f.name not in (PART, BUCKET, CHANGE_TYPE)]
+        )
+        now = F.when(F.col(PART) == FEED, F.timestamp_millis(F.lit(int(time.time() * 1000))))
+        rows = rows.withColumn(COMMIT_TIMESTAMP, now)
         data = f"{self.path}/data/{COMMIT_VERSION}={version}"
-        rows.hint("rebalance", PART, BUCKET).write.mode("overwrite").partitionBy(PART, BUCKET).parquet(data)
+        rows.write.mode("overwrite").partitionBy(PART, BUCKET).parquet(data)
 
-        written = (
-            self.spark.read.schema(f"{CHANGE_TYPE} string, {PART} string, {BUCKET} int")
-            .parquet(data)
-            .groupBy(PART, BUCKET, CHANGE_TYPE)
-            .count()
-            .collect()
-        )
-        kinds = {k: sum(r["count"] for r in written if r[CHANGE_TYPE] == k) for k in (INSERT, POSTIMAGE, DELETE)}
-        changed = sum(r["count"] for r in written if r[PART] == FEED)
+        written = self._written(data)
+        kinds = {k: sum(r[k] for r in written) for k in (INSERT, POSTIMAGE, DELETE)}
+        changed = sum(r["rows"] for r in written if r[PART] == FEED)
         kept = [] if base.keys != spec.keys else [e for e in base.extents if e not in affected]
         extents = kept + sorted(
-            (Extent(r[BUCKET], version, version, r["count"]) for r in written if r[PART] == STATE),
+            (
+                Extent(r[BUCKET], version, version, r["rows"], r["files"], r["bytes"])
+                for r in written
+                if r[PART] == STATE
+            ),
             key=lambda e: e.bucket,
         )
         outcome = Outcome(
@@ -401,6 +418,45 @@ class VersionedTable:
         staging.remove(str(version))
         return outcome
 
+    def _files(self, version: int) -> tuple[int, int]:
+        """Files and bytes an append or overwrite wrote, from the folder's listing."""
+        return Folder(self.spark, self._folder(version, STATE)).usage()
+
+    def describe(self) -> DataFrame:
+        """One row: version, files, rows, bucket keys, whether a change feed can be read."""
+        s = self.snapshot()
+        return self.spark.createDataFrame(
+            [(s.version, sum(e.files for e in s.extents), s.rows, list(s.keys), s.version >= 0)],
+            "version bigint, num_files bigint, estimated_rows bigint, partition_columns array<string>, "
+            "feed_enabled boolean",
+        )
+
+    def _written(self, data: str) -> list:
+        """What a merge wrote, per part and bucket, counted from the files themselves.
+
+        Counters kept while writing could count twice when a lost executor's tasks run again.
+        """
+        schema = f"{CHANGE_TYPE} string, {PART} string, {BUCKET} int"
+        kinds = (INSERT, POSTIMAGE, DELETE)
+        per_file = (
+            self.spark.read.schema(schema)
+            .parquet(data)
+            .groupBy(PART, BUCKET, "_metadata.file_path", "_metadata.file_size")
+            .agg(
+                F.count(F.lit(1)).alias("rows"),
+                *[F.count_if(column(CHANGE_TYPE) == k).alias(k) for k in kinds],
+            )
+        )
+        return (
+            per_file.groupBy(PART, BUCKET)
+            .agg(
+                F.count(F.lit(1)).alias("files"),
+                F.sum("file_size").alias("bytes"),
+                *[F.sum(c).alias(c) for c in ("rows", *kinds)],
+            )
+            .collect()
+        )
+
     # Feeds from elsewhere -----------------------------------------------------------------
 
     def import_feed(self, feed: DataFrame) -> int:
@@ -434,7 +490,8 @@ class VersionedTable:
         after = self._next(base, "", None, None, keys=(), buckets=0)
         layout(self.read()).write.mode("overwrite").parquet(self._folder(after.version, STATE))
         outcome = Outcome(target_version=after.version, appended=base.rows, duration_ms=_since(started))
-        extents = [Extent(None, after.version, after.version, base.rows)] if base.rows else []
+        v = after.version
+        extents = [Extent(None, v, v, base.rows, *self._files(v))] if base.rows else []
         self._publish(after, operation, extents, outcome, "none", 0)
         return outcome
 
@@ -483,7 +540,8 @@ def _joined(extents: list[Extent]) -> list[Extent]:
     out: list[Extent] = []
     for e in extents:
         if out and e.bucket is None and out[-1].bucket is None and out[-1].last + 1 == e.first:
-            out[-1] = Extent(None, out[-1].first, e.last, out[-1].rows + e.rows)
+            p = out[-1]
+            out[-1] = Extent(None, p.first, e.last, p.rows + e.rows, p.files + e.files, p.bytes + e.bytes)
         else:
             out.append(e)
     return out

@@ -14,8 +14,10 @@ from pyspark.sql import types as T
 
 from changeflow.schema import EVENT_SCHEMA
 
-# Offsets travel inside the plan up to this many log partitions, and are joined beyond it.
-INLINE_PARTITIONS = 4_096
+# Offsets of so many log partitions travel inside the plan, of so many are broadcast; a log with
+# still more partitions is joined by a shuffle.
+INLINE_PARTITIONS = 32
+BROADCAST_PARTITIONS = 100_000
 
 
 def _body_text(body: Column, tag: str) -> Column:
@@ -81,9 +83,9 @@ def merge_offsets(known: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def offsets_to_dict(offsets: DataFrame) -> dict[str, int] | None:
-    """The offsets as a dict, or None if the log has more partitions than fit in a plan."""
-    rows = offsets.select("partition_id", "sequence_number").take(INLINE_PARTITIONS + 1)
-    return None if len(rows) > INLINE_PARTITIONS else {r[0]: r[1] for r in rows}
+    """The offsets as a dict, or None if the log has more partitions than may be broadcast."""
+    rows = offsets.select("partition_id", "sequence_number").take(BROADCAST_PARTITIONS + 1)
+    return None if len(rows) > BROADCAST_PARTITIONS else {r[0]: r[1] for r in rows}
 
 
 def _offset_column(offsets: dict[str, int]) -> Column:
@@ -102,8 +104,8 @@ def resume_events(
     """Events strictly after the stored offset of their partition.
 
     A partition without an offset is read from the start (``earliest``) or only beyond ``latest``,
-    the offsets when reading began. Offsets are one row per partition, so they go into the plan as
-    a map and the events are not shuffled.
+    the offsets when reading began. Offsets are one row per partition, so the events are not
+    shuffled for them.
     """
     start = initial_position(initial)
     if start == "latest" and latest is None:
@@ -112,13 +114,18 @@ def resume_events(
     after = []
     result = events
     for name, table in tables.items():
-        inline = table if isinstance(table, dict) else offsets_to_dict(table)
-        if inline is not None:
-            after.append(_offset_column(inline))
-        else:
-            t = table.select("partition_id", F.col("sequence_number").alias(f"__{name}"))
-            result = result.join(t, "partition_id", "left")
-            after.append(F.col(f"__{name}"))
+        known = table if isinstance(table, dict) else offsets_to_dict(table)
+        if known is not None and len(known) <= INLINE_PARTITIONS:
+            after.append(_offset_column(known))
+            continue
+        if isinstance(table, dict):
+            table = events.sparkSession.createDataFrame(
+                sorted(table.items()), "partition_id string, sequence_number bigint"
+            )
+        side = table.select("partition_id", F.col("sequence_number").alias(f"__{name}"))
+        small = known is not None and len(known) <= BROADCAST_PARTITIONS
+        result = result.join(F.broadcast(side) if small else side, "partition_id", "left")
+        after.append(F.col(f"__{name}"))
     # A partition in neither table has only new events.
     after = F.coalesce(*after)
     keep = after.isNull() | (F.col("sequence_number") > after)

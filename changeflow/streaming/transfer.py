@@ -292,7 +292,7 @@ class EventTransfer:
         rows = ev.resume_events(rows, start, self.spec.initial_position, latest)
         seen = ev.offsets_to_dict(ev.batch_offsets(rows))
         if seen is None:
-            raise ValueError(f"more than {ev.INLINE_PARTITIONS} log partitions")
+            raise ValueError(f"more than {ev.BROADCAST_PARTITIONS} log partitions")
         offsets = dict(stored.get("offsets", {}))
         for partition, number in seen.items():
             offsets[partition] = max(number, offsets.get(partition, number))
