@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from changeflow.schema import (
     CHANGE_TYPE,
@@ -14,20 +13,11 @@ from changeflow.schema import (
     COMMIT_VERSION,
     DELETE,
     column,
+    hashable_columns,
     require_columns,
 )
 
 
-def _holds_map(data_type: T.DataType) -> bool:
-    if isinstance(data_type, T.MapType | T.VariantType):
-        return True
-    if isinstance(data_type, T.ArrayType):
-        return _holds_map(data_type.elementType)
-    if isinstance(data_type, T.StructType):
-        return any(_holds_map(f.dataType) for f in data_type.fields)
-    return False
-
-
 def recency_order(
     df: DataFrame,
     keys: Sequence[str],
@@ -55,8 +45,7 @@ def recency_order(
         order.append(column(COMMIT_TIMESTAMP).desc_nulls_first())
     if CHANGE_TYPE in df.columns:
         order.append(F.coalesce(column(CHANGE_TYPE) == DELETE, F.lit(False)).asc())
-    hashable = [column(f.name) for f in df.schema.fields if not _holds_map(f.dataType)]
-    return order + [F.xxhash64(*hashable).asc()]
+    return order + [F.xxhash64(*[column(c) for c in hashable_columns(df)]).asc()]
 
 
 def latest_per_key(

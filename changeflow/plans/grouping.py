@@ -9,7 +9,7 @@ blocks then picks the entry that happens, and each block numbers its groups.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changeflow.plans.positions import row_positions, running_sum
@@ -122,9 +122,13 @@ def split_chunks(commits: DataFrame, split_above: int, chunk_target: int) -> Dat
     return cut.select("version", "chunk", "chunks", size.alias("chunk_rows"))
 
 
-def chunk_by_key(rows: DataFrame, keys, chunks: int) -> DataFrame:
+def key_chunk(keys, chunks: int) -> Column:
     """Chunk number by key hash: all changes of a key fall into one chunk."""
-    return rows.withColumn("chunk", F.pmod(F.xxhash64(*keys), F.lit(chunks)).cast("bigint"))
+    return F.pmod(F.xxhash64(*keys), F.lit(chunks)).cast("bigint")
+
+
+def chunk_by_key(rows: DataFrame, keys, chunks: int) -> DataFrame:
+    return rows.withColumn("chunk", key_chunk(keys, chunks))
 
 
 def chunk_by_position(

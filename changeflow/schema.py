@@ -42,6 +42,21 @@ def data_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in META]
 
 
+def _holds_map(data_type: T.DataType) -> bool:
+    if isinstance(data_type, T.MapType | T.VariantType):
+        return True
+    if isinstance(data_type, T.ArrayType):
+        return _holds_map(data_type.elementType)
+    if isinstance(data_type, T.StructType):
+        return any(_holds_map(f.dataType) for f in data_type.fields)
+    return False
+
+
+def hashable_columns(df: DataFrame) -> list[str]:
+    """Columns Spark can hash: all but maps and variants, also inside other types."""
+    return [f.name for f in df.schema.fields if not _holds_map(f.dataType)]
+
+
 def is_not_type(change_type: str, side: str | None = None) -> Column:
     """True for rows of any other type; a missing type counts as another type."""
     c = column(CHANGE_TYPE, side)

@@ -40,6 +40,7 @@ from changeflow.schema import (
     META,
     POSTIMAGE,
     column,
+    require_columns,
 )
 from changeflow.sinks.files import Folder
 
@@ -464,13 +465,14 @@ class VersionedTable:
 
         The feed's versions become commits in order, numbered from 0 without gaps.
         """
+        require_columns(feed, META, "not a change feed")
         if self.current_version() >= 0:
             raise ValueError(f"{self.path} is not empty")
         sizes = sorted((r["version"], r["rows"]) for r in feed_ops.commit_sizes(feed).collect())
-        data = feed.withColumn(PART, F.lit(FEED))
-        data.write.mode("overwrite").partitionBy(COMMIT_VERSION, PART).parquet(f"{self.path}/data")
         if sizes and [v for v, _ in sizes] != list(range(len(sizes))):
             raise ValueError("feed versions must run from 0 without gaps")
+        data = feed.withColumn(PART, F.lit(FEED)).hint("rebalance", COMMIT_VERSION)
+        data.write.mode("overwrite").partitionBy(COMMIT_VERSION, PART).parquet(f"{self.path}/data")
         schema = T.StructType([f for f in feed.schema.fields if f.name not in META])
         stored = T.StructType([f for f in feed.schema.fields if f.name != COMMIT_VERSION])
         for v, n in sizes:

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from changeflow.operators.maintenance import compacted, list_files, stale_files, zorder_cluster
 from changeflow.operators.merge import MergeSpec, merge
@@ -199,5 +200,8 @@ def test_progress_is_part_of_the_commit(spark, table):
 
 
 def test_feeds_must_be_dense(spark, table):
+    feed = spark.createDataFrame([(1, 1, "insert", 0), (1, 1, "insert", 5)], S)
+    with pytest.raises(ValueError, match="not a change feed"):
+        table.import_feed(feed)
     with pytest.raises(ValueError, match="gaps"):
-        table.import_feed(spark.createDataFrame([(1, 1, "insert", 0), (1, 1, "insert", 5)], S))
+        table.import_feed(feed.withColumn("_commit_timestamp", F.current_timestamp()))

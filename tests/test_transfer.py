@@ -24,7 +24,7 @@ from test_merge import KEY, random_feed, rows
 
 @pytest.fixture
 def feed(spark, folder):
-    f = random_feed(spark, 11)
+    f = random_feed(spark, 11).withColumn("_commit_timestamp", F.timestamp_seconds("_commit_version"))
     VersionedTable(spark, f"{folder}/s").import_feed(f)
     return f
 
