@@ -48,8 +48,8 @@ def quantile_ranks(df: DataFrame, columns: Sequence[str], bits: int = BITS) -> l
     them; NULLs get rank 0.
     """
     cuts = [i / 2**bits for i in range(1, 2**bits)]
-    values = df.select(*[_sortable(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
-    bounds = values.approxQuantile(values.columns, cuts, 1 / 2 ** (bits + 1))
+    accuracy = 2 ** (bits + 1)
+    bounds = df.agg(*[F.percentile_approx(_sortable(df, c), cuts, accuracy) for c in columns]).first()
     return [
         _search(_sortable(df, name), bound or [0.0] * len(cuts), bits)
         for name, bound in zip(columns, bounds, strict=True)

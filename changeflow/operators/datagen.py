@@ -1,7 +1,9 @@
-"""Test tables generated in parallel: every value is a hash of the row id."""
+"""Test tables generated in parallel: every value is a hash of the row id (a bigint column ``id``)."""
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,10 +25,23 @@ def row_ids(spark: SparkSession, rows: int) -> DataFrame:
     return spark.range(rows)
 
 
-def _hash(salt: str, bits: int = 60) -> Column:
-    """A non-negative number from id and salt, the same in every engine that has md5."""
-    digits = F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit(f"/{salt}"))), 1, bits // 4)
-    return F.conv(digits, 16, 10).cast("bigint")
+# A hash in plain integer arithmetic: no product leaves 63 bits, and any SQL engine can repeat it.
+PRIME = 2_147_483_647
+FACTORS = (48_271, 69_621, 39_373)
+
+
+def salt_number(salt: str) -> int:
+    return zlib.crc32(salt.encode()) % PRIME
+
+
+def _hash(salt: str) -> Column:
+    """A number in ``0 .. PRIME - 1`` from id and salt."""
+    a, b, c = FACTORS
+    n = salt_number(salt)
+    i = F.col("id")
+    x = ((i % PRIME + F.floor(i / PRIME).cast("bigint") * 7_919 + n) % PRIME * a + n) % PRIME
+    x = (x.bitwiseXOR(F.shiftright(x, 15)) * b + 1) % PRIME
+    return x.bitwiseXOR(F.shiftright(x, 13)) * c % PRIME
 
 
 def _below(salt: str, n: int) -> Column:
@@ -96,10 +111,10 @@ def wide_table(
         salt = f"c{i}"
         name, value = [
             ("str", F.md5(F.concat(F.col("id").cast("string"), F.lit(f"/{salt}")))),
-            ("int64", _hash(salt) - 2**59),
-            ("dbl", _hash(salt, 52) / F.lit(float(2**52)) * 1_000_000.0),
+            ("int64", _hash(salt) * 2**32 + _hash(salt + "+") * 2 - (2**62 - 2**32)),
+            ("dbl", _hash(salt) / F.lit(float(PRIME)) * 1_000_000.0),
             ("bool", _below(salt, 2) == 0),
-            ("int32", (_below(salt, 2**32) - 2**31).cast("int")),
+            ("int32", (_hash(salt) * 2 - (PRIME - 1)).cast("int")),
         ][i % 5]
         made.append(value.alias(f"{name}_{i:02d}"))
     if version is not None:

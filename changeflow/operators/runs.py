@@ -30,22 +30,23 @@ def rows_per_sec(runs: DataFrame) -> DataFrame:
     )
 
 
-def rolling_mean(runs: DataFrame, measure: str, last: int, name: str) -> DataFrame:
-    """Mean of the newest ``last`` values up to each run, rounded down.
+def rolling_means(runs: DataFrame, **means: tuple[str, int]) -> DataFrame:
+    """Per name, the mean of a measure's newest values up to each run, rounded down.
 
-    Runs are numbered per job and cut into blocks of ``last``. A block gets the block before it as
-    context, so no task needs a whole job, however many runs it has.
+    ``means`` maps a name to ``(measure, how many)``. Runs are numbered per job and cut into blocks
+    as long as the longest mean. A block gets the block before it as context, so no task needs a
+    whole job, however many runs it has.
     """
-    block = F.floor(F.col("__p") / last).cast("bigint")
-    placed = row_positions(runs, ["job"], "seq", name="__p").withColumn("__own", block)
+    longest = max(n for _, n in means.values())
+    own = F.floor(F.col("__p") / longest).cast("bigint")
+    placed = row_positions(runs, ["job"], "seq", name="__p").withColumn("__own", own)
     spread = placed.withColumn("__block", F.explode(F.array("__own", F.col("__own") + 1)))
-    w = Window.partitionBy("job", "__block").orderBy("seq").rowsBetween(1 - last, 0)
-    mean = F.floor(F.sum(measure).over(w) / F.count(measure).over(w)).cast("bigint")
-    return (
-        spread.withColumn(name, mean)
-        .where("__block = __own")
-        .drop("__p", "__own", "__block")
-    )
+    newest = Window.partitionBy("job", "__block").orderBy("seq")
+    for name, (measure, n) in means.items():
+        w = newest.rowsBetween(1 - n, 0)
+        mean = F.floor(F.sum(measure).over(w) / F.count(measure).over(w))
+        spread = spread.withColumn(name, mean.cast("bigint"))
+    return spread.where("__block = __own").drop("__p", "__own", "__block")
 
 
 def recent_runs(runs: DataFrame, newest: int = 50) -> DataFrame:

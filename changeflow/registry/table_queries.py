@@ -213,8 +213,8 @@ def _rolling(last):
 )
 def run_history_rolling(spark, sf):
     r = _runs(spark, sf).select("job", "seq", "duration_ms")
-    r = runs.rolling_mean(r, "duration_ms", 100, "mean_latency")
-    return runs.rolling_mean(r, "duration_ms", 50, "mean_duration").drop("duration_ms")
+    means = {"mean_latency": ("duration_ms", 100), "mean_duration": ("duration_ms", 50)}
+    return runs.rolling_means(r, **means).drop("duration_ms")
 
 
 @query(
@@ -228,12 +228,17 @@ def run_history_recent(spark, sf):
 # Generated tables take their row ids from a given table, so they grow with it.
 
 
-def _md5(salt, digits=15):
-    return f"CAST(concat('0x', substr(md5(concat(id, '/{salt}')), 1, {digits})) AS BIGINT)"
+def _hash(salt):
+    """The generator's hash, written out for SQL."""
+    p, n = datagen.PRIME, datagen.salt_number(salt)
+    a, b, c = datagen.FACTORS
+    x = f"(((id % {p} + (id // {p}) * 7919 + {n}) % {p}) * {a} + {n}) % {p}"
+    x = f"(xor({x}, ({x}) >> 15) * {b} + 1) % {p}"
+    return f"(xor({x}, ({x}) >> 13) * {c} % {p})"
 
 
 def _pick(values, salt):
-    return f"list_extract({values!r}, CAST({_md5(salt)} % {len(values)} AS INTEGER) + 1)"
+    return f"list_extract({values!r}, CAST({_hash(salt)} % {len(values)} AS INTEGER) + 1)"
 
 
 def _uuid(i):
@@ -243,18 +248,18 @@ def _uuid(i):
 
 
 _IDS = "SELECT event_id AS id FROM events"
-_REUSE = f"(id % 10 <> 0 AND {_md5('reuse')} % 1000000 < 300000)"
+_REUSE = f"(id % 10 <> 0 AND {_hash('reuse')} % 1000000 < 300000)"
 
 
 @query(
     "sample_events",
-    f"""SELECT {_uuid(f"CASE WHEN {_REUSE} THEN greatest(id - id % 10 - ({_md5('back')} % 10000) * 10, 0) ELSE id END")} AS event_id,
-  concat('acct-', lpad(CAST({_md5('account')} % 99999999 AS VARCHAR), 8, '0')) AS account_id,
-  TIMESTAMP '2024-06-01' - to_seconds({_md5('time')} % 3600) AS event_timestamp,
+    f"""SELECT {_uuid(f"CASE WHEN {_REUSE} THEN greatest(id - id % 10 - ({_hash('back')} % 10000) * 10, 0) ELSE id END")} AS event_id,
+  concat('acct-', lpad(CAST({_hash('account')} % 99999999 AS VARCHAR), 8, '0')) AS account_id,
+  TIMESTAMP '2024-06-01' - to_seconds({_hash('time')} % 3600) AS event_timestamp,
   {_pick(datagen.EVENT_TYPES, 'type')} AS event_type, {_pick(datagen.CATEGORIES, 'category')} AS category,
   {_pick(datagen.PRODUCTS, 'product')} AS product,
-  CAST(CAST({_md5('amount')} % 49999000 + 1000 AS DECIMAL(18, 0)) / 10000 AS DECIMAL(18, 4)) AS amount,
-  {_pick(datagen.CURRENCIES, 'currency')} AS currency, {_md5('eligible')} % 100 < 85 AS is_eligible,
+  CAST(CAST({_hash('amount')} % 49999000 + 1000 AS DECIMAL(18, 0)) / 10000 AS DECIMAL(18, 4)) AS amount,
+  {_pick(datagen.CURRENCIES, 'currency')} AS currency, {_hash('eligible')} % 100 < 85 AS is_eligible,
   {_pick(datagen.REGIONS, 'region')} AS region,
   CASE WHEN {_REUSE} THEN 'updated' ELSE {_pick(datagen.STATUSES, 'status')} END AS status,
   CAST(7 AS INTEGER) AS batch_id FROM ({_IDS}) i""",
@@ -266,10 +271,10 @@ def sample_events(spark, sf):
 
 @query(
     "wide_table",
-    f"""SELECT {_uuid('id')} AS event_id, TIMESTAMP '2024-06-01' - to_seconds({_md5('time')} % 2592000) AS event_timestamp,
-  md5(concat(id, '/c0')) AS str_00, {_md5('c1')} - 576460752303423488 AS int64_01,
-  CAST({_md5('c2', 13)} AS DOUBLE) / 4503599627370496.0::DOUBLE * 1000000.0::DOUBLE AS dbl_02,
-  {_md5('c3')} % 2 = 0 AS bool_03, CAST({_md5('c4')} % 4294967296 - 2147483648 AS INTEGER) AS int32_04,
+    f"""SELECT {_uuid('id')} AS event_id, TIMESTAMP '2024-06-01' - to_seconds({_hash('time')} % 2592000) AS event_timestamp,
+  md5(concat(id, '/c0')) AS str_00, {_hash('c1')} * 4294967296 + {_hash('c1+')} * 2 - 4611686014132420608 AS int64_01,
+  CAST({_hash('c2')} AS DOUBLE) / 2147483647.0::DOUBLE * 1000000.0::DOUBLE AS dbl_02,
+  {_hash('c3')} % 2 = 0 AS bool_03, CAST({_hash('c4')} * 2 - 2147483646 AS INTEGER) AS int32_04,
   md5(concat(id, '/c5')) AS str_05, id // 2500 AS _commit_version FROM ({_IDS}) i""",
 )
 def wide_table(spark, sf):

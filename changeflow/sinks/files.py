@@ -13,9 +13,9 @@ class Folder:
     def __init__(self, spark: SparkSession, path: str):
         self.path = path.rstrip("/")
         self._jvm = spark.sparkContext._jvm
-        self._gateway = spark.sparkContext._gateway
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
         self._fs = self._at("").getFileSystem(self._conf)
+        self._context = None
 
     def _at(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
@@ -43,13 +43,14 @@ class Folder:
             stream.write(bytearray(text.encode("utf-8")))
         finally:
             stream.close()
-        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(
-            self._at("").toUri(), self._conf
-        )
-        kind = self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
-        no_options = self._jvm.java.lang.reflect.Array.newInstance(kind, 0)
+        if self._context is None:
+            self._context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+                self._at("").toUri(), self._conf
+            )
+            kind = self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+            self._no_options = self._jvm.java.lang.reflect.Array.newInstance(kind, 0)
         try:
-            context.rename(temporary, self._at(name), no_options)
+            self._context.rename(temporary, self._at(name), self._no_options)
         except Exception as e:
             self._fs.delete(temporary, False)
             if self._fs.exists(self._at(name)):

@@ -239,10 +239,11 @@ class VersionedTable:
         outcome: Outcome,
         feed_kind: str,
         feed_rows: int,
+        before: tuple[Extent, ...] = (),
     ) -> None:
         """The commit itself: one JSON file."""
         v = snapshot.version
-        old = set(self.snapshot(v - 1).extents) if v else set()
+        old = set(before)
         merged = [e for e in extents if e not in old]
 
         def path(e: Extent) -> str:
@@ -317,7 +318,7 @@ class VersionedTable:
             return Outcome(**{**outcome.__dict__, "target_version": base.version})
         after = self._next(base, job, progress, info)
         outcome = Outcome(**{**outcome.__dict__, "target_version": after.version})
-        self._publish(after, "SKIP", list(base.extents), outcome, "none", 0)
+        self._publish(after, "SKIP", list(base.extents), outcome, "none", 0, base.extents)
         return outcome
 
     def _write(self, base, source, mode, job, progress, info, started) -> Outcome:
@@ -343,7 +344,7 @@ class VersionedTable:
             extents = new
         outcome = Outcome(source_rows=total, appended=n, target_version=after.version, duration_ms=_since(started))
         kind = "added" if mode == "append" else "replaced"
-        self._publish(after, mode.upper(), extents, outcome, kind, n)
+        self._publish(after, mode.upper(), extents, outcome, kind, n, base.extents)
         return outcome
 
     def _merge(self, base, source, spec, job, progress, info, started) -> Outcome:
@@ -415,7 +416,8 @@ class VersionedTable:
             base, job, progress, info, schema=_nullable(schema), feed_schema=None,
             keys=spec.keys, buckets=buckets,
         )
-        self._publish(after, "MERGE", extents, outcome, "stored" if changed else "none", changed)
+        kind = "stored" if changed else "none"
+        self._publish(after, "MERGE", extents, outcome, kind, changed, base.extents)
         staging.remove(str(version))
         return outcome
 
@@ -494,7 +496,7 @@ class VersionedTable:
         outcome = Outcome(target_version=after.version, appended=base.rows, duration_ms=_since(started))
         v = after.version
         extents = [Extent(None, v, v, base.rows, *self._files(v))] if base.rows else []
-        self._publish(after, operation, extents, outcome, "none", 0)
+        self._publish(after, operation, extents, outcome, "none", 0, base.extents)
         return outcome
 
     def run_log(self) -> DataFrame:

@@ -121,7 +121,7 @@ def test_rolling_means(spark):
         for i, (_, s, _d) in enumerate(values):
             last = [d for _, _, d in values[max(0, i - 49) : i + 1]]
             want[j, s] = sum(last) // len(last)
-    got = runs.rolling_mean(df, "duration_ms", 50, "m").collect()
+    got = runs.rolling_means(df, m=("duration_ms", 50), far=("duration_ms", 130)).collect()
     assert {(x.job, x.seq): x.m for x in got} == want
     assert runs.recent_runs(df, 50).groupBy("job").count().agg(F.max("count")).first()[0] == 50
 
