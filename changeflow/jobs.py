@@ -14,7 +14,7 @@ from changeflow.operators.diff import diff_snapshots
 from changeflow.operators.feed import postimages
 from changeflow.operators.inspect import MAX_PREVIEW, preview, schema_rows
 from changeflow.operators.merge import MergeSpec
-from changeflow.sinks.table import Outcome, VersionedTable
+from changeflow.sinks.table import BUCKET, Outcome, VersionedTable
 from changeflow.sources.commits import history, live_files, read_log
 
 
@@ -53,17 +53,25 @@ class OptimizeReport:
 def optimize(
     table: VersionedTable, zorder_by: Sequence[str] = (), target_bytes: int = maintenance.TARGET_FILE_BYTES
 ) -> OptimizeReport:
-    """Rewrite the table into files of about ``target_bytes``, along a z-order curve if asked."""
+    """Rewrite the table into files of about ``target_bytes``, along a z-order curve if asked.
+
+    The buckets of a merged table count as partitions and stay; without z-order the session's
+    advisory partition size takes the place of ``target_bytes`` there.
+    """
     started = time.monotonic()
     before = table.snapshot()
     size = sum(e.bytes for e in before.extents)
 
+    bucket = [BUCKET] if before.keys else []
+
     def layout(df: DataFrame) -> DataFrame:
         if zorder_by:
             parts = max(1, -(-size // target_bytes))
             # File and row index tell whole-row copies apart, so a run of them can be cut too.
             row = F.xxhash64("_metadata.file_path", "_metadata.row_index")
-            return maintenance.zorder_cluster(df, zorder_by, parts, row)
+            return maintenance.zorder_cluster(df, zorder_by, parts, row, bucket)
+        if bucket:
+            return df.hint("rebalance", BUCKET)
         return maintenance.compacted(df, size, target_bytes)
 
     table.rewrite(layout, "ZORDER" if zorder_by else "OPTIMIZE")
@@ -74,11 +82,18 @@ def optimize(
         after.version,
         sum(e.files for e in after.extents),
         sum(e.files for e in before.extents),
-        1,
+        len({e.bucket for e in before.extents}),
         int((time.monotonic() - started) * 1000),
     )
 
 
+def change_buckets(table: VersionedTable, buckets: int) -> None:
+    """Divide a merged table into another number of buckets, as it outgrows the old one."""
+    if not table.snapshot().keys:
+        raise ValueError("only a merged table has buckets")
+    table.rewrite(lambda df: df.hint("rebalance", BUCKET), "REBUCKET", buckets)
+
+
 def stale_table_files(
     table: VersionedTable,
     retention_hours: int = maintenance.SAFE_RETENTION_HOURS,
@@ -98,7 +113,7 @@ def inspect(table: VersionedTable) -> dict[str, DataFrame]:
     return {
         "table": table.describe(),
         "schema": schema_rows(table.read()),
-        "commits": history(read_log(table.spark, table.log_path)),
+        "commits": history(table.newest_log(10)),
     }
 
 

@@ -52,20 +52,24 @@ def zorder_key(df: DataFrame, columns: Sequence[str]) -> Column:
 
 
 def zorder_cluster(
-    df: DataFrame, columns: Sequence[str], partitions: int, spread: Column | None = None
+    df: DataFrame,
+    columns: Sequence[str],
+    partitions: int,
+    spread: Column | None = None,
+    within: Sequence[str] = (),
 ) -> DataFrame:
     """Rows laid out along the z-order curve of ``columns``, in range partitions.
 
     Rows of one key may be many, so ``spread`` (a hash of the row unless given) orders them
     further and the range partitioner can cut between them. Pass a row id, such as file and row
-    index, where whole rows repeat.
+    index, where whole rows repeat. ``within`` names columns, such as a bucket, to sort by first.
     """
     key = zorder_key(df, columns)
     rest = F.xxhash64(*[column(c) for c in df.columns]) if spread is None else spread
     keyed = df.withColumn("__z", key).withColumn("__spread", rest)
     return (
-        keyed.repartitionByRange(partitions, "__z", "__spread")
-        .sortWithinPartitions("__z")
+        keyed.repartitionByRange(partitions, *within, "__z", "__spread")
+        .sortWithinPartitions(*within, "__z")
         .drop("__z", "__spread")
     )
 

@@ -96,21 +96,25 @@ _NEW = (
 )
 
 
-@query(
-    "snapshot_diff",
-    f"""WITH o AS ({_OLD}), n AS ({_NEW}), c AS (
+SNAPSHOT_DIFF = f"""WITH o AS ({_OLD}), n AS ({_NEW}), c AS (
   SELECT o.k AS ok, o.st AS ost, o.p AS op, n.k AS nk, n.st AS nst, n.p AS np
   FROM o FULL OUTER JOIN n ON o.k = n.k WHERE o.k IS NULL OR n.k IS NULL
     OR o.st IS DISTINCT FROM n.st OR o.p IS DISTINCT FROM n.p)
 SELECT nk AS k, nst AS st, np AS p, 'insert' AS _change_type FROM c WHERE ok IS NULL
 UNION ALL SELECT ok, ost, op, 'delete' FROM c WHERE nk IS NULL
 UNION ALL SELECT ok, ost, op, 'update_preimage' FROM c WHERE ok = nk
-UNION ALL SELECT nk, nst, np, 'update_postimage' FROM c WHERE ok = nk""",
-)
-def snapshot_diff(spark, sf):
+UNION ALL SELECT nk, nst, np, 'update_postimage' FROM c WHERE ok = nk"""
+
+
+def snapshots(spark, sf):
+    """The orders before and after: some leave, some are new, the urgent ones change status."""
     o = fx.table(spark, sf, "orders")
     k, p = F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("p")
     status = F.when(F.col("o_orderpriority") == "1-URGENT", "X").otherwise(F.col("o_orderstatus"))
     old = o.where("o_totalprice < 450000").select(k, F.col("o_orderstatus").alias("st"), p)
-    new = o.where("o_totalprice > 40000").select(k, status.alias("st"), p)
-    return diff_snapshots(old, new, ["k"])
+    return old, o.where("o_totalprice > 40000").select(k, status.alias("st"), p)
+
+
+@query("snapshot_diff", SNAPSHOT_DIFF)
+def snapshot_diff(spark, sf):
+    return diff_snapshots(*snapshots(spark, sf), ["k"])

@@ -4,11 +4,13 @@ import json
 
 from pyspark.sql import functions as F
 
+from changeflow import jobs
 from changeflow.operators import feed as ops
 from changeflow.operators.merge import MergeSpec
 from changeflow.registry import fixtures as fx
 from changeflow.registry.base import query
 from changeflow.registry.event_queries import JSON_MERGE
+from changeflow.registry.feed_queries import SNAPSHOT_DIFF, snapshots
 from changeflow.session import work_dir
 from changeflow.sinks.table import VersionedTable
 from changeflow.sources import events as ev
@@ -160,3 +162,12 @@ def stream_event_log(spark, sf):
     events = ev.stream_event_files(spark, f"{root}/events", log.schema)
     EventTransfer(spark, spec).start(events, f"{root}/checkpoint").awaitTermination()
     return VersionedTable(spark, spec.target).read()
+
+
+@query("snapshot_track", SNAPSHOT_DIFF)
+def snapshot_track(spark, sf):
+    """The feed a table gives that follows the snapshots of a source without one."""
+    table = VersionedTable(spark, f"{work_dir(spark, 'track')}/target", BUCKETS)
+    for snapshot in snapshots(spark, sf):
+        jobs.track_snapshot(table, snapshot, ["k"])
+    return table.read_feed(1, 1).select("k", "st", "p", "_change_type")

@@ -43,6 +43,7 @@ from changeflow.schema import (
     require_columns,
 )
 from changeflow.sinks.files import Folder
+from changeflow.sources.commits import read_log
 
 PART, BUCKET = "_part", "_bucket"
 STATE, FEED = "state", "feed"
@@ -121,6 +122,7 @@ class VersionedTable:
         self.path = path.rstrip("/")
         self.buckets = buckets
         self.log = Folder(spark, f"{self.path}/commits")
+        self._seen = -1
 
     # Reading ------------------------------------------------------------------------------
 
@@ -132,7 +134,20 @@ class VersionedTable:
         return [int(n.removesuffix(".json")) for n in self.log.names() if n[0].isdigit()]
 
     def current_version(self) -> int:
-        return max(self.versions(), default=-1)
+        """The newest commit. Commits are dense and stay, so a known one is only probed further."""
+        if self._seen >= 0:
+            for _ in range(20):
+                if not self.log.exists(file_name(self._seen + 1)):
+                    return self._seen
+                self._seen += 1
+        self._seen = max(self.versions(), default=-1)
+        return self._seen
+
+    def newest_log(self, commits: int) -> DataFrame:
+        """The log lines of the newest commits only."""
+        last = self.current_version()
+        versions = range(max(0, last - commits + 1), last + 1)
+        return read_log(self.spark, [f"{self.log_path}/{file_name(v)}" for v in versions])
 
     def snapshot(self, version: int | None = None) -> Snapshot:
         version = self.current_version() if version is None else version
@@ -483,26 +498,40 @@ class VersionedTable:
             )
         return len(sizes)
 
-    def rewrite(self, layout: Callable[[DataFrame], DataFrame], operation: str = "OPTIMIZE") -> Outcome:
+    def rewrite(
+        self,
+        layout: Callable[[DataFrame], DataFrame],
+        operation: str = "OPTIMIZE",
+        buckets: int | None = None,
+    ) -> None:
         """Write all rows again in another layout; the table's contents stay, its feed is empty.
 
-        For appended and overwritten tables. A merged table gives up its buckets, so its next merge
-        reads all of it once.
+        A merged table stays bucketed, in ``buckets`` buckets if given; its layout sees the bucket
+        as column ``_bucket`` and keeps the rows of a bucket together.
         """
         started = time.monotonic()
         base = self.snapshot()
-        after = self._next(base, "", None, None, keys=(), buckets=0)
-        layout(self.read()).write.mode("overwrite").parquet(self._folder(after.version, STATE))
-        outcome = Outcome(target_version=after.version, appended=base.rows, duration_ms=_since(started))
-        v = after.version
-        extents = [Extent(None, v, v, base.rows, *self._files(v))] if base.rows else []
+        v = base.version + 1
+        rows = self.read()
+        if base.keys:
+            buckets = buckets or base.buckets
+            rows = layout(with_key_bucket(rows, base.keys, buckets, BUCKET))
+            data = f"{self.path}/data/{COMMIT_VERSION}={v}"
+            rows.withColumn(PART, F.lit(STATE)).write.mode("overwrite").partitionBy(
+                PART, BUCKET
+            ).parquet(data)
+            extents = [
+                Extent(r[BUCKET], v, v, r["rows"], r["files"], r["bytes"]) for r in self._written(data)
+            ]
+        else:
+            layout(rows).write.mode("overwrite").parquet(self._folder(v, STATE))
+            extents = [Extent(None, v, v, base.rows, *self._files(v))] if base.rows else []
+        after = self._next(base, "", None, None, buckets=buckets if base.keys else 0)
+        outcome = Outcome(target_version=v, appended=base.rows, duration_ms=_since(started))
         self._publish(after, operation, extents, outcome, "none", 0, base.extents)
-        return outcome
 
     def run_log(self) -> DataFrame:
         """One row per commit with its metrics, for ``changeflow.operators.runs``."""
-        from changeflow.sources.commits import read_log
-
         info = F.from_json(
             F.get_json_object("action", "$.commitInfo"),
             "timestamp bigint, operation string, job string, metrics struct<source_rows: bigint, "

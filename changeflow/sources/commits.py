@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 FILE_NAME = r"([0-9]+)\.json"
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """``version, action`` for each non-blank line of ``path/NNN.json``."""
+def read_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``version, action`` for each non-blank line of ``path/NNN.json``, or of the files listed."""
     lines = spark.read.text(path, pathGlobFilter="*.json")
     return log_lines(lines.select("value", F.col("_metadata.file_name").alias("file_name")))
 

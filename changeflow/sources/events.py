@@ -145,7 +145,7 @@ def _loaded(load):
 
 
 def from_kafka(records: DataFrame) -> DataFrame:
-    """Records of Spark's Kafka source in the raw layout (many event hubs speak Kafka too)."""
+    """Records of Spark's Kafka source in the raw layout (many hosted event logs speak its protocol)."""
     return records.select(
         F.col("partition").cast("string").alias("partition_id"),
         F.col("offset").cast("string").alias("offset"),

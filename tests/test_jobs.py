@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from changeflow import jobs
 from changeflow.__main__ import main
 from changeflow.sinks.table import VersionedTable
-from test_merge import rows, source
+from test_merge import KEY, rows, source
 
 
 def test_create_table_writes_exactly_the_rows(spark, folder):
@@ -38,6 +38,24 @@ def test_zorder_cuts_runs_of_copies(spark, folder):
     assert table.read().count() == 40_000
 
 
+def test_merged_tables_keep_their_buckets(spark, folder):
+    table = VersionedTable(spark, f"{folder}/t", 4)
+    for i in range(3):
+        table.apply(source(spark, *[(k, i, "insert", i) for k in range(10 * i, 50)]), "merge", KEY)
+    before = rows(table.read())
+    report = jobs.optimize(table)
+    assert report.partitions_optimized == 4 and report.files_added == 4
+    jobs.optimize(table, ["k", "v"])
+    jobs.change_buckets(table, 7)
+    assert rows(table.read()) == before
+    assert len(table.snapshot().extents) == 7
+    table.apply(source(spark, (1, 99, "insert", 9), (2, 0, "delete", 9)), "merge", KEY)
+    assert rows(table.read()) == sorted([(k, 99 if k == 1 else v) for k, v in before if k != 2], key=repr)
+    assert sum(e.last == table.current_version() for e in table.snapshot().extents) <= 2
+    with pytest.raises(ValueError, match="merged"):
+        jobs.change_buckets(jobs.create_table(spark, f"{folder}/w", 5, 1, 3), 2)
+
+
 def test_stale_files(spark, folder):
     table = VersionedTable(spark, f"{folder}/t")
     table.apply(source(spark, (1, 1, "insert", 0)), "append")
