@@ -138,16 +138,10 @@ def chunk_by_position(
 
     ``order`` is an integer column, unique in a commit.
     """
-    sizes = feed.groupBy(version).agg(F.count(F.lit(1)).alias("__rows"))
+    placed = row_positions(feed, [version], order, name="__position", size="__rows")
     n, base = chunk_counts(F.col("__rows"), max(chunk_target, 1))
-    sizes = sizes.select(version, n.alias("__n"), base.alias("__base"))
-    placed = row_positions(feed, [version], order, name="__position")
-    chunk = F.least(F.floor(F.col("__position") / F.greatest("__base", F.lit(1))), F.col("__n") - 1)
-    return (
-        placed.join(sizes, version)
-        .withColumn("chunk", chunk.cast("bigint"))
-        .drop("__position", "__n", "__base")
-    )
+    chunk = F.least(F.floor(F.col("__position") / F.greatest(base, F.lit(1))), n - 1)
+    return placed.withColumn("chunk", chunk.cast("bigint")).drop("__position", "__rows")
 
 
 def progress_table(plan: DataFrame, chunk_target: int) -> DataFrame:

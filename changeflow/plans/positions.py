@@ -15,24 +15,38 @@ from changeflow.schema import column
 
 
 def row_positions(
-    df: DataFrame, groups: Sequence[str], order: str, width: int = 65_536, name: str = "position"
+    df: DataFrame,
+    groups: Sequence[str],
+    order: str,
+    width: int = 65_536,
+    name: str = "position",
+    size: str | None = None,
 ) -> DataFrame:
-    """Number the rows of each group from 0 in ``order``.
+    """Number the rows of each group from 0 in ``order``; ``size`` names a column for the group's rows.
 
-    ``order`` is an integer column, unique within its group, so a slice of ``width`` values holds
-    at most ``width`` rows however large the group is.
+    ``order`` is an integer column without NULLs, unique within its group, so a slice of ``width``
+    values holds at most ``width`` rows however large the group is. NULL is a group like any other:
+    slices are told apart by a struct, whose NULL fields compare as equal.
     """
     g = [column(c) for c in groups]
-    sliced = df.withColumn("__slice", F.floor(column(order) / width).cast("bigint"))
-    before = sliced.groupBy(*g, "__slice").agg(F.count(F.lit(1)).alias("__n"))
-    earlier = Window.partitionBy(*g).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    before = before.select(
-        *g, "__slice", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before")
+    slice_ = F.struct(*[c.alias(f"g{i}") for i, c in enumerate(g)], F.floor(column(order) / width).cast("bigint").alias("n"))
+    sliced = df.withColumn("__slice", slice_)
+    group = [F.col(f"__slice.g{i}") for i in range(len(g))]
+    earlier = Window.partitionBy(*group).orderBy("__slice.n").rowsBetween(Window.unboundedPreceding, -1)
+    whole = F.sum("__n").over(Window.partitionBy(*group))
+    before = (
+        sliced.groupBy("__slice")
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .select(
+            "__slice",
+            F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"),
+            *([whole.alias(size)] if size else []),
+        )
     )
-    inside = Window.partitionBy(*g, "__slice").orderBy(column(order))
+    inside = Window.partitionBy("__slice").orderBy(column(order))
     return (
         sliced.withColumn("__inside", F.row_number().over(inside))
-        .join(before, [*groups, "__slice"])
+        .join(before, "__slice")
         .withColumn(name, F.col("__before") + F.col("__inside") - 1)
         .drop("__slice", "__before", "__inside")
     )

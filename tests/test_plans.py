@@ -82,15 +82,17 @@ def test_a_key_lies_in_one_chunk(spark):
 
 def test_positions_and_running_sums(spark):
     r = random.Random(9)
-    data = [(r.choice("ab"), i * r.randrange(1, 9) * 1000 + i, r.randrange(50)) for i in range(1, 800)]
+    data = [(r.choice(["a", "b", None]), i * r.randrange(1, 9) * 1000 + i, r.randrange(50)) for i in range(1, 800)]
     data = list({(g, o): (g, o, v) for g, o, v in data}.values())
     df = spark.createDataFrame(data, "g string, o bigint, v bigint")
     want = {}
-    for g in "ab":
-        for i, (_, o, _v) in enumerate(sorted(x for x in data if x[0] == g)):
+    for g in ("a", "b", None):
+        for i, (_, o, _v) in enumerate(sorted((x for x in data if x[0] == g), key=lambda x: x[1])):
             want[g, o] = i
-    got = row_positions(df, ["g"], "o", width=1000)
-    assert {(x.g, x.o): x.position for x in got.collect()} == want
+    got = row_positions(df, ["g"], "o", width=1000, size="n")
+    got = got.collect()
+    assert {(x.g, x.o): x.position for x in got} == want
+    assert {(x.g, x.n) for x in got} == {(g, sum(x[0] == g for x in data)) for g in ("a", "b", None)}
     unique = df.dropDuplicates(["o"])
     total, sums = 0, {}
     for _, o, v in sorted(map(tuple, unique.collect()), key=lambda x: x[1]):
