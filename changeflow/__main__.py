@@ -20,6 +20,7 @@ def parser() -> argparse.ArgumentParser:
 
     s = commands.add_parser("stream", help="move a table's changes into a target")
     s.add_argument("--source", required=True)
+    s.add_argument("--source-format", default="changeflow", choices=["changeflow", "delta"])
     s.add_argument("--target", required=True)
     s.add_argument("--checkpoint", help="streaming checkpoint folder; not needed with --once")
     s.add_argument("--sink-mode", default="append")
@@ -93,6 +94,7 @@ def stream(spark: SparkSession, a: argparse.Namespace) -> None:
         max_versions=a.max_versions_per_batch,
         max_rows=a.max_input_rows_per_batch,
         adaptive=a.adaptive,
+        source_format=a.source_format,
     )
     transfer = Transfer(spark, spec)
     if a.once:

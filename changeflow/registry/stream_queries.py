@@ -104,7 +104,8 @@ def stream_resume(spark, sf):
     _source(spark, sf, root)
     _accounts(spark, sf, root)
     _stream(spark, root, "merge", merge=_BY_USER, end_version=12)
-    return _stream(spark, root, "merge", merge=_BY_USER, max_rows=4_000).read()
+    sixth = fx.table(spark, sf, "events").count() // 6
+    return _stream(spark, root, "merge", merge=_BY_USER, max_rows=sixth).read()
 
 
 @query("stream_adaptive", _MERGED)

@@ -374,7 +374,8 @@ class VersionedTable:
         # transform does not run again, whatever executors are lost.
         staging = Folder(self.spark, f"{self.path}/staging")
         stage = f"{staging.path}/{version}"
-        prepared = with_key_bucket(prepare_source(source, spec), spec.keys, buckets, BUCKET)
+        prepared = prepare_source(source, spec)
+        prepared = with_key_bucket(prepared, spec.keys, buckets, BUCKET, base.schema)
         prepared.write.mode("overwrite").parquet(stage)
         staged = self.spark.read.schema(prepared.schema).parquet(stage)
         per_bucket = staged.groupBy(BUCKET).agg(value_bytes(staged).alias("bytes")).collect()

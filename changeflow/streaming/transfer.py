@@ -25,6 +25,7 @@ from changeflow.sinks.files import Folder
 from changeflow.sinks.table import Outcome, VersionedTable, file_name
 from changeflow.sources import events as ev
 from changeflow.sources.commits import commit_rows, log_lines
+from changeflow.sources.feeds import DeltaSource
 from changeflow.streaming import tunables as tune
 
 # Commits planned at once; the rest waits for the next plan.
@@ -53,6 +54,7 @@ class TransferSpec:
     max_rows: int = 0
     adaptive: bool = False
     buckets: int = 64
+    source_format: str = "changeflow"
 
 
 class SourceMismatch(ValueError):
@@ -75,7 +77,10 @@ class Transfer:
     def __init__(self, spark: SparkSession, spec: TransferSpec):
         self.spark = spark
         self.spec = spec
-        self.source = VersionedTable(spark, spec.source)
+        sources = {"changeflow": VersionedTable, "delta": DeltaSource}
+        if spec.source_format not in sources:
+            raise ValueError(f"unknown source format '{spec.source_format}': use {list(sources)}")
+        self.source = sources[spec.source_format](spark, spec.source)
         self.target = VersionedTable(spark, spec.target, spec.buckets)
         self.tunables = Folder(spark, f"{self.target.path}/tunables")
         self._start = spec.start_version

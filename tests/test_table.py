@@ -205,3 +205,22 @@ def test_feeds_must_be_dense(spark, table):
         table.import_feed(feed)
     with pytest.raises(ValueError, match="gaps"):
         table.import_feed(feed.withColumn("_commit_timestamp", F.current_timestamp()))
+
+
+def test_keys_of_another_type_find_their_bucket(spark, table):
+    old = spark.createDataFrame([(k, k) for k in range(30)], "k int, v bigint")
+    table.apply(old, "merge", KEY)
+    table.apply(source(spark, *[(k, 100, "insert", 1) for k in range(40)]), "merge", KEY)
+    assert rows(table.read()) == sorted([(k, 100) for k in range(40)], key=repr)
+    table.apply(spark.createDataFrame([("3", 7), ("50", 7)], "k string, v bigint"), "merge", KEY)
+    got = {r.k: r.v for r in table.read().collect()}
+    assert (got[3], got[50], len(got)) == (7, 7, 41)
+    with pytest.raises(ValueError, match="collation"):
+        loose = spark.sql("SELECT 'a' COLLATE UTF8_LCASE AS k, 1L AS v")
+        VersionedTable(spark, f"{table.path}2").apply(loose, "merge", KEY)
+
+
+def test_null_keys_are_inserted_again_by_each_batch(spark, table):
+    for i in range(2):
+        table.apply(source(spark, (None, i, "insert", i), (1, i, "insert", i)), "merge", KEY)
+    assert rows(table.read()) == sorted([(None, 0), (None, 1), (1, 1)], key=repr)

@@ -9,6 +9,7 @@ from changeflow.operators.merge import MergeSpec, merge
 from changeflow.sinks.files import Folder
 from changeflow.sinks.table import VersionedTable
 from changeflow.sources import events as ev
+from changeflow.sources import feeds
 from changeflow.streaming import tunables as tune
 from changeflow.streaming.transfer import (
     EventSpec,
@@ -226,3 +227,20 @@ def test_position_words():
     assert [ev.initial_position(w) for w in ("", " Newest", "oldest", "BEGINNING")] == ["latest", "latest", "earliest", "earliest"]
     with pytest.raises(ValueError):
         ev.initial_position("middle")
+
+
+def test_a_delta_source_is_followed_by_its_log(spark, folder, feed, monkeypatch):
+    """The connector is not here: its read is replaced, the log and the rest are as they would be."""
+    log = Folder(spark, f"{folder}/d/_delta_log")
+    for v in range(12):
+        log.create(f"{v:020d}.json", '{"add":{"path":"x","stats":"{\\"numRecords\\":8}"}}\n')
+    log.create("00000000000000000009.checkpoint.parquet", "")
+    monkeypatch.setattr(feeds, "read_delta_changes", lambda s, p, a, b: feed.where(f"_commit_version BETWEEN {a} AND {b}"))
+    spec = TransferSpec(f"{folder}/d", f"{folder}/t", "merge", KEY, buckets=4, max_rows=40, source_format="delta")
+    t = Transfer(spark, spec)
+    assert list(t.groups(-1, 11))[:2] == [Group(0, 4), Group(5, 9)]
+    t.start(f"{folder}/c").awaitTermination()
+    assert t.progress()[0] == 11
+    assert rows(t.target.read()) == rows(merge(None, feed.drop("_commit_timestamp"), KEY))
+    with pytest.raises(ValueError, match="unknown source format"):
+        Transfer(spark, TransferSpec("a", "b", "append", source_format="hudi"))
