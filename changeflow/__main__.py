@@ -103,7 +103,7 @@ def stream(spark: SparkSession, a: argparse.Namespace) -> None:
         return
     if not a.checkpoint:
         raise SystemExit("stream needs --checkpoint, or --once")
-    transfer.start(a.checkpoint, a.interval).awaitTermination()
+    transfer.follow(a.checkpoint, a.interval)
 
 
 def main(argv: list[str] | None = None) -> None:

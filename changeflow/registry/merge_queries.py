@@ -126,7 +126,6 @@ def merge_null_keys(spark, sf):
     src = ops.postimages(fx.feed(spark, sf)).select(
         k, "event_type", "value", "_change_type", "_commit_version", F.col("event_id").alias("_tie")
     )
-    # The tie breaker is projected away by the transform's caller; here it stays out of the target.
     spec = MergeSpec(("k",), tie_breakers=("_tie",))
     return merge(tgt, src, spec).drop("_tie")
 
@@ -263,7 +262,8 @@ _transform(
 )
 _transform(
     "transform_window",
-    "SELECT user_id, event_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS step FROM __src s",
+    "SELECT user_id, event_id, value FROM (SELECT user_id, event_id, value, row_number() OVER "
+    "(PARTITION BY user_id ORDER BY value DESC, event_id) AS place FROM __src s) r WHERE place <= 3",
 )
 _transform(
     "transform_self_join",

@@ -204,7 +204,7 @@ class Transfer:
     def start(self, checkpoint: str, interval: str | None = None) -> StreamingQuery:
         """A streaming query over the commit log; without ``interval`` it drains what is there.
 
-        With an end version the query always drains, up to that version, and then stops.
+        No version beyond the end version is applied. ``follow`` also ends the query there.
         """
         owner = guard_checkpoint(
             self.spark, checkpoint, self.source.path, self.spec.target, self._start is not None
@@ -226,9 +226,16 @@ class Transfer:
                 self.run(upto=newest)
 
         writer = versions.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
-        if interval and self.spec.end_version is None:
-            return writer.trigger(processingTime=interval).start()
-        return writer.trigger(availableNow=True).start()
+        trigger = {"processingTime": interval} if interval else {"availableNow": True}
+        return writer.trigger(**trigger).start()
+
+    def follow(self, checkpoint: str, interval: str | None = None) -> None:
+        """Run the stream until it ends, fails, or has applied the end version."""
+        query = self.start(checkpoint, interval)
+        end = self.spec.end_version
+        while not query.awaitTermination(1):
+            if end is not None and self.progress()[0] >= end:
+                query.stop()
 
 
 def guard_checkpoint(

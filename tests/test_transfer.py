@@ -149,6 +149,12 @@ def test_a_running_stream_drains_and_can_be_stopped(spark, folder, feed):
     assert rows(VersionedTable(spark, f"{folder}/t").read()) == live(feed)
 
 
+def test_following_ends_at_the_end_version(spark, folder, feed):
+    t = transfer(spark, folder, end_version=5, max_versions=4)
+    t.follow(f"{folder}/c", interval="0 seconds")
+    assert rows(t.target.read()) == live(feed, 5)
+
+
 def test_tunables(spark, folder):
     place = Folder(spark, f"{folder}/tunables")
     assert tune.load(place).chunk_target_rows == 50_000
