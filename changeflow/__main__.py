@@ -47,6 +47,12 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--zorder-by", default="")
     c.add_argument("--overwrite", action="store_true")
 
+    e = commands.add_parser("produce", help="append batches of sample transactions")
+    e.add_argument("table")
+    e.add_argument("--batches", type=int, default=1)
+    e.add_argument("--rows", type=int, default=100_000)
+    e.add_argument("--update-fraction", type=float, default=0.3)
+
     commands.add_parser("inspect", help="version, size, schema, commits").add_argument("table")
 
     v = commands.add_parser("preview", help="some rows as text")
@@ -127,6 +133,8 @@ def main(argv: list[str] | None = None) -> None:
         print("\t".join(found.columns))
         for row in found.rows:
             print("\t".join(row))
+    elif a.command == "produce":
+        jobs.produce_events(table, a.batches, a.rows, a.update_fraction)
     elif a.command == "optimize":
         print(jobs.optimize(table, _names(a.zorder_by), a.target_bytes))
     elif a.command == "stale-files":

@@ -39,6 +39,20 @@ def create_table(
     return table
 
 
+def produce_events(
+    table: VersionedTable, batches: int, rows: int, update_fraction: float = 0.3, now: str = "2024-06-01 00:00:00"
+) -> None:
+    """Append batches of sample transactions; some take up event ids of earlier rows again.
+
+    How far the ids have come is part of each commit, so a later call goes on from there.
+    """
+    for _ in range(batches):
+        first = table.snapshot().progress.get("producer", {}).get("rows", 0)
+        ids = table.spark.range(first, first + rows)
+        batch = datagen.sample_events(ids, update_fraction, table.current_version() + 1, now)
+        table.apply(batch, "append", job="producer", progress={"rows": first + rows})
+
+
 @dataclass(frozen=True)
 class OptimizeReport:
     mode: str

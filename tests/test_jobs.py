@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from changeflow import jobs
 from changeflow.__main__ import main
+from changeflow.operators.merge import MergeSpec
 from changeflow.sinks.table import VersionedTable
+from changeflow.streaming.transfer import Transfer, TransferSpec
 from test_merge import KEY, rows, source
 
 
@@ -19,6 +21,20 @@ def test_create_table_writes_exactly_the_rows(spark, folder):
     assert VersionedTable(spark, f"{folder}/z").read().count() == 100
 
 
+def test_produced_events_can_be_merged(spark, folder):
+    main(["produce", f"{folder}/p", "--batches", "2", "--rows", "500"])
+    produced = VersionedTable(spark, f"{folder}/p")
+    jobs.produce_events(produced, 1, 300, 0.5)
+    events = produced.read()
+    assert events.count() == 1_300
+    assert {r[0] for r in events.select("batch_id").distinct().collect()} == {0, 1, 2}
+    spec = TransferSpec(produced.path, f"{folder}/t", "merge", MergeSpec(("event_id",)), max_versions=1, buckets=4)
+    done = Transfer(spark, spec).run()
+    fresh = events.where("status <> 'updated'").count()
+    assert sum(o.inserts for o in done) == fresh == VersionedTable(spark, spec.target).read().count()
+    assert done[2].updates > 0
+
+
 def test_optimize_reports_files(spark, folder):
     table = jobs.create_table(spark, f"{folder}/w", 400, 4, 4)
     before = rows(table.read())
