@@ -241,6 +241,13 @@ def test_a_hot_target_key_is_split(spark, conf, folder, key):
     assert rows(out) == rows(want)
 
 
+def test_a_measured_large_source_is_shuffled_once(spark, folder):
+    t, s = hot(spark, folder)
+    plan = plan_of(merge_prepared(t, s, KEY, small_source=False))
+    assert "Broadcast" not in plan
+    assert "ReusedExchange" in plan
+
+
 def test_small_source_gives_the_same_rows_without_shuffling_the_target(spark, folder):
     t, s = hot(spark, folder)
     source = prepare_source(s, KEY)
