@@ -2,42 +2,48 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
+from changeflow.llm.piece_codec import sentencepiece_digests
 from changeflow.llm.queries import query, table
 from changeflow.llm.repetition import LINE_LIMIT, MIN_WORDS, NGRAM_LIMITS, REPEAT_LIMIT, repetition_rules
+from changeflow.llm.token_counts import token_counts
 
 WORD = r"'[^\x20\x09-\x0D]+'"
 
 
-def _ngrams(n: int) -> str:
-    return f"""g{n} AS (SELECT doc_id, i FROM (
-        SELECT w.doc_id, w.i, row_number() OVER (PARTITION BY w.doc_id, l.ws[w.i : w.i + {n - 1}] ORDER BY w.i) AS k
-        FROM w JOIN l ON w.doc_id = l.doc_id WHERE w.i + {n - 1} <= len(l.ws)) WHERE k > 1),
-    c{n} AS (SELECT doc_id, sum(length(word)) AS chars FROM w WHERE EXISTS (
-        SELECT 1 FROM g{n} WHERE g{n}.doc_id = w.doc_id AND g{n}.i BETWEEN w.i - {n - 1} AND w.i) GROUP BY doc_id)"""
+
+def _met(n: int) -> str:
+    return f"""CASE WHEN i + {n - 1} <= len(ws) THEN
+        CAST(row_number() OVER (PARTITION BY doc_id, ws[i : i + {n - 1}] ORDER BY i) > 1 AS INTEGER) END"""
+
+
+def _inside(flag: str, n: int) -> str:
+    return f"max({flag}) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) = 1"
 
 
 OP5_SQL = f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-l AS (SELECT doc_id, text, regexp_extract_all(text, {WORD}) AS ws FROM d),
-w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM l),
-t3 AS (SELECT w.doc_id, w.i, count(*) OVER (PARTITION BY w.doc_id, l.ws[w.i : w.i + 2]) AS k
-       FROM w JOIN l ON w.doc_id = l.doc_id WHERE w.i + 2 <= len(l.ws)),
-rep AS (SELECT doc_id, count(*) AS n FROM w WHERE EXISTS (
-        SELECT 1 FROM t3 WHERE t3.doc_id = w.doc_id AND t3.k > 1 AND t3.i BETWEEN w.i - 2 AND w.i) GROUP BY doc_id),
+WITH l AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {WORD}) AS ws FROM documents),
+w AS (SELECT doc_id, ws, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM l),
+flags AS (SELECT doc_id, i, length(word) AS chars,
+    CASE WHEN i + 2 <= len(ws) THEN CAST(count(*) OVER (PARTITION BY doc_id, ws[i : i + 2]) > 1 AS INTEGER) END AS f3,
+    {", ".join(f"{_met(n)} AS f{n}" for n in NGRAM_LIMITS)} FROM w),
+inside AS (SELECT doc_id, chars, {_inside("f3", 3)} AS s3,
+    {", ".join(f"{_inside(f'f{n}', n)} AS s{n}" for n in NGRAM_LIMITS)} FROM flags),
+grams AS (SELECT doc_id, count(*) FILTER (s3) AS rep,
+    {", ".join(f"sum(chars) FILTER (s{n}) AS c{n}" for n in NGRAM_LIMITS)} FROM inside GROUP BY doc_id),
 lines AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i
-          FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM d)),
+          FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM l)),
 dup AS (SELECT doc_id, count(*) AS n, sum(length(regexp_replace(line, '[\\x20\\x09-\\x0D]+', '', 'g'))) AS chars FROM (
         SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS k
         FROM lines WHERE regexp_matches(line, {WORD})) WHERE k > 1 GROUP BY doc_id),
-{", ".join(_ngrams(n) for n in NGRAM_LIMITS)},
 base AS (SELECT l.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
     CAST(coalesce(list_sum([length(x) FOR x IN ws]), 0) AS BIGINT) AS word_chars,
     CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
-    CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+    CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep, 0) AS BIGINT) AS n_repeat_words,
     CAST(coalesce(dup.chars, 0) AS BIGINT) AS dup_line_chars,
-    {", ".join(f"CAST(coalesce(c{n}.chars, 0) AS BIGINT) AS dup_{n}gram_chars" for n in NGRAM_LIMITS)}
-  FROM l LEFT JOIN dup ON l.doc_id = dup.doc_id LEFT JOIN rep ON l.doc_id = rep.doc_id
-    {" ".join(f"LEFT JOIN c{n} ON l.doc_id = c{n}.doc_id" for n in NGRAM_LIMITS)}),
+    {", ".join(f"CAST(coalesce(c{n}, 0) AS BIGINT) AS dup_{n}gram_chars" for n in NGRAM_LIMITS)}
+  FROM l LEFT JOIN dup ON l.doc_id = dup.doc_id LEFT JOIN grams ON l.doc_id = grams.doc_id),
 judged AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_LIMIT} * n_words AS base_failed FROM base)
 SELECT *, NOT (base_failed OR 100 * dup_line_chars > {LINE_LIMIT} * word_chars
     {" ".join(f"OR 100 * dup_{n}gram_chars > {limit} * word_chars" for n, limit in NGRAM_LIMITS.items())}) AS kept
@@ -49,3 +55,15 @@ FROM judged
 def op5(spark, sf_dir):
     """Repetition counts and the verdict of every document."""
     return repetition_rules(table(spark, sf_dir, "documents"))
+
+
+@query("op8_token_counts")
+def op8(spark, sf_dir):
+    """Bytes and tokens of every document."""
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op9_sentencepiece")
+def op9(spark, sf_dir):
+    """Digests of the ids and of the decoded text of every document."""
+    return sentencepiece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
