@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from changeflow.llm.byte_cnn import learn_quality, score_quality
 from changeflow.llm.piece_codec import sentencepiece_digests
 from changeflow.llm.queries import query, table
 from changeflow.llm.repetition import LINE_LIMIT, MIN_WORDS, NGRAM_LIMITS, REPEAT_LIMIT, repetition_rules
@@ -13,9 +14,12 @@ WORD = r"'[^\x20\x09-\x0D]+'"
 
 
 
+def _gram(n: int) -> str:
+    return " || ' ' || ".join(["word", *(f"x{k}" for k in range(1, n))])
+
+
 def _met(n: int) -> str:
-    return f"""CASE WHEN i + {n - 1} <= len(ws) THEN
-        CAST(row_number() OVER (PARTITION BY doc_id, ws[i : i + {n - 1}] ORDER BY i) > 1 AS INTEGER) END"""
+    return f"g{n} IS NOT NULL AND row_number() OVER (PARTITION BY doc_id, g{n} ORDER BY i) > 1"
 
 
 def _inside(flag: str, n: int) -> str:
@@ -24,10 +28,13 @@ def _inside(flag: str, n: int) -> str:
 
 OP5_SQL = f"""
 WITH l AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {WORD}) AS ws FROM documents),
-w AS (SELECT doc_id, ws, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM l),
-flags AS (SELECT doc_id, i, length(word) AS chars,
-    CASE WHEN i + 2 <= len(ws) THEN CAST(count(*) OVER (PARTITION BY doc_id, ws[i : i + 2]) > 1 AS INTEGER) END AS f3,
-    {", ".join(f"{_met(n)} AS f{n}" for n in NGRAM_LIMITS)} FROM w),
+w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM l),
+x AS (SELECT doc_id, i, word, {", ".join(f"lead(word, {k}) OVER doc AS x{k}" for k in range(1, max(NGRAM_LIMITS)))}
+    FROM w WINDOW doc AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, i, length(word) AS chars, {", ".join(f"{_gram(n)} AS g{n}" for n in (3, *NGRAM_LIMITS))} FROM x),
+flags AS (SELECT doc_id, i, chars,
+    CAST(g3 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g3) > 1 AS INTEGER) AS f3,
+    {", ".join(f"CAST({_met(n)} AS INTEGER) AS f{n}" for n in NGRAM_LIMITS)} FROM g),
 inside AS (SELECT doc_id, chars, {_inside("f3", 3)} AS s3,
     {", ".join(f"{_inside(f'f{n}', n)} AS s{n}" for n in NGRAM_LIMITS)} FROM flags),
 grams AS (SELECT doc_id, count(*) FILTER (s3) AS rep,
@@ -51,6 +58,13 @@ FROM judged
 """
 
 
+@query("op3_quality_cnn")
+def op3(spark, sf_dir):
+    """The quality score of every document."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return score_quality(docs, learn_quality(docs, labels))
+
+
 @query("op5_repetition_coverage", OP5_SQL)
 def op5(spark, sf_dir):
     """Repetition counts and the verdict of every document."""
