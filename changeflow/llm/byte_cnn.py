@@ -31,8 +31,8 @@ PAD = 256
 #: Halves of a chunk that go through the filters together: about 20 MB.
 BLOCK = 1024
 
-#: Learning: documents a class, bytes of the longest, rounds.
-PER_CLASS, MAX_BYTES, ROUNDS = 1000, 8_000, 8
+#: Learning: documents a class, bytes of the longest, steps, documents a step.
+PER_CLASS, MAX_BYTES, STEPS, TOGETHER = 1000, 8_000, 500, 32
 
 
 @dataclass
@@ -170,7 +170,7 @@ def _gradients(net: Network, lay: Layout, y: np.ndarray) -> list[np.ndarray]:
     ]
 
 
-def fit(texts: list[str], y: list[int], share: float, rounds: int = ROUNDS, seed: int = 11) -> Network:
+def fit(texts: list[str], y: list[int], share: float, steps: int = STEPS, seed: int = 11) -> Network:
     """Learn by Adam in small batches; ``share`` of label 1 sets the odds where the sample is balanced."""
     net = Network.fresh(seed)
     labels = np.array(y, np.float32)
@@ -182,19 +182,18 @@ def fit(texts: list[str], y: list[int], share: float, rounds: int = ROUNDS, seed
         return net
     rng = np.random.default_rng(seed)
     weights = net.weights()
-    mean, square, t = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
-    steps = rounds * -(-len(y) // 32)
-    for _ in range(rounds):
-        order = rng.permutation(len(y))
-        for k in range(0, len(y), 32):
-            some = order[k : k + 32]
-            t += 1
-            rate = 0.01 * (1 - t / (steps + 1))
-            grads = _gradients(net, Layout([texts[i] for i in some]), labels[some])
-            for w, g, m, s in zip(weights, grads, mean, square, strict=True):
-                m += 0.1 * (g - m)
-                s += 0.01 * (g * g - s)
-                w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-7)
+    mean, square = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
+    order = np.empty(0, np.int64)
+    for t in range(1, steps + 1):
+        if len(order) < TOGETHER:
+            order = np.concatenate((order, rng.permutation(len(y))))
+        some, order = order[:TOGETHER], order[TOGETHER:]
+        rate = 0.01 * (1 - t / (steps + 1))
+        grads = _gradients(net, Layout([texts[i] for i in some]), labels[some])
+        for w, g, m, s in zip(weights, grads, mean, square, strict=True):
+            m += 0.1 * (g - m)
+            s += 0.01 * (g * g - s)
+            w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-7)
     net.shift = float(np.log(share / (1 - share)) - np.log(ones / (len(y) - ones)))
     return net
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from changeflow.llm.byte_cnn import learn_quality, score_quality
+from changeflow.llm.compression_toxicity import learn_toxicity, score_toxicity
 from changeflow.llm.piece_codec import sentencepiece_digests
 from changeflow.llm.queries import query, table
 from changeflow.llm.repetition import LINE_LIMIT, MIN_WORDS, NGRAM_LIMITS, REPEAT_LIMIT, repetition_rules
@@ -71,6 +72,13 @@ def op5(spark, sf_dir):
     return repetition_rules(table(spark, sf_dir, "documents"))
 
 
+@query("op7_toxicity_compression")
+def op7(spark, sf_dir):
+    """The toxicity score of every document."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return score_toxicity(docs, learn_toxicity(docs, labels))
+
+
 @query("op8_token_counts")
 def op8(spark, sf_dir):
     """Bytes and tokens of every document."""
