@@ -30,7 +30,7 @@ LEVEL, MIN_MATCH = 3, 6
 GRAM = 5
 ORDINARY_BYTES, TOXIC_BYTES = 16_384, 4_096
 #: Likelihood ratio of a string that marks toxic text, and how many toxic documents for an ordinary one.
-RATIO, PURITY, PURITY_AGAIN = 20.0, 30, 10
+RATIO, PURITY, PURITY_AGAIN = 12.0, 30, 10
 #: Learning: documents a class, bytes of the longest.
 PER_CLASS, MAX_BYTES = 2_000, 8_000
 

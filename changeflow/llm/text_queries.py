@@ -6,6 +6,7 @@ import public_tokenizers
 
 from changeflow.llm.byte_cnn import learn_quality, score_quality
 from changeflow.llm.compression_toxicity import learn_toxicity, score_toxicity
+from changeflow.llm.packing import pack
 from changeflow.llm.piece_codec import sentencepiece_digests
 from changeflow.llm.queries import query, table
 from changeflow.llm.repetition import LINE_LIMIT, MIN_WORDS, NGRAM_LIMITS, REPEAT_LIMIT, repetition_rules
@@ -89,3 +90,9 @@ def op8(spark, sf_dir):
 def op9(spark, sf_dir):
     """Digests of the ids and of the decoded text of every document."""
     return sentencepiece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op10_bestfit_packing")
+def op10(spark, sf_dir):
+    """The place of every piece of every document in sequences of 1024 tokens."""
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
