@@ -6,6 +6,7 @@ import public_tokenizers
 
 from changeflow.llm.byte_cnn import learn_quality, score_quality
 from changeflow.llm.compression_toxicity import learn_toxicity, score_toxicity
+from changeflow.llm.license_scan import GAPS, LOWER, TEMPLATES, THRESHOLD, UPPER, bounds, license_scan, template_words
 from changeflow.llm.packing import pack
 from changeflow.llm.piece_codec import sentencepiece_digests
 from changeflow.llm.queries import query, table
@@ -73,6 +74,43 @@ def op5(spark, sf_dir):
     return repetition_rules(table(spark, sf_dir, "documents"))
 
 
+def _template_rows() -> str:
+    rows = []
+    for name, text in sorted(TEMPLATES.items()):
+        words = template_words(text)
+        least, most = bounds(len(words) - 1, THRESHOLD)
+        grams = ", ".join(f"'{a} {b}'" for a, b in zip(words, words[1:], strict=False))
+        rows.append(f"('{name}', {len(words) - 1}, {least}, {most}, [{grams}])")
+    return ", ".join(rows)
+
+
+OP6_SQL = f"""
+WITH t AS (SELECT * FROM (VALUES {_template_rows()}) v(license, n, least, most, grams)),
+tg AS (SELECT license, gram, count(*) AS k FROM (SELECT license, unnest(grams) AS gram FROM t) GROUP BY ALL),
+d AS (SELECT doc_id, regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{GAPS}', ' ', 'g') AS s FROM documents),
+units AS (
+    SELECT doc_id, unnest(ls) AS s, generate_subscripts(ls, 1) AS line FROM (SELECT doc_id, string_split(s, chr(10)) AS ls FROM d)
+    UNION ALL SELECT doc_id, regexp_replace(s, '[ \\n]+', ' ', 'g'), 0 FROM d WHERE contains(s, chr(10))),
+words AS (SELECT doc_id, line, string_split(trim(s), ' ') AS ws FROM units),
+likely AS (SELECT DISTINCT w.* FROM words w JOIN t ON len(ws) - 1 BETWEEN least AND most),
+grams AS (SELECT doc_id, line, n, gram, count(*) AS k FROM (
+    SELECT doc_id, line, len(ws) - 1 AS n, unnest([ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))]) AS gram FROM likely) GROUP BY ALL),
+scores AS (SELECT doc_id, line, g.n, tg.license, sum(least(g.k, tg.k)) AS common FROM grams g JOIN tg ON g.gram = tg.gram GROUP BY ALL),
+found AS (SELECT doc_id, line, s.license, 2.0::DOUBLE * common / (s.n + t.n) AS score FROM scores s JOIN t ON s.license = t.license
+    WHERE s.n BETWEEN least AND most AND 2.0::DOUBLE * common / (s.n + t.n) >= {THRESHOLD}),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line, license) AS k,
+    count(*) OVER (PARTITION BY doc_id) AS n FROM found)
+SELECT d.doc_id, CAST(coalesce(b.n, 0) AS BIGINT) AS n_matches, b.license, CAST(b.line AS INTEGER) AS line, b.score
+FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id AND b.k = 1
+"""
+
+
+@query("op6_license_dice", OP6_SQL)
+def op6(spark, sf_dir):
+    """The best license match of every document."""
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 @query("op7_toxicity_compression")
 def op7(spark, sf_dir):
     """The toxicity score of every document."""
