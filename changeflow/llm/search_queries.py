@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from changeflow.llm.learned_partitions import search
 from changeflow.llm.queries import query, table
 from changeflow.llm.url_rules import Rule, judge_urls, rule_table
 
@@ -32,3 +35,9 @@ FROM parts p LEFT JOIN best b ON p.host = b.host AND p.path = b.path
 def op2(spark, sf_dir):
     """The winning rule and the verdict of every page's URL."""
     return judge_urls(table(spark, sf_dir, "pages"), rule_table(spark, RULES))
+
+
+@query("op1_learned_partitions")
+def op1(spark, sf_dir):
+    """The five nearest rows of every fiftieth embedding."""
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
