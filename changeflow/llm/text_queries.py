@@ -7,6 +7,7 @@ import public_tokenizers
 from changeflow.llm.byte_cnn import learn_quality, score_quality
 from changeflow.llm.compression_toxicity import learn_toxicity, score_toxicity
 from changeflow.llm.license_scan import GAPS, LOWER, TEMPLATES, THRESHOLD, UPPER, bounds, license_scan, template_words
+from changeflow.llm.minhash import near_duplicates
 from changeflow.llm.packing import pack
 from changeflow.llm.piece_codec import sentencepiece_digests
 from changeflow.llm.queries import query, table
@@ -68,6 +69,30 @@ def op3(spark, sf_dir):
     return score_quality(docs, learn_quality(docs, labels))
 
 
+LETTERS = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
+
+OP4_SQL = f"""
+WITH RECURSIVE l AS (SELECT doc_id, regexp_extract_all({LETTERS}, {WORD}) AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+        ELSE [array_to_string(ws[i : i + 4], ' ') FOR i IN range(1, len(ws) - 3)] END) AS shingle FROM l),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+e AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id
+      GROUP BY 1, 2),
+links AS (SELECT a, b FROM e JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * common >= 85 * (p.n + q.n - common)),
+reach AS (SELECT DISTINCT a AS doc_id, a AS other FROM links UNION SELECT r.doc_id, b FROM reach r JOIN links ON a = r.other),
+c AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id,
+    d.doc_id = coalesce(c.component_id, d.doc_id) AS kept
+FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN c ON d.doc_id = c.doc_id
+"""
+
+
+@query("op4_minhash_dedup", OP4_SQL)
+def op4(spark, sf_dir):
+    """The component of near-duplicates of every document."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op5_repetition_coverage", OP5_SQL)
 def op5(spark, sf_dir):
     """Repetition counts and the verdict of every document."""
