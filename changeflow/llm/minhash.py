@@ -233,6 +233,7 @@ def _rest_pairs(state: DataFrame, members: DataFrame) -> DataFrame:
     every = mixed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).select(*columns)
     rest = mixed.where(F.col("component") != F.col("lead"))
     rest = rest.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*columns)
+    rest = rest.toDF(*(f"q_{c}" for c in columns))  # names of its own, for both sides come from one table
 
     def compare(some: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         out = [np.empty((0, 3), np.int64)]
@@ -240,15 +241,15 @@ def _rest_pairs(state: DataFrame, members: DataFrame) -> DataFrame:
             sig = np.frombuffer(b"".join(block.sig), np.uint32).reshape(-1, HASHES)
             rep, group, n = (block[c].to_numpy() for c in ("rep", "component", "n_shingles"))
             for r in some.itertuples():
-                near = (group != r.component) & (100 * np.minimum(n, r.n_shingles) >= SIMILAR * np.maximum(n, r.n_shingles))
+                near = (group != r.q_component) & (100 * np.minimum(n, r.q_n_shingles) >= SIMILAR * np.maximum(n, r.q_n_shingles))
                 at = np.flatnonzero(near)
-                at = at[(sig[at] == np.frombuffer(r.sig, np.uint32)).sum(axis=1) >= LEAST_EQUAL]
-                a, b = np.minimum(rep[at], r.rep), np.maximum(rep[at], r.rep)
-                out.append(np.stack((a, b, np.where(rep[at] < r.rep, n[at], r.n_shingles)), axis=1))
+                at = at[(sig[at] == np.frombuffer(r.q_sig, np.uint32)).sum(axis=1) >= LEAST_EQUAL]
+                a, b = np.minimum(rep[at], r.q_rep), np.maximum(rep[at], r.q_rep)
+                out.append(np.stack((a, b, np.where(rep[at] < r.q_rep, n[at], r.q_n_shingles)), axis=1))
         return pd.DataFrame(np.concatenate(out), columns=["a", "b", "n_a"])
 
-    by = ("key", "block")
-    found = rest.groupBy(*by).cogroup(every.groupBy(*by)).applyInPandas(compare, "a long, b long, n_a long")
+    both = rest.groupBy("q_key", "q_block").cogroup(every.groupBy("key", "block"))
+    found = both.applyInPandas(compare, "a long, b long, n_a long")
     return found.groupBy("a", "b").agg(F.max("n_a").alias("n_a"))
 
 
