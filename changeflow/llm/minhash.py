@@ -8,8 +8,8 @@ in all bands in four of ten million cases.
 Links are looked for without making all pairs of a bucket. In a few turns every bucket names a leader,
 the member with most links so far, and compares it with the members of other components; hubs of a group of
 near copies come to lead, and most groups are joined by their links to them. Only what is still apart then
-is compared with all members of its buckets, in blocks inside the tasks. So at the end any two documents
-of one bucket are in one component or have been compared. A pair is compared by size, then by its minima
+is compared with all members of its buckets, in blocks inside the tasks, of which only links come out. So at
+the end any two documents of one bucket are in one component or have been compared. A pair is compared by size, then by its minima
 (beyond seven deviations under the threshold it is dropped), then by full sets.
 
 Stages are written to the shared folder; no list of documents, links or components reaches the driver.
@@ -42,8 +42,8 @@ SIMILAR = 85
 #: Equal minima below which a pair is not compared further: 85 % less seven standard deviations.
 LEAST_EQUAL = 78
 TURNS = 3
-#: Members of a bucket compared in one task, and bytes of sets verified together.
-BLOCK, VERIFY_BYTES = 1024, 8_000_000
+#: Bytes of sets on one side of a task.
+VERIFY_BYTES = 8_000_000
 #: Shingles hashed together, so that they stay in a core's cache.
 CHUNK = 32_768
 
@@ -185,6 +185,12 @@ def _likely(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return met.where(_equal_minima(F.col("sig_a"), F.col("sig_b")) >= LEAST_EQUAL).select("a", "b", "n_a").distinct()
 
 
+def _overlap(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets are linked."""
+    common = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+    return 100 * common >= SIMILAR * (len(x) + len(y) - common)
+
+
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``a, b`` of the pairs that overlap enough, by full sets. Many partners of one ``a`` are split."""
     load = pairs.groupBy("a").agg((F.count("*") * F.max("n_a") * 8).alias("bytes"))
@@ -203,10 +209,7 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for a, raw in zip(own.a, own.set_a, strict=True):
             x = np.frombuffer(raw, np.uint64)
             for b, other in zip(others.b, others.set_b, strict=True):
-                y = np.frombuffer(other, np.uint64)
-                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                common = int((x[at] == y).sum())
-                if 100 * common >= SIMILAR * (len(x) + len(y) - common):
+                if _overlap(x, np.frombuffer(other, np.uint64)):
                     out.append((a, b))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
@@ -221,36 +224,55 @@ def _leaders(state: DataFrame, turn: int) -> DataFrame:
     return mixed.select("key", F.col("best.rep").alias("leader"), F.col("best.component").alias("lead"), "n")
 
 
-def _ordered(a: str, b: str) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
-def _rest_pairs(state: DataFrame, members: DataFrame) -> DataFrame:
-    """Likely pairs of all documents outside their bucket's leading component with its other components."""
-    mixed = state.join(_leaders(state, TURNS), "key").join(members.select("rep", "n_shingles", "sig"), "rep")
-    mixed = mixed.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    columns = ["key", "block", "rep", "component", "n_shingles", "sig"]
-    every = mixed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).select(*columns)
-    rest = mixed.where(F.col("component") != F.col("lead"))
-    rest = rest.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*columns)
-    rest = rest.toDF(*(f"q_{c}" for c in columns))  # names of its own, for both sides come from one table
+def _rest_links(state: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of all documents outside their bucket's leading component with its other components.
+
+    Both sides come in blocks of bounded bytes. A pair is verified in the first band that it shares, inside
+    the task, and no further once the document is linked with that component; only links come out.
+    """
+    full = members.select("rep", "n_shingles", "sig").join(sets, "rep")
+    mixed = state.join(_leaders(state, TURNS), "key").join(full, "rep")
+    load = mixed.groupBy("key").agg(F.sum(F.col("n_shingles") * 8 + 4 * HASHES).alias("bytes"))
+    total = load.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    mixed = mixed.join(load, "key").withColumn("blocks", F.ceil(F.col("bytes") / VERIFY_BYTES).cast("int"))
+    # Small buckets share a task, large ones have several of their own.
+    together = F.pmod(F.xxhash64("key"), F.lit(-(-total // VERIFY_BYTES) or 1))
+    mixed = mixed.withColumn("task", F.when(F.col("blocks") == 1, together).otherwise(F.col("key")))
+    part = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    columns = ["task", "block", "turn", "key", "band", "rep", "component", "n_shingles", "sig", "set"]
+    every = mixed.withColumn("block", part).withColumn("turn", others).select(*columns)
+    rest = mixed.where(F.col("component") != F.col("lead")).withColumn("turn", part).withColumn("block", others)
+    rest = rest.select(*columns).toDF(*(f"q_{c}" for c in columns))  # both sides come from one table
 
     def compare(some: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        out = [np.empty((0, 3), np.int64)]
+        out = []
         if len(some) and len(block):
+            block = block.sort_values("key")
             sig = np.frombuffer(b"".join(block.sig), np.uint32).reshape(-1, HASHES)
-            rep, group, n = (block[c].to_numpy() for c in ("rep", "component", "n_shingles"))
+            keys, rep, group, n = (block[c].to_numpy() for c in ("key", "rep", "component", "n_shingles"))
+            sets = [np.frombuffer(x, np.uint64) for x in block.set]
             for r in some.itertuples():
-                near = (group != r.q_component) & (100 * np.minimum(n, r.q_n_shingles) >= SIMILAR * np.maximum(n, r.q_n_shingles))
-                at = np.flatnonzero(near)
-                at = at[(sig[at] == np.frombuffer(r.q_sig, np.uint32)).sum(axis=1) >= LEAST_EQUAL]
-                a, b = np.minimum(rep[at], r.q_rep), np.maximum(rep[at], r.q_rep)
-                out.append(np.stack((a, b, np.where(rep[at] < r.q_rep, n[at], r.q_n_shingles)), axis=1))
-        return pd.DataFrame(np.concatenate(out), columns=["a", "b", "n_a"])
+                bucket = slice(np.searchsorted(keys, r.q_key), np.searchsorted(keys, r.q_key, side="right"))
+                equal = sig[bucket] == np.frombuffer(r.q_sig, np.uint32)
+                first = equal.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+                number, size = equal.sum(axis=1), n[bucket]
+                at = np.flatnonzero(
+                    (group[bucket] != r.q_component)
+                    & (100 * np.minimum(size, r.q_n_shingles) >= SIMILAR * np.maximum(size, r.q_n_shingles))
+                    & (number >= LEAST_EQUAL)
+                    & (first == r.q_band)
+                )
+                own, joined = np.frombuffer(r.q_set, np.uint64), set()
+                for i in (bucket.start + at[np.argsort(-number[at], kind="stable")]).tolist():
+                    if group[i] not in joined and _overlap(own, sets[i]):
+                        joined.add(group[i])
+                        out.append((r.q_rep, rep[i]))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    both = rest.groupBy("q_key", "q_block").cogroup(every.groupBy("key", "block"))
-    found = both.applyInPandas(compare, "a long, b long, n_a long")
-    return found.groupBy("a", "b").agg(F.max("n_a").alias("n_a"))
+    by = ("task", "block", "turn")
+    both = rest.groupBy(*(f"q_{c}" for c in by)).cogroup(every.groupBy(*by))
+    return both.applyInPandas(compare, "a long, b long").distinct()
 
 
 def _band_keys(sig: Column) -> Column:
@@ -261,45 +283,36 @@ def _band_keys(sig: Column) -> Column:
 def linked(docs: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
     """``rep`` and ``component`` of the representatives that are linked with a smaller one."""
     spark = docs.sparkSession
-    banded = classes.select("rep", F.explode(_band_keys(F.col("sig"))).alias("key"))
+    banded = classes.select("rep", F.posexplode(_band_keys(F.col("sig"))).alias("band", "key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("key")
     buckets = stored(banded.join(shared, "key", "left_semi").distinct(), f"{folder}/buckets")
     members = stored(classes.join(buckets.select("rep").distinct(), "rep", "left_semi"), f"{folder}/members")
+    sets = stored(_sets(docs, members.select("rep", "f1", "f2")), f"{folder}/sets")
     found = spark.createDataFrame([], "rep long, component long")
     degree = spark.createDataFrame([], "rep long, degree long")
     compared = spark.createDataFrame([], "a long, b long")
-    sets, have, links = None, None, None
+    links = compared
     for turn in range(TURNS + 1):
         state = (
             buckets.join(found, "rep", "left")
             .join(degree, "rep", "left")
-            .select("key", "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree"))
+            .withColumn("component", F.coalesce("component", "rep"))
+            .withColumn("degree", F.coalesce("degree", F.lit(0)))
         )
         if turn < TURNS:
             led = state.join(_leaders(state, turn), "key").where(F.col("component") != F.col("lead"))
-            pairs = led.select(*_ordered("leader", "rep")).distinct().join(compared, ["a", "b"], "left_anti")
-            pairs = stored(pairs, f"{folder}/pairs-{turn}")
+            led = led.select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct()
+            pairs = stored(led.join(compared, ["a", "b"], "left_anti"), f"{folder}/pairs-{turn}")
             if pairs.isEmpty():
                 break
             compared = compared.unionByName(pairs)
             likely = stored(_likely(pairs, members), f"{folder}/likely-{turn}")
+            new = stored(_verify(likely, sets).distinct(), f"{folder}/links-{turn}")
         else:
-            rest = _rest_pairs(state, members).join(compared, ["a", "b"], "left_anti")
-            likely = stored(rest, f"{folder}/likely-{turn}")
-        needed = likely.select(F.col("a").alias("rep")).unionByName(likely.select(F.col("b").alias("rep"))).distinct()
-        if have is not None:
-            needed = needed.join(have, "rep", "left_anti")
-        needed = stored(members.join(needed, "rep", "left_semi").select("rep", "f1", "f2"), f"{folder}/needed-{turn}")
-        if not needed.isEmpty():
-            made = stored(_sets(docs, needed), f"{folder}/sets-{turn}")
-            sets = made if sets is None else sets.unionByName(made)
-            have = needed.select("rep") if have is None else have.unionByName(needed.select("rep"))
-        if sets is None:
-            continue
-        new = stored(_verify(likely, sets).distinct(), f"{folder}/links-{turn}")
+            new = stored(_rest_links(state, members, sets), f"{folder}/links-{turn}")
         if new.isEmpty():
             continue
-        links = new if links is None else links.unionByName(new)
+        links = links.unionByName(new)
         ends = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep")))
         degree = ends.groupBy("rep").agg(F.count("*").alias("degree"))
         edges = found.toDF("u", "v").unionByName(new.toDF("u", "v"))
