@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changeflow.llm.labelled import remainder, sample
+from changeflow.llm.textbytes import slices
 
 WIDTH, STEP = 8, 2
 HALF = 128  # bytes; a chunk is two halves, the next begins one half later
@@ -205,7 +206,7 @@ def quality(text: Column, net: Network) -> Column:
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             whole = texts.tolist()
-            parts = [score(net, whole[k : k + 64]) for k in range(0, len(whole), 64)]
+            parts = [score(net, part) for part in slices(whole, 200_000)]
             yield pd.Series(np.concatenate(parts) if parts else [], dtype="float64")
 
     return judge(text)

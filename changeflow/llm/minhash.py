@@ -128,7 +128,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_shingles``, the set's fingerprint ``f1, f2`` and its minima ``sig``; null for empty sets."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in (part for whole in batches for part in tb.frames(whole)):
             keys, size = shingle_sets(b.text)
             sig, print_ = signatures(keys, size), _fingerprints(keys, size)
             some = size > 0
@@ -147,7 +147,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``rep`` and its ``set`` (sorted hashes) for the classes in ``wanted`` (``rep``, ``f1``, ``f2``)."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in (part for whole in batches for part in tb.frames(whole)):
             keys, size = shingle_sets(b.text)
             ends, print_ = np.cumsum(size), _fingerprints(keys, size)
             sets = [keys[e - s : e].tobytes() for e, s in zip(ends, size, strict=True)]
@@ -339,3 +339,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     stays = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
     return out.withColumn("kept", stays)
+
+
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: one a component, and those without an id."""
+    kept = near_duplicates(docs).where(F.col("kept") & F.col("doc_id").isNotNull())
+    ids = stored(kept.groupBy("doc_id").agg(F.count("*").alias("n")), work_dir(docs.sparkSession, "kept"))
+    repeated = ids.where(F.col("n") > 1).select("doc_id")
+    out = docs.join(ids.where(F.col("n") == 1).select("doc_id"), "doc_id", "left_semi")
+    if not repeated.isEmpty():
+        out = out.unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return out.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)

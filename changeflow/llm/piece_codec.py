@@ -20,9 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changeflow.llm.piece_bpe import SPACE, encoder, library
+from changeflow.llm.textbytes import slices
 
-#: Texts encoded together, so that a batch of very long ones stays small.
-TOGETHER = 64
+#: Characters encoded together, so that a batch of very long texts stays small.
+TOGETHER = 500_000
 
 
 def _both(path: str, texts: list[str]) -> Iterator[tuple[np.ndarray, str, bool]]:
@@ -46,7 +47,7 @@ def encoded(text: Column, path: str) -> Column:
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             whole = [t or "" for t in texts]
-            rows = [r for k in range(0, len(whole), TOGETHER) for r in _both(path, whole[k : k + TOGETHER])]
+            rows = [r for part in slices(whole, TOGETHER) for r in _both(path, part)]
             yield pd.DataFrame(
                 {
                     "ids": pd.Series([r[0].astype(np.int32) for r in rows], dtype=object),
@@ -67,8 +68,8 @@ def digests(text: Column, path: str) -> Column:
             whole = [t or "" for t in texts]
             rows = [
                 (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(out.encode()).hexdigest(), ok)
-                for k in range(0, len(whole), TOGETHER)
-                for ids, out, ok in _both(path, whole[k : k + TOGETHER])
+                for part in slices(whole, TOGETHER)
+                for ids, out, ok in _both(path, part)
             ]
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "agrees"])
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from changeflow.session import configure
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Rows in one Arrow batch: a few MB of ordinary documents, and bounded with very long ones.
@@ -22,11 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with the settings that the operators rely on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return configure(spark)
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-            return fn(spark, sf_dir)
+            return fn(prepared(spark), sf_dir)
 
         run.__doc__ = fn.__doc__
         QUERIES[name] = run

@@ -97,7 +97,8 @@ def repetition(text: Column) -> Column:
     @F.pandas_udf(SCHEMA)
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield measure(texts)
+            parts = [measure(part) for part in tb.slices(texts.tolist())] or [measure([])]
+            yield pd.concat(parts, ignore_index=True)
 
     return judge(text)
 

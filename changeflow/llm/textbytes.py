@@ -22,6 +22,27 @@ CONTINUES = np.zeros(256, bool)
 CONTINUES[0x80:0xC0] = True
 
 
+def slices(texts, limit: int = 2_000_000):
+    """Parts of a batch with at most so many characters together, or one longer text."""
+    begin, total = 0, 0
+    for i, t in enumerate(texts):
+        n = len(t or "")
+        if i > begin and total + n > limit:
+            yield texts[begin:i]
+            begin, total = i, 0
+        total += n
+    if len(texts):
+        yield texts[begin:]
+
+
+def frames(batch):
+    """Parts of a pandas batch with a ``text`` column, as ``slices`` cuts it."""
+    begin = 0
+    for part in slices(batch.text.tolist()):
+        yield batch.iloc[begin : begin + len(part)]
+        begin += len(part)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Scramble 64-bit values; a bijection."""
     h = h ^ (h >> np.uint64(31))

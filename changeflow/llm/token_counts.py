@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changeflow.llm.piece_bpe import MEMORY, MEMORY_CHARS, vocabulary
+from changeflow.llm.textbytes import slices
 
 
 def whole_tokens(path: str) -> list[str]:
@@ -60,7 +61,8 @@ def n_tokens(text: Column, path: str, whole: list[str]) -> Column:
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         counter = _counter(path, known)
         for texts in batches:
-            yield pd.Series(counter.count([t or "" for t in texts]), dtype="int64")
+            parts = slices([t or "" for t in texts])
+            yield pd.Series([n for part in parts for n in counter.count(part)], dtype="int64")
 
     return count(text)
 
