@@ -71,17 +71,19 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, rounds: int = 2
     """A partition for each vector: few cut edges, none more than a twentieth above its share."""
     rng = np.random.default_rng(seed)
     n, room = len(x), int(np.ceil(1.05 * len(x) / parts))
-    # Begin from balanced halving along random directions between far vectors.
+    # Begin from cuts along directions between far vectors, each into shares of equal size.
     label = np.zeros(n, np.int64)
-    groups = [np.arange(n)]
-    while len(groups) < parts:
-        groups.sort(key=len)
-        g = groups.pop()
+    groups = [(np.arange(n), 0, parts)]
+    while groups:
+        g, begin, share = groups.pop()
+        if share == 1 or not len(g):
+            label[g] = begin
+            continue
         pair = x[rng.choice(g, 2, replace=len(g) < 2)]
-        order = np.argsort(x[g] @ (pair[0] - pair[1]), kind="stable")
-        groups += [g[order[: len(g) // 2]], g[order[len(g) // 2 :]]]
-    for p, g in enumerate(groups):
-        label[g] = p
+        order = g[np.argsort(x[g] @ (pair[0] - pair[1]), kind="stable")]
+        half = share // 2
+        at = round(len(g) * half / share)
+        groups += [(order[:at], begin, half), (order[at:], begin + half, share - half)]
     size = np.bincount(label, minlength=parts)
     rows = np.repeat(np.arange(n), graph.shape[1])
     ends = graph.ravel()
