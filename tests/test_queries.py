@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from changeflow import registry
 from conftest import SMALL
 from oracle import compare, connect
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = registry.load()
 
 
 @pytest.fixture(scope="module")
