@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -16,15 +17,18 @@ SOURCE_VIEW = "__src"
 def sql_transform(df: DataFrame, sql: str) -> DataFrame:
     """Run a SELECT over the batch, visible as ``__src``; feed and event columns are exposed.
 
-    The JSON functions of ``changeflow.functions.json`` can be called by name.
+    The JSON functions of ``changeflow.functions.json`` can be called by name. The view behind
+    ``__src`` has a name of its own for each call, so jobs that share a session do not meet.
     """
     spark = df.sparkSession
     register_json_functions(spark)
-    df.createOrReplaceTempView(SOURCE_VIEW)
+    view = f"{SOURCE_VIEW}_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(view)
+    text = sql.strip().rstrip(";")
     try:
-        return spark.sql(sql)
+        return spark.sql(f"WITH {SOURCE_VIEW} AS (SELECT * FROM {view}) SELECT * FROM (\n{text}\n)")
     finally:
-        spark.catalog.dropTempView(SOURCE_VIEW)
+        spark.catalog.dropTempView(view)
 
 
 def arrow_transform(

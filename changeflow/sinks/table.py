@@ -46,7 +46,7 @@ from changeflow.sinks.files import Folder
 from changeflow.sources.commits import read_log
 
 PART, BUCKET = "_part", "_bucket"
-STATE, FEED = "state", "feed"
+STATE, FEED, TOMBSTONES = "state", "feed", "tombstones"
 
 # A staged batch is broadcast to the target's side up to this many bytes of values.
 BROADCAST_BYTES = 32 * 1024 * 1024
@@ -314,15 +314,19 @@ class VersionedTable:
         job: str = "default",
         progress: dict | None = None,
         info: dict | None = None,
+        staged: bool = False,
     ) -> Outcome:
-        """Apply change rows (no pre-images) as one commit; no rows and no progress, no commit."""
+        """Apply change rows (no pre-images) as one commit; no rows and no progress, no commit.
+
+        The source is evaluated once; ``staged`` says that it is a stored table already.
+        """
         started = time.monotonic()
         base = self.snapshot()
         info = {"job": job, **(info or {})}
         if mode == "merge":
             if spec is None:
                 raise ValueError("merge mode needs a MergeSpec")
-            return self._merge(base, source, spec, job, progress, info, started)
+            return self._merge(base, source, spec, job, progress, info, started, staged)
         if mode in ("append", "overwrite"):
             return self._write(base, source, mode, job, progress, info, started)
         raise ValueError(f"unknown sink mode '{mode}': use append, overwrite or merge")
@@ -337,21 +341,29 @@ class VersionedTable:
         return outcome
 
     def _write(self, base, source, mode, job, progress, info, started) -> Outcome:
-        rows = feed_ops.without_tombstones(source)
+        rows = feed_ops.strip_metadata(source)
+        schema = base.schema or rows.schema
+        _same_columns(schema, rows)
+        after = self._next(base, job, progress, info, schema=_nullable(schema))
+        # Written once, tombstones beside the rows; both are counted from the footers of their files.
+        dead = F.lit(False)
         if CHANGE_TYPE in source.columns:
-            live = F.count_if(F.coalesce(column(CHANGE_TYPE) != DELETE, F.lit(True)))
-        else:
-            live = F.count(F.lit(1))
-        total, n = source.agg(F.count(F.lit(1)), live).first()
+            dead = F.coalesce(column(CHANGE_TYPE) == DELETE, F.lit(False))
+        part = F.when(dead, TOMBSTONES).otherwise(STATE)
+        marked = feed_ops.strip_metadata(source.withColumn(PART, part))
+        marked.write.mode("overwrite").partitionBy(PART).parquet(f"{self.path}/data/{COMMIT_VERSION}={after.version}")
+        folder = Folder(self.spark, f"{self.path}/data/{COMMIT_VERSION}={after.version}")
+        n, skipped = (
+            self.spark.read.schema(rows.schema).parquet(self._folder(after.version, p)).count()
+            if folder.exists(f"{PART}={p}")
+            else 0
+            for p in (STATE, TOMBSTONES)
+        )
+        folder.remove(f"{PART}={TOMBSTONES}")
+        total = n + skipped
         outcome = Outcome(source_rows=total, appended=n, duration_ms=_since(started))
         if total == 0 or (n == 0 and mode == "append"):
             return self._unchanged(base, job, progress, info, outcome)
-        rows = feed_ops.strip_metadata(rows)
-        schema = base.schema or rows.schema
-        _same_columns(schema, rows)
-        after = self._next(base, job, progress, info, schema=_nullable(schema))
-        if n:
-            rows.write.mode("overwrite").parquet(self._folder(after.version, STATE))
         new = [Extent(None, after.version, after.version, n, *self._files(after.version))] if n else []
         if mode == "append":
             extents = _joined([*base.extents, *new])
@@ -362,7 +374,16 @@ class VersionedTable:
         self._publish(after, mode.upper(), extents, outcome, kind, n, base.extents)
         return outcome
 
-    def _merge(self, base, source, spec, job, progress, info, started) -> Outcome:
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written to the table's staging folder and read from there."""
+        path = f"{self.path}/staging/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _merge(self, base, source, spec, job, progress, info, started, staged) -> Outcome:
+        # Staged before it is counted, so a source or transform that gives other rows when it runs
+        # again cannot make the counts disagree with what is merged.
+        source = source if staged else self.stage(source, f"source-{base.version + 1}")
         total = source.count()
         outcome = Outcome(source_rows=total, duration_ms=_since(started))
         if total == 0:
@@ -435,6 +456,7 @@ class VersionedTable:
         kind = "stored" if changed else "none"
         self._publish(after, "MERGE", extents, outcome, kind, changed, base.extents)
         staging.remove(str(version))
+        staging.remove(f"source-{version}")
         return outcome
 
     def _files(self, version: int) -> tuple[int, int]:

@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 
 from changeflow.schema import EVENT_SCHEMA
 
-# Offsets of so many log partitions travel inside the plan, of so many are broadcast; a log with
-# still more partitions is joined by a shuffle.
+# Offsets given as a dict: of so many log partitions they travel inside the plan, of so many they are
+# broadcast. A table of offsets is joined, by Spark's own choice of how.
 INLINE_PARTITIONS = 32
 BROADCAST_PARTITIONS = 100_000
 
@@ -82,12 +82,6 @@ def merge_offsets(known: DataFrame, seen: DataFrame) -> DataFrame:
     )
 
 
-def offsets_to_dict(offsets: DataFrame) -> dict[str, int] | None:
-    """The offsets as a dict, or None if the log has more partitions than may be broadcast."""
-    rows = offsets.select("partition_id", "sequence_number").take(BROADCAST_PARTITIONS + 1)
-    return None if len(rows) > BROADCAST_PARTITIONS else {r[0]: r[1] for r in rows}
-
-
 def _offset_column(offsets: dict[str, int]) -> Column:
     if not offsets:
         return F.lit(None).cast("bigint")
@@ -104,8 +98,8 @@ def resume_events(
     """Events strictly after the stored offset of their partition.
 
     A partition without an offset is read from the start (``earliest``) or only beyond ``latest``,
-    the offsets when reading began. Offsets are one row per partition, so the events are not
-    shuffled for them.
+    the offsets when reading began. Offsets are one row per partition; nothing runs
+    while this is built.
     """
     start = initial_position(initial)
     if start == "latest" and latest is None:
@@ -114,16 +108,15 @@ def resume_events(
     after = []
     result = events
     for name, table in tables.items():
-        known = table if isinstance(table, dict) else offsets_to_dict(table)
-        if known is not None and len(known) <= INLINE_PARTITIONS:
-            after.append(_offset_column(known))
+        small = isinstance(table, dict) and len(table) <= BROADCAST_PARTITIONS
+        if isinstance(table, dict) and len(table) <= INLINE_PARTITIONS:
+            after.append(_offset_column(table))
             continue
         if isinstance(table, dict):
             table = events.sparkSession.createDataFrame(
                 sorted(table.items()), "partition_id string, sequence_number bigint"
             )
         side = table.select("partition_id", F.col("sequence_number").alias(f"__{name}"))
-        small = known is not None and len(known) <= BROADCAST_PARTITIONS
         result = result.join(F.broadcast(side) if small else side, "partition_id", "left")
         after.append(F.col(f"__{name}"))
     # A partition in neither table has only new events.
@@ -144,6 +137,14 @@ def _loaded(load):
         raise
 
 
+def _last_of_each_key(headers: Column) -> Column:
+    """Header names may repeat; the last value counts."""
+    return F.filter(
+        headers,
+        lambda h, i: ~F.exists(F.slice(headers, i + 2, F.size(headers)), lambda later: later["key"] == h["key"]),
+    )
+
+
 def from_kafka(records: DataFrame) -> DataFrame:
     """Records of Spark's Kafka source in the raw layout (many hosted event logs speak its protocol)."""
     return records.select(
@@ -154,7 +155,7 @@ def from_kafka(records: DataFrame) -> DataFrame:
         F.col("value").alias("body"),
         F.map_from_entries(
             F.transform(
-                "headers",
+                _last_of_each_key(F.col("headers")),
                 lambda h: F.struct(h["key"].alias("key"), h["value"].cast("string").alias("value")),
             )
         ).alias("properties"),

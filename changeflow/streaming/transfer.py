@@ -28,7 +28,8 @@ from changeflow.sources.commits import commit_rows, log_lines
 from changeflow.sources.feeds import DeltaSource
 from changeflow.streaming import tunables as tune
 
-# Commits planned at once; the rest waits for the next plan.
+# Commits planned at once. Where a slice ends has no part in the result: the group that is still open
+# there is planned again with the next slice.
 PLAN_SLICE = 1_000
 
 
@@ -96,10 +97,8 @@ class Transfer:
         last = feed_ops.resolve_start(None, stored.get("version"))
         return last, stored.get("chunk", 0), stored.get("chunks", 1)
 
-    def cap(self, upto: int | None = None) -> int:
-        current = self.source.current_version()
-        cap = feed_ops.end_version(current, self.spec.end_version)
-        return cap if upto is None else min(cap, upto)
+    def cap(self) -> int:
+        return feed_ops.end_version(self.source.current_version(), self.spec.end_version)
 
     # Grouping -----------------------------------------------------------------------------
 
@@ -107,12 +106,14 @@ class Transfer:
         """The next groups after version ``after``. One row per group comes to the driver."""
         if cap <= after:
             return
-        cap = min(cap, after + PLAN_SLICE)
         n = max(self.spec.max_versions, 1)
         if not self.spec.adaptive and self.spec.max_rows <= 0:
             for first in range(after + 1, cap + 1, n):
                 yield Group(first, min(first + n - 1, cap))
             return
+        # At least two groups fit a slice, so leaving out the open one leaves one to apply.
+        end = min(cap, after + max(PLAN_SLICE, 2 * n))
+        more, cap = end < cap, end
         sizes = self._sizes(after, cap)
         if self.spec.adaptive:
             t = tune.load(self.tunables)
@@ -126,6 +127,8 @@ class Transfer:
             .collect()
         )
         for _, first, last, total in rows:
+            if more and last == cap:
+                return
             chunks = 1
             large = self.spec.adaptive and first == last and total > t.split_threshold_rows
             if large and self._can_split():
@@ -156,18 +159,18 @@ class Transfer:
 
     # Applying -----------------------------------------------------------------------------
 
-    def run(self, upto: int | None = None, once: bool = False) -> list[Outcome]:
-        """Apply what is pending up to ``upto`` (or the cap); ``once`` stops after one group."""
+    def run(self, once: bool = False) -> list[Outcome]:
+        """Apply what is pending; ``once`` stops after one group."""
         done: list[Outcome] = []
         last, chunk, chunks = self.progress()
-        if chunk and last < self.cap(upto):
+        if chunk and last < self.cap():
             # Left inside a version: go on with the chunks it was cut into then.
             done += self._apply(Group(last + 1, last + 1, chunks), chunk)
             last += 1
             if once:
                 return done
-        while last < self.cap(upto):
-            for group in self.groups(last, self.cap(upto)):
+        while last < self.cap():
+            for group in self.groups(last, self.cap()):
                 done += self._apply(group)
                 last, self._start = group.last, None
                 if once:
@@ -220,10 +223,10 @@ class Transfer:
             # explicit start asks for again; no new file would announce them.
             self.run()
 
-        def on_batch(batch: DataFrame, _: int) -> None:
-            newest = batch.agg(F.max("version")).first()[0]
-            if newest is not None:
-                self.run(upto=newest)
+        def on_batch(_: DataFrame, __: int) -> None:
+            # New files only say that there is work. All versions that exist are planned together,
+            # so that groups do not depend on which files a trigger happened to bring.
+            self.run()
 
         writer = versions.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
         trigger = {"processingTime": interval} if interval else {"availableNow": True}
@@ -283,32 +286,49 @@ class EventTransfer:
         self.target = VersionedTable(spark, spec.target, spec.buckets)
 
     def offsets(self) -> dict[str, int]:
+        """A report: the offset of every log partition."""
+        return {r.partition_id: r.sequence_number for r in self.offset_table().collect()}
+
+    def offset_table(self) -> DataFrame:
+        """The stored offsets, one row per log partition."""
+        return self._offsets_in(self._progress())
+
+    def _progress(self) -> dict:
         stored = self.target.snapshot().progress.get(self.spec.job, {})
         guard_source(stored.get("source"), self.spec.signature)
-        return stored.get("offsets", {})
+        return stored
+
+    def _offsets_in(self, stored: dict) -> DataFrame:
+        schema = "partition_id string, sequence_number bigint"
+        if "offset_table" in stored:
+            return self.spark.read.schema(schema).parquet(stored["offset_table"])
+        return self.spark.createDataFrame(sorted(stored.get("offsets", {}).items()), schema)
 
     def apply(
         self,
         events: DataFrame,
-        start: dict[str, int],
+        start: DataFrame | dict[str, int],
         latest: dict[str, int] | None = None,
         batch: dict | None = None,
     ) -> Outcome:
-        """Apply one batch of events beyond the ``start`` offsets and move the offsets on."""
-        stored = self.target.snapshot().progress.get(self.spec.job, {})
-        guard_source(stored.get("source"), self.spec.signature)
+        """Apply one batch of events beyond the ``start`` offsets and move the offsets on.
+
+        The batch is read from the log once. Offsets are kept as a table, in turn in one of two folders
+        of which the last commit names the one that counts.
+        """
+        stored = self._progress()
         if batch and stored.get("batch") == batch:
             return Outcome(target_version=self.target.current_version())
         rows = ev.select_partitions(events, self.spec.partitions)
         rows = ev.resume_events(rows, start, self.spec.initial_position, latest)
-        seen = ev.offsets_to_dict(ev.batch_offsets(rows))
-        if seen is None:
-            raise ValueError(f"more than {ev.BROADCAST_PARTITIONS} log partitions")
-        offsets = dict(stored.get("offsets", {}))
-        for partition, number in seen.items():
-            offsets[partition] = max(number, offsets.get(partition, number))
-        progress = {"source": self.spec.signature, "offsets": offsets, "batch": batch}
-        return self.target.apply(rows, self.spec.mode, self.spec.merge, self.spec.job, progress)
+        rows = self.target.stage(rows, f"events-{self.spec.job}")
+        turns = [f"{self.target.path}/offsets/{self.spec.job}-{i}" for i in (0, 1)]
+        other = turns[1] if stored.get("offset_table") == turns[0] else turns[0]
+        moved = ev.merge_offsets(self._offsets_in(stored), rows)
+        moved.write.mode("overwrite").parquet(other)
+        progress = {"source": self.spec.signature, "offset_table": other, "batch": batch}
+        spec = self.spec
+        return self.target.apply(rows, spec.mode, spec.merge, spec.job, progress, staged=True)
 
     def start(
         self, events: DataFrame, checkpoint: str, interval: str | None = None, latest: dict[str, int] | None = None
@@ -319,20 +339,20 @@ class EventTransfer:
         knows what was read. ``latest`` are the offsets a new reader starts behind.
         """
         owner = guard_checkpoint(self.spark, checkpoint, self.spec.signature, self.spec.target)
-        stored = self.target.snapshot().progress.get(self.spec.job, {})
-        guard_source(stored.get("source"), self.spec.signature)
+        stored = self._progress()
         if not stored and latest is None and ev.initial_position(self.spec.initial_position) == "latest":
             raise ValueError("initial position 'latest' needs the offsets at the start")
         base, _, name = checkpoint.rstrip("/").rpartition("/")
         folder, record = Folder(self.spark, base), f"{name}.start.json"
         if not folder.exists(record):
-            first = {"offsets": stored.get("offsets", {}), "latest": latest or {}}
+            first = {"offset_table": f"{base}/{name}.start-offsets", "latest": latest or {}}
+            self._offsets_in(stored).write.mode("overwrite").parquet(first["offset_table"])
             folder.create(record, json.dumps(first))
         begin = json.loads(folder.read(record))
 
         def on_batch(batch: DataFrame, number: int) -> None:
             key = {"stream": owner["stream"], "number": number}
-            self.apply(batch, begin["offsets"], begin["latest"], key)
+            self.apply(batch, self._offsets_in(begin), begin["latest"], key)
 
         writer = events.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
         trigger = {"processingTime": interval} if interval else {"availableNow": True}
