@@ -144,13 +144,30 @@ def json_extract(spark, sf):
     )
 
 
+_NESTED = """SELECT event_id, '{"a": {"n": [' || event_id || ', {"t": "' || event_type || '"}], "0": true},'
+  || ' "it''s": ' || props || ', "v": ' || value || '}' AS j FROM events"""
+
+
 @query(
     "json_extract_sql",
-    "SELECT event_id, json_extract_string(props, '$.k') AS text, "
-    "TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS n FROM events",
+    f"""WITH e AS ({_NESTED}) SELECT event_id, json_extract_string(j, '$.a.n[1].t') AS text,
+  CAST(json_extract_string(j, '$.a.n[0]') AS BIGINT) AS n, CAST(json_extract_string(j, '$.v') AS DOUBLE) AS x,
+  true AS flag, CAST(json_extract_string(j, '$."it''s".k') AS BIGINT) AS quoted, 2 AS n_items, 3 AS n_keys,
+  CAST(NULL AS VARCHAR) AS missing, '{{"t":"' || json_extract_string(j, '$.a.n[1].t') || '"}}' AS inner_json,
+  json_extract_string(j, '$.a.n[1].t') AS as_text, true AS has, json_extract_string(j, '$.a.n[0]') AS any_value,
+  'a,it''s,v' AS keys FROM e""",
 )
 def json_extract_sql(spark, sf):
+    """Every JSON function by its SQL name, over nested values, positions and a key with a quote."""
+    e = fx.table(spark, sf, "events")
+    start = F.concat(F.lit('{"a": {"n": ['), "event_id", F.lit(', {"t": "'), "event_type", F.lit('"}], "0": true}, '))
+    j = F.concat(start, F.lit('"it\'s": '), "props", F.lit(', "v": '), "value", F.lit("}"))
     return sql_transform(
-        fx.table(spark, sf, "events"),
-        "SELECT event_id, json_get_str(props, 'k') AS text, json_get_int(props, 'k') AS n FROM __src",
+        e.select("event_id", j.alias("j")),
+        """SELECT event_id, json_get_str(j, 'a', 'n', 1, 't') AS text, json_get_int(j, 'a', 'n', 0) AS n,
+  json_get_float(j, 'v') AS x, json_get_bool(j, 'a', '0') AS flag, json_get_int(j, "it's", 'k') AS quoted,
+  json_length(j, 'a', 'n') AS n_items, json_length(j) AS n_keys, json_get_str(j, 'a', 'none') AS missing,
+  json_get_json(j, 'a', 'n', 1) AS inner_json, json_as_text(j, 'a', 'n', 1, 't') AS as_text,
+  json_contains(j, "it's") AS has, to_json(json_get(j, 'a', 'n', 0)) AS any_value,
+  array_join(json_object_keys(j), ',') AS keys FROM __src""",
     )

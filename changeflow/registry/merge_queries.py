@@ -130,6 +130,38 @@ def merge_null_keys(spark, sf):
     return merge(tgt, src, spec).drop("_tie")
 
 
+_TEXT_KEY = "CASE WHEN user_id % 7 = 0 THEN concat('x', user_id) ELSE concat('0', user_id) END"
+
+
+@query(
+    "merge_key_cast",
+    fx.merge_sql(
+        f"SELECT user_id, event_type, value FROM ({fx.TARGET}) t",
+        "SELECT TRY_CAST(k AS BIGINT) AS user_id, event_type, value, _change_type FROM ("
+        + fx.last_sql(
+            f"SELECT {_TEXT_KEY} AS k, event_type, value, _change_type, _commit_version, event_id FROM ({fx.POST}) p",
+            "k",
+            _NEWEST,
+        )
+        + ") s",
+        ["user_id"],
+        ["user_id", "event_type", "value"],
+    ),
+)
+def merge_key_cast(spark, sf):
+    """Keys come as text, the target has numbers; what is no number becomes NULL and matches nothing."""
+    tgt = fx.target(spark, sf).select("user_id", "event_type", "value")
+    src = ops.postimages(fx.feed(spark, sf)).select(
+        F.expr(_TEXT_KEY).alias("user_id"),
+        "event_type",
+        "value",
+        "_change_type",
+        "_commit_version",
+        F.col("event_id").alias("_tie"),
+    )
+    return merge(tgt, src, MergeSpec(("user_id",), tie_breakers=("_tie",))).drop("_tie")
+
+
 @query(
     "merge_composite_key",
     fx.merge_sql(

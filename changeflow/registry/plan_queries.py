@@ -26,7 +26,7 @@ _HOURLY = (
 )
 
 
-def _greedy(commits, split, limit, k, select):
+def greedy(commits, split, limit, k, select):
     return f"""WITH RECURSIVE commits AS ({commits}),
 o AS (SELECT version, "rows" AS n, row_number() OVER (ORDER BY version) AS i FROM commits),
 r(i, version, n, g, s, k, sp) AS (
@@ -43,25 +43,25 @@ plan AS (SELECT version, n AS "rows", g AS "group", CASE WHEN n > {split} THEN '
 
 _ALL = 'SELECT version, "rows", "group", mode FROM plan'
 _NO_MODE = 'SELECT version, "rows", "group" FROM plan'
-_HUGE = 9_000_000_000_000
+HUGE = 9_000_000_000_000
 
 
-@query("plan_adaptive", _greedy(fx.COMMITS, SPLIT, MERGE, K, _ALL))
+@query("plan_adaptive", greedy(fx.COMMITS, SPLIT, MERGE, K, _ALL))
 def plan_adaptive(spark, sf):
     return plans.plan_adaptive(fx.commits(spark, sf), SPLIT, MERGE)
 
 
-@query("plan_adaptive_hourly", _greedy(_HOURLY, 22, 60, K, _ALL))
+@query("plan_adaptive_hourly", greedy(_HOURLY, 22, 60, K, _ALL))
 def plan_adaptive_hourly(spark, sf):
     return plans.plan_adaptive(_commits(spark, sf), 22, 60)
 
 
-@query("plan_row_cap", _greedy(fx.COMMITS, _HUGE, CAP, K, _NO_MODE))
+@query("plan_row_cap", greedy(fx.COMMITS, HUGE, CAP, K, _NO_MODE))
 def plan_row_cap(spark, sf):
     return plans.plan_row_cap(fx.commits(spark, sf), CAP)
 
 
-@query("plan_row_cap_hourly", _greedy(_HOURLY, _HUGE, 100, K, _NO_MODE))
+@query("plan_row_cap_hourly", greedy(_HOURLY, HUGE, 100, K, _NO_MODE))
 def plan_row_cap_hourly(spark, sf):
     return plans.plan_row_cap(_commits(spark, sf), 100)
 
@@ -115,7 +115,7 @@ def chunk_by_key(spark, sf):
 
 @query(
     "progress_table",
-    _greedy(
+    greedy(
         fx.COMMITS,
         SPLIT,
         MERGE,

@@ -11,9 +11,11 @@ from changeflow.registry import fixtures as fx
 from changeflow.registry.base import query
 from changeflow.registry.event_queries import JSON_MERGE
 from changeflow.registry.feed_queries import SNAPSHOT_DIFF, snapshots
+from changeflow.registry.plan_queries import HUGE, greedy
 from changeflow.session import work_dir
 from changeflow.sinks.table import VersionedTable
 from changeflow.sources import events as ev
+from changeflow.sources.feeds import stream_changes as stream_folder
 from changeflow.streaming.transfer import EventSpec, EventTransfer, Transfer, TransferSpec
 
 _NEWEST = "_commit_version DESC NULLS FIRST, event_id DESC NULLS FIRST"
@@ -172,3 +174,95 @@ def snapshot_track(spark, sf):
     for snapshot in snapshots(spark, sf):
         jobs.track_snapshot(table, snapshot, ["k"])
     return table.read_feed(1, 1).select("k", "st", "p", "_change_type")
+
+
+def _run(spark, root, mode, once=False, **options):
+    spec = TransferSpec(f"{root}/source", f"{root}/target", mode, buckets=BUCKETS, **options)
+    Transfer(spark, spec).run(once=once)
+    return VersionedTable(spark, spec.target)
+
+
+_LIVE = f"SELECT {_DATA} FROM ({fx.POST}) p WHERE _change_type <> 'delete'"
+
+
+@query("stream_overwrite_groups", f"{_LIVE} AND _commit_version >= 28")
+def stream_overwrite_groups(spark, sf):
+    """Groups of seven of 30 versions: the last two are what an overwritten target ends with."""
+    root = work_dir(spark, "stream-groups")
+    _source(spark, sf, root)
+    return _stream(spark, root, "overwrite", max_versions=7).read()
+
+
+@query(
+    "stream_row_cap",
+    greedy(
+        fx.COMMITS,
+        HUGE,
+        '(SELECT 3 * max("rows") FROM commits)',
+        7,
+        f"{_LIVE} AND _commit_version IN "
+        '(SELECT version FROM plan WHERE "group" = (SELECT max("group") FROM plan))',
+    ),
+)
+def stream_row_cap(spark, sf):
+    """Groups by rows, as the plan makes them: an overwritten target ends with the plan's last group."""
+    root = work_dir(spark, "stream-rows")
+    _source(spark, sf, root)
+    largest = ops.commit_sizes(fx.feed(spark, sf)).agg(F.max("rows")).first()[0]
+    return _stream(spark, root, "overwrite", max_versions=7, max_rows=3 * largest).read()
+
+
+@query("stream_once", f"{_LIVE} AND _commit_version < 10")
+def stream_once(spark, sf):
+    """One group of ten versions, then the job ends."""
+    root = work_dir(spark, "stream-once")
+    _source(spark, sf, root)
+    return _run(spark, root, "append", once=True).read()
+
+
+@query("stream_replay", f"{_LIVE}")
+def stream_replay(spark, sf):
+    """A job that runs again, also beside a stream with a checkpoint of its own, adds nothing twice."""
+    root = work_dir(spark, "stream-replay")
+    _source(spark, sf, root)
+    _run(spark, root, "append", once=True)
+    _run(spark, root, "append")
+    return _stream(spark, root, "append").read()
+
+
+@query("stream_changes", f"SELECT {_DATA}, _change_type, _commit_version FROM ({fx.FEED}) f WHERE _commit_version BETWEEN 5 AND 9")
+def stream_changes(spark, sf):
+    """A feed stored in folders of commits, streamed file by file."""
+    root = work_dir(spark, "stream-changes")
+    feed = fx.feed(spark, sf).drop("_commit_timestamp")
+    feed.write.partitionBy("_commit_version").parquet(f"{root}/feed")
+    new = stream_folder(spark, f"{root}/feed", feed.schema, 7).where("_commit_version BETWEEN 5 AND 9")
+    writer = new.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
+    writer.start(f"{root}/out", format="parquet").awaitTermination()
+    return spark.read.parquet(f"{root}/out").select(*feed.columns)
+
+
+@query("merge_empty_batch", fx.TARGET)
+def merge_empty_batch(spark, sf):
+    """Empty batches, and one of nothing but pre-images, leave the target as it is."""
+    table = _accounts(spark, sf, work_dir(spark, "merge-empty"))
+    feed = fx.feed(spark, sf)
+    for mode, spec in (("merge", _BY_USER), ("append", None)):
+        table.apply(feed.limit(0), mode, spec)
+    table.apply(ops.postimages(feed.where("_change_type = 'update_preimage'")), "merge", _BY_USER)
+    return table.read()
+
+
+@query("event_replay", f"SELECT partition_id, sequence_number, body FROM ({fx.EVENT_LOG}) e")
+def event_replay(spark, sf):
+    """A batch of events delivered twice, then the whole log again from the stored offsets."""
+    root = work_dir(spark, "event-replay")
+    spec = EventSpec("files|replay|$Default", f"{root}/target", "append", initial_position="earliest")
+    log = fx.event_log(spark, sf).drop("properties")
+    transfer = EventTransfer(spark, spec)
+    first = log.where("sequence_number % 3 = 0 AND sequence_number < 500 OR sequence_number < 400")
+    for _ in range(2):
+        transfer.apply(first, {}, batch={"stream": "s", "number": 0})
+    transfer.apply(log.where("NOT (sequence_number % 3 = 0 AND sequence_number < 500 OR sequence_number < 400)"), {})
+    transfer.apply(log, transfer.offset_table())
+    return transfer.target.read().select("partition_id", "sequence_number", "body")
