@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +13,8 @@ from pyspark.sql import types as T
 from changeflow.schema import column
 
 BITS = 8
+#: Bounds are searched and sent to tasks, so a column has at most so many bits; and rows sampled a bound.
+MOST_BITS, SAMPLED = 12, 8
 
 
 def interleave(ranks: Sequence[Column], bits: int = BITS) -> Column:
@@ -25,13 +29,18 @@ def interleave(ranks: Sequence[Column], bits: int = BITS) -> Column:
     return key
 
 
+def bits_for(files: int, columns: int) -> int:
+    """Bits a column so that the curve has some sixteen cells for each file."""
+    cells = max(files, 1) * 16
+    return min(max(BITS, -(-(cells - 1).bit_length() // columns)), MOST_BITS, 63 // columns)
+
+
 def _sortable(df: DataFrame, name: str) -> Column:
-    """A column as a number that keeps its order; text by its first seven bytes."""
+    """A column as text, or as a number that keeps its order."""
     kind = df.schema[name].dataType
     c = column(name)
     if isinstance(kind, T.StringType):
-        padded = F.rpad(F.substring(F.hex(F.encode(c, "UTF-8")), 1, 14), 14, "0")
-        return F.conv(padded, 16, 10).cast("double")
+        return c
     if isinstance(kind, T.TimestampType | T.TimestampNTZType):
         return F.unix_micros(c.cast("timestamp")).cast("double")
     if isinstance(kind, T.DateType):
@@ -41,27 +50,42 @@ def _sortable(df: DataFrame, name: str) -> Column:
     return c.cast("double")
 
 
-def quantile_ranks(df: DataFrame, columns: Sequence[str], bits: int = BITS) -> list[Column]:
+def _bounds(df: DataFrame, columns: Sequence[str], bits: int, sample_by: Column | None) -> list[np.ndarray]:
+    """Per column, the ``2**bits - 1`` values that cut a sample of the rows into equal parts.
+
+    The sample is bounded: ``SAMPLED`` rows for each part, those that come first by ``sample_by`` (such as a
+    hash of a unique column), else at random.
+    """
+    order = F.rand(17) if sample_by is None else sample_by
+    some = df.select(*[_sortable(df, c).alias(f"c{i}") for i, c in enumerate(columns)], order.alias("o"))
+    rows = some.orderBy("o").limit(SAMPLED * 2**bits).collect()
+    out = []
+    for i in range(len(columns)):
+        values = sorted(r[i] for r in rows if r[i] is not None and r[i] == r[i])
+        at = [max(0, -(-k * len(values) // 2**bits) - 1) for k in range(1, 2**bits)]
+        kind = object if isinstance(df.schema[columns[i]].dataType, T.StringType) else np.float64
+        out.append(np.array([values[k] for k in at] if values else [], kind))
+    return out
+
+
+def _ranks(values: pd.Series, bounds: np.ndarray) -> np.ndarray:
+    """How many of the sorted bounds are not above each value; 0 for NULL."""
+    out = np.zeros(len(values), np.int64)
+    known = values.notna().to_numpy()
+    out[known] = np.searchsorted(bounds, values[known].to_numpy(bounds.dtype), side="right")
+    return out
+
+
+def quantile_ranks(
+    df: DataFrame, columns: Sequence[str], bits: int = BITS, sample_by: Column | None = None
+) -> list[Column]:
     """A rank of ``0 .. 2**bits - 1`` per column, about the same number of rows in each.
 
-    The bounds come from one job of mergeable sketches. A row finds its rank by binary search in
-    them; NULLs get rank 0.
+    Ranks keep the column's order, text by all of its characters. NULLs get rank 0.
     """
-    cuts = [i / 2**bits for i in range(1, 2**bits)]
-    accuracy = 2 ** (bits + 1)
-    bounds = df.agg(*[F.percentile_approx(_sortable(df, c), cuts, accuracy) for c in columns]).first()
-    return [
-        _search(_sortable(df, name), bound or [0.0] * len(cuts), bits)
-        for name, bound in zip(columns, bounds, strict=True)
-    ]
-
-
-def _search(value: Column, bounds: Sequence[float], bits: int) -> Column:
-    """How many of the ``2**bits - 1`` sorted bounds are not above ``value``."""
-    table = F.array(*[F.lit(b) for b in bounds])
-    steps = F.array(*[F.lit(2**i) for i in reversed(range(bits))])
-    return F.aggregate(
-        steps,
-        F.lit(0),
-        lambda at, step: F.when(F.get(table, at + step - 1) <= value, at + step).otherwise(at),
-    )
+
+    def ranked(name: str, bounds: np.ndarray) -> Column:
+        rank = F.pandas_udf(lambda values: pd.Series(_ranks(values, bounds)), "bigint")
+        return rank(_sortable(df, name))
+
+    return [ranked(name, bounds) for name, bounds in zip(columns, _bounds(df, columns, bits, sample_by), strict=True)]

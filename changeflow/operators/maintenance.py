@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changeflow.functions.zorder import interleave, quantile_ranks
+from changeflow.functions.zorder import bits_for, interleave, quantile_ranks
 from changeflow.schema import column
 
 TARGET_FILE_BYTES = 256 * 1024 * 1024
@@ -47,8 +47,10 @@ def compacted(df: DataFrame, total_bytes: int, target_bytes: int = TARGET_FILE_B
     return df.repartition(max(1, -(-total_bytes // target_bytes)))
 
 
-def zorder_key(df: DataFrame, columns: Sequence[str]) -> Column:
-    return interleave(quantile_ranks(df, columns))
+def zorder_key(df: DataFrame, columns: Sequence[str], partitions: int = 1) -> Column:
+    """The curve's key; it is the finer, the more partitions it has to tell apart."""
+    bits = bits_for(partitions, len(columns))
+    return interleave(quantile_ranks(df, columns, bits), bits)
 
 
 def zorder_cluster(
@@ -64,7 +66,8 @@ def zorder_cluster(
     further and the range partitioner can cut between them. Pass a row id, such as file and row
     index, where whole rows repeat. ``within`` names columns, such as a bucket, to sort by first.
     """
-    key = zorder_key(df, columns)
+    # Along one column the curve is its order.
+    key = column(columns[0]) if len(columns) == 1 else zorder_key(df, columns, partitions)
     rest = F.xxhash64(*[column(c) for c in df.columns]) if spread is None else spread
     keyed = df.withColumn("__z", key).withColumn("__spread", rest)
     return (

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from changeflow.functions.zorder import interleave
+from changeflow.functions.zorder import SAMPLED, interleave, quantile_ranks
 from changeflow.operators import datagen, inspect, maintenance, runs
 from changeflow.registry import fixtures as fx
 from changeflow.registry.base import query
@@ -153,6 +153,56 @@ def zorder_cluster(spark, sf):
     return maintenance.zorder_cluster(o, ["o_orderdate", "o_custkey"], 8)
 
 
+_BITS = 5
+_TEXT = "'https://example.com/items/' || o_orderpriority || '/' || o_orderkey"
+
+
+def _rank(name):
+    return f"""(SELECT count(*) FROM (SELECT b.{name} FROM numbered b JOIN range(1, {2**_BITS}) t(k)
+      ON b.rn_{name} = greatest(1, (t.k * b.n + {2**_BITS - 1}) // {2**_BITS})) x WHERE x.{name} <= o.{name})"""
+
+
+@query(
+    "zorder_ranks",
+    f"""WITH o AS (SELECT o_orderkey, o_totalprice AS price, {_TEXT} AS url FROM orders),
+drawn AS (SELECT * FROM o ORDER BY md5(CAST(o_orderkey AS VARCHAR)) LIMIT {SAMPLED * 2**_BITS}),
+numbered AS (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY price) AS rn_price,
+  row_number() OVER (ORDER BY url) AS rn_url FROM drawn)
+SELECT o_orderkey, {_rank("price")} AS price_rank, {_rank("url")} AS url_rank FROM o""",
+)
+def zorder_ranks(spark, sf):
+    """Ranks of numbers and of long texts that begin alike."""
+    url = F.concat(F.lit("https://example.com/items/"), "o_orderpriority", F.lit("/"), F.col("o_orderkey").cast("string"))
+    o = fx.table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"), url.alias("url"))
+    price, text = quantile_ranks(o, ["price", "url"], _BITS, F.md5(F.col("o_orderkey").cast("string").cast("binary")))
+    return o.select("o_orderkey", price.alias("price_rank"), text.alias("url_rank"))
+
+
+@query(
+    "zorder_overlap",
+    "SELECT 16 AS partitions, CAST(count(*) AS BIGINT) AS rows, true AS narrow_keys, true AS narrow_texts FROM orders",
+)
+def zorder_overlap(spark, sf):
+    """How much of each column's range a partition spans: rows left as they are would span all of it."""
+    url = F.concat(F.lit("https://example.com/"), F.lpad(F.pmod(F.xxhash64("o_orderkey"), F.lit(10**9)).cast("string"), 9, "0"))
+    o = fx.table(spark, sf, "orders").select("o_custkey", url.alias("url"), F.expr("cast(right(url, 9) AS bigint)").alias("place"))
+    placed = maintenance.zorder_cluster(o, ["o_custkey", "url"], 16).withColumn("p", F.spark_partition_id())
+    spans = placed.groupBy("p").agg(
+        F.count("*").alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("o_custkey", "place") for f in (F.min, F.max)]
+    )
+
+    def narrow(c):
+        whole = F.max(f"max_{c}") - F.min(f"min_{c}")
+        return F.avg((F.col(f"max_{c}") - F.col(f"min_{c}")).cast("double")) < 0.5 * whole
+
+    return spans.agg(
+        F.count("*").cast("int").alias("partitions"),
+        F.sum("n").alias("rows"),
+        narrow("o_custkey").alias("narrow_keys"),
+        narrow("place").alias("narrow_texts"),
+    )
+
+
 _Z = " | ".join(
     [f"((((o_custkey % 256) >> {i}) & 1) << {2 * i})" for i in range(8)]
     + [f"((((o_orderkey % 256) >> {i}) & 1) << {2 * i + 1})" for i in range(8)]
