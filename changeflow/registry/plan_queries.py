@@ -101,6 +101,21 @@ def chunk_assign(spark, sf):
     return plans.chunk_by_position(f, CHUNK, "event_id")
 
 
+@query(
+    "chunk_assign_sparse",
+    f"""WITH f AS ({fx.FEED}), p AS (SELECT event_id * 10000000 - 40000000000 AS event_id, _commit_version,
+  row_number() OVER (PARTITION BY _commit_version ORDER BY event_id) - 1 AS pos,
+  count(*) OVER (PARTITION BY _commit_version) AS m FROM f),
+n AS (SELECT *, greatest(ceil(m / {CHUNK}.0), 2)::BIGINT AS n FROM p)
+SELECT _commit_version, event_id, least(pos // greatest(m // n, 1), n - 1) AS chunk FROM n""",
+)
+def chunk_assign_sparse(spark, sf):
+    """Ids far apart, as hashes and timestamps are: nearly every row is a slice of its own."""
+    wide = (F.col("event_id") * 10_000_000 - 40_000_000_000).alias("event_id")
+    f = fx.feed(spark, sf).select("_commit_version", wide)
+    return plans.chunk_by_position(f, CHUNK, "event_id")
+
+
 @query(
     "chunk_assign_by_key",
     f"""SELECT _commit_version, count(*) AS "rows", count(DISTINCT user_id) AS parts
