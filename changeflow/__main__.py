@@ -11,7 +11,8 @@ from changeflow import jobs
 from changeflow.operators.merge import parse_mode
 from changeflow.session import configure
 from changeflow.sinks.table import VersionedTable
-from changeflow.streaming.transfer import Transfer, TransferSpec
+from changeflow.sources.events import stream_event_files
+from changeflow.streaming.transfer import EventSpec, EventTransfer, Transfer, TransferSpec, log_signature
 
 
 def parser() -> argparse.ArgumentParser:
@@ -37,8 +38,25 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--max-input-rows-per-batch", type=int, default=0)
     s.add_argument("--adaptive", action="store_true", help="group and split commits by row count")
     s.add_argument("--once", action="store_true", help="apply one group and end")
+    s.add_argument("--buckets", type=int, default=64, help="key buckets of a merge target made here")
     s.add_argument("--interval", help="keep running, e.g. '5 seconds'; else drain and end")
 
+    n = commands.add_parser("stream-events", help="move an event log, as parquet files, into a table")
+    n.add_argument("events", help="folder of normalised events")
+    n.add_argument("--log", required=True, help="namespace|name[|consumer group] that stored offsets belong to")
+    n.add_argument("--target", required=True)
+    n.add_argument("--sink-mode", default="append")
+    n.add_argument("--merge-keys", default="")
+    n.add_argument("--merge-update-columns", default="")
+    n.add_argument("--transform-sql")
+    n.add_argument("--partitions", default="", help="only these log partitions")
+    n.add_argument("--initial-position", default="earliest")
+    n.add_argument("--max-files-per-batch", type=int, default=100)
+    n.add_argument("--checkpoint", required=True)
+    n.add_argument("--once", action="store_true", help="take what is there as one batch and end")
+    n.add_argument("--interval", help="keep running, e.g. '5 seconds'; else drain and end")
+    n.add_argument("--buckets", type=int, default=64, help="key buckets of a merge target made here")
+
     c = commands.add_parser("create-table", help="make a wide test table")
     c.add_argument("table")
     c.add_argument("--rows", type=int, default=200_000)
@@ -101,6 +119,7 @@ def stream(spark: SparkSession, a: argparse.Namespace) -> None:
         max_rows=a.max_input_rows_per_batch,
         adaptive=a.adaptive,
         source_format=a.source_format,
+        buckets=a.buckets,
     )
     transfer = Transfer(spark, spec)
     if a.once:
@@ -112,12 +131,31 @@ def stream(spark: SparkSession, a: argparse.Namespace) -> None:
     transfer.follow(a.checkpoint, a.interval)
 
 
+def stream_events(spark: SparkSession, a: argparse.Namespace) -> None:
+    mode, merge = parse_mode(a.sink_mode, a.merge_keys, a.merge_update_columns, transform_sql=a.transform_sql)
+    signature = log_signature(*(part.strip() for part in a.log.split("|", 2)))
+    spec = EventSpec(
+        signature,
+        a.target,
+        mode,
+        merge,
+        partitions=a.partitions or None,
+        initial_position=a.initial_position,
+        buckets=a.buckets,
+    )
+    events = stream_event_files(spark, a.events, max_files=a.max_files_per_batch)
+    EventTransfer(spark, spec).start(events, a.checkpoint, a.interval, once=a.once).awaitTermination()
+
+
 def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
     spark = configure(SparkSession.builder.appName("changeflow").getOrCreate())
     if a.command == "stream":
         stream(spark, a)
         return
+    if a.command == "stream-events":
+        stream_events(spark, a)
+        return
     if a.command == "create-table":
         table = jobs.create_table(
             spark, a.table, a.rows, a.commits, a.columns, _names(a.zorder_by), a.overwrite

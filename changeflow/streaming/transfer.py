@@ -331,10 +331,17 @@ class EventTransfer:
         return self.target.apply(rows, spec.mode, spec.merge, spec.job, progress, staged=True)
 
     def start(
-        self, events: DataFrame, checkpoint: str, interval: str | None = None, latest: dict[str, int] | None = None
+        self,
+        events: DataFrame,
+        checkpoint: str,
+        interval: str | None = None,
+        latest: dict[str, int] | None = None,
+        once: bool = False,
     ) -> StreamingQuery:
         """Stream events; without ``interval`` what is there is drained and the query ends.
 
+        ``once`` takes what is there as a single batch, one commit of the target.
+
         Stored offsets matter when the streaming checkpoint is new; later the checkpoint itself
         knows what was read. ``latest`` are the offsets a new reader starts behind.
         """
@@ -356,5 +363,6 @@ class EventTransfer:
 
         writer = events.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
         trigger = {"processingTime": interval} if interval else {"availableNow": True}
+        trigger = {"once": True} if once else trigger
         return writer.trigger(**trigger).start()
 

@@ -5,6 +5,7 @@ from concurrent.futures import ThreadPoolExecutor
 import pytest
 from pyspark.sql import functions as F
 
+from changeflow.__main__ import main
 from changeflow.operators.merge import MergeSpec, merge
 from changeflow.operators.transform import sql_transform
 from changeflow.sinks.table import VersionedTable
@@ -99,3 +100,22 @@ def test_resuming_is_built_without_a_job(spark):
     assert not tracker.getJobIdsForGroup(group)
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert got.count() == 40 - 10
+
+
+def test_an_event_log_from_the_command_line(spark, folder):
+    events = spark.range(60).selectExpr(
+        "cast(id % 3 AS string) AS partition_id", "cast(id AS string) AS offset", "id AS sequence_number",
+        "now() AS enqueued_time", "concat('{\"k\": {\"id\": ', id % 7, '}}') AS body", "cast(NULL AS string) AS properties",
+    )
+    arguments = ["stream-events", f"{folder}/e", "--log", "files|e", "--target", f"{folder}/t", "--sink-mode", "merge", "--merge-keys", "id"]
+    arguments += ["--transform-sql", "SELECT json_get_int(body, 'k', 'id') AS id, sequence_number FROM __src", "--checkpoint", f"{folder}/c"]
+    arguments += ["--max-files-per-batch", "1", "--once", "--buckets", "3"]
+    table = VersionedTable(spark, f"{folder}/t")
+    for low in (0, 40):
+        events.where(f"sequence_number BETWEEN {low} AND {low + 39}").repartition(3).write.mode("append").parquet(f"{folder}/e")
+        main(arguments)
+    # Two runs of one batch each, though a batch was to have one file: once takes what is there.
+    assert table.current_version() == 1 and table.snapshot().buckets == 3
+    assert rows(table.read()) == [(k, max(i for i in range(60) if i % 7 == k)) for k in range(7)]
+    spec = tr.EventSpec(tr.log_signature("files", "e"), f"{folder}/t", "append")
+    assert tr.EventTransfer(spark, spec).offsets() == {"0": 57, "1": 58, "2": 59}
