@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from changeflow.operators import feed as feed_ops
-from changeflow.operators.merge import MergeSpec
+from changeflow.operators.merge import MergeSpec, with_key_bucket
 from changeflow.plans.grouping import key_chunk, plan_adaptive, plan_row_cap
 from changeflow.schema import column, hashable_columns
 from changeflow.sinks.files import Folder
@@ -31,6 +31,7 @@ from changeflow.streaming import tunables as tune
 # Commits planned at once. Where a slice ends has no part in the result: the group that is still open
 # there is planned again with the next slice.
 PLAN_SLICE = 1_000
+CHUNK = "__chunk"
 
 
 @dataclass(frozen=True)
@@ -133,6 +134,8 @@ class Transfer:
             large = self.spec.adaptive and first == last and total > t.split_threshold_rows
             if large and self._can_split():
                 chunks = max(-(-total // t.chunk_target_rows), 2)
+                if self.spec.mode == "merge":
+                    chunks = max(min(chunks, self._buckets()), 1)
             yield Group(first, last, chunks)
 
     def _can_split(self) -> bool:
@@ -180,11 +183,20 @@ class Transfer:
     def _apply(self, group: Group, first_chunk: int = 0) -> Iterator[Outcome]:
         feed = self.source.read_feed(group.first, group.last)
         changes = feed_ops.read_changes(feed, group.first, group.last)
+        staged = f"split-{self.spec.job}"
+        if group.chunks > 1:
+            # The commit is read once and written once, a folder for each chunk.
+            path = f"{self.target.path}/staging/{staged}"
+            divided = self._divide(changes, group.chunks)
+            divided.write.mode("overwrite").partitionBy(CHUNK).parquet(path)
+            schema = changes.schema
         label = f"v{group.first}" if group.first == group.last else f"v{group.first}-v{group.last}"
         for chunk in range(first_chunk, group.chunks):
             part, name = changes, label
             if group.chunks > 1:
-                part = self._chunk(changes, group.chunks, chunk)
+                folder = f"{CHUNK}={chunk}"
+                there = Folder(self.spark, path).exists(folder)
+                part = self.spark.read.schema(schema).parquet(f"{path}/{folder}") if there else changes.limit(0)
                 name = f"{label}[chunk {chunk + 1}/{group.chunks}]"
             complete = chunk + 1 == group.chunks
             progress = {
@@ -194,13 +206,26 @@ class Transfer:
                 "chunks": group.chunks,
             }
             yield self.target.apply(
-                part, self.spec.mode, self.spec.merge, self.spec.job, progress, {"range": name}
+                part, self.spec.mode, self.spec.merge, self.spec.job, progress, {"range": name}, staged=group.chunks > 1
             )
+        if group.chunks > 1:
+            Folder(self.spark, f"{self.target.path}/staging").remove(staged)
 
-    def _chunk(self, changes: DataFrame, chunks: int, chunk: int) -> DataFrame:
-        """One of the disjoint parts of a commit; in a merge all changes of a key stay together."""
-        keys = self.spec.merge.keys if self.spec.merge else hashable_columns(changes)
-        return changes.where(key_chunk([column(k) for k in keys], chunks) == chunk)
+    def _buckets(self) -> int:
+        return self.target.snapshot().buckets or self.target.buckets
+
+    def _divide(self, changes: DataFrame, chunks: int) -> DataFrame:
+        """A commit with the number of each row's chunk.
+
+        In a merge a chunk is a range of the target's buckets, so all changes of a key stay together and
+        no two chunks rewrite the same rows.
+        """
+        if not self.spec.merge:
+            keys = hashable_columns(changes)
+            return changes.withColumn(CHUNK, key_chunk([column(k) for k in keys], chunks))
+        buckets = self._buckets()
+        numbered = with_key_bucket(changes, self.spec.merge.keys, buckets, CHUNK, self.target.snapshot().schema)
+        return numbered.withColumn(CHUNK, F.floor(F.col(CHUNK) * chunks / buckets).cast("int"))
 
     # Streaming ----------------------------------------------------------------------------
 

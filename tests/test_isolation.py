@@ -119,3 +119,29 @@ def test_an_event_log_from_the_command_line(spark, folder):
     assert rows(table.read()) == [(k, max(i for i in range(60) if i % 7 == k)) for k in range(7)]
     spec = tr.EventSpec(tr.log_signature("files", "e"), f"{folder}/t", "append")
     assert tr.EventTransfer(spark, spec).offsets() == {"0": 57, "1": 58, "2": 59}
+
+
+def test_chunks_of_a_commit_rewrite_disjoint_buckets(spark, folder):
+    rows_ = spark.range(2_000).selectExpr("id AS k", "id AS v")
+    table = VersionedTable(spark, f"{folder}/t", 8)
+    table.apply(rows_, "merge", MergeSpec(("k",)))
+    seen = spark.sparkContext.accumulator(0)
+
+    def tell(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    f = spark.range(2_000).selectExpr("id AS k", "-id AS v", "'insert' AS _change_type", "0L AS _commit_version", "now() AS _commit_timestamp")
+    VersionedTable(spark, f"{folder}/s").import_feed(f)
+    t = tr.Transfer(spark, tr.TransferSpec(f"{folder}/s", f"{folder}/t", "merge", MergeSpec(("k",)), adaptive=True, buckets=8))
+    read = t.source.read_feed
+    t.source.read_feed = lambda a, b: read(a, b).mapInArrow(tell, read(a, b).schema)
+    t.tunables.create("tunables-0000000000.json", '{"split_threshold_rows": 1000, "chunk_target_rows": 450, "merge_threshold_rows": 1000}')
+    done = t.run()
+    assert len(done) == 5 and seen.value == 2_000
+    snapshot = table.snapshot()
+    # Every bucket was written by exactly one of the five commits, so no row was written twice.
+    assert sorted(e.bucket for e in snapshot.extents) == list(range(8)) and {e.first for e in snapshot.extents} == {1, 2, 3, 4, 5}
+    changed = spark.read.parquet(f"{folder}/t/data").where("_commit_version >= 1 AND _part = 'state'").count()
+    assert changed <= 2_200 and rows(table.read()) == [(i, -i) for i in range(2_000)]

@@ -88,11 +88,11 @@ def test_a_split_commit_resumes_at_its_chunk(spark, folder, feed, mode, spec, mo
     t.tunables.create("tunables-0000000000.json", json.dumps(values))
     apply, calls = VersionedTable.apply, []
 
-    def fails_in_the_second_version(self, *args):
+    def fails_in_the_second_version(self, *args, **options):
         calls.append(args[-1]["range"])
         if len(calls) == 5:
             raise RuntimeError("lost")
-        return apply(self, *args)
+        return apply(self, *args, **options)
 
     with monkeypatch.context() as m:
         m.setattr(VersionedTable, "apply", fails_in_the_second_version)
