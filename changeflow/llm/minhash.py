@@ -44,6 +44,8 @@ LEAST_EQUAL = 78
 TURNS = 3
 #: Bytes of sets on one side of a task.
 VERIFY_BYTES = 8_000_000
+#: Ids that are sent to all executors rather than shuffling texts to them: 8 MB. They are counted before.
+BROADCAST_IDS = 1_000_000
 #: Shingles hashed together, so that they stay in a core's cache.
 CHUNK = 32_768
 
@@ -143,6 +145,11 @@ def sketches(docs: DataFrame) -> DataFrame:
     )
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """``ids``, to be broadcast if a count shows that they are few; else Spark shuffles both sides."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``rep`` and its ``set`` (sorted hashes) for the classes in ``wanted`` (``rep``, ``f1``, ``f2``)."""
 
@@ -153,9 +160,8 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             sets = [keys[e - s : e].tobytes() for e, s in zip(ends, size, strict=True)]
             yield pd.DataFrame({"rep": b.doc_id, "f1": print_[:, 0], "f2": print_[:, 1], "set": sets})
 
-    some = docs.select(F.col("doc_id").cast("long"), "text").join(
-        wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"
-    )
+    ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
+    some = docs.select(F.col("doc_id").cast("long"), "text").join(_few(ids), "doc_id", "left_semi")
     made = some.mapInPandas(make, "rep long, f1 long, f2 long, set binary")
     return made.join(wanted, ["rep", "f1", "f2"], "left_semi").dropDuplicates(["rep", "f1", "f2"]).select("rep", "set")
 
@@ -346,7 +352,7 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     kept = near_duplicates(docs).where(F.col("kept") & F.col("doc_id").isNotNull())
     ids = stored(kept.groupBy("doc_id").agg(F.count("*").alias("n")), work_dir(docs.sparkSession, "kept"))
     repeated = ids.where(F.col("n") > 1).select("doc_id")
-    out = docs.join(ids.where(F.col("n") == 1).select("doc_id"), "doc_id", "left_semi")
+    out = docs.join(_few(ids.where(F.col("n") == 1).select("doc_id")), "doc_id", "left_semi")
     if not repeated.isEmpty():
         out = out.unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     return out.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
