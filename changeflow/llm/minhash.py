@@ -42,6 +42,8 @@ SIMILAR = 85
 #: Equal minima below which a pair is not compared further: 85 % less seven standard deviations.
 LEAST_EQUAL = 78
 TURNS = 3
+#: Common shingles that collisions of 32-bit hashes could feign; one is rare, and more are rarer still.
+COLLISIONS = 4
 #: Bytes of sets on one side of a task.
 VERIFY_BYTES = 8_000_000
 #: Ids that are sent to all executors rather than shuffling texts to them: 8 MB. They are counted before.
@@ -191,12 +193,22 @@ def _likely(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return met.where(_equal_minima(F.col("sig_a"), F.col("sig_b")) >= LEAST_EQUAL).select("a", "b", "n_a").distinct()
 
 
-def _overlap(x: np.ndarray, y: np.ndarray) -> bool:
-    """Whether two sorted sets are linked."""
-    common = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+def _overlap(x: np.ndarray, y: np.ndarray, less: int = 0) -> bool:
+    """Whether two sorted sets are linked, also if ``less`` fewer were common."""
+    common = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum()) - less
     return 100 * common >= SIMILAR * (len(x) + len(y) - common)
 
 
+def _shortened(sets: DataFrame) -> DataFrame:
+    """Sets of the upper halves of the hashes, still sorted. They overlap as much or a little more."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(set=[(np.frombuffer(s, np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for s in b.set])
+
+    return sets.mapInPandas(cut, "rep long, set binary")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``a, b`` of the pairs that overlap enough, by full sets. Many partners of one ``a`` are split."""
     load = pairs.groupBy("a").agg((F.count("*") * F.max("n_a") * 8).alias("bytes"))
@@ -230,15 +242,16 @@ def _leaders(state: DataFrame, turn: int) -> DataFrame:
     return mixed.select("key", F.col("best.rep").alias("leader"), F.col("best.component").alias("lead"), "n")
 
 
-def _rest_links(state: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of all documents outside their bucket's leading component with its other components.
+def _rest_pairs(state: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of all documents outside their bucket's leading component with its other components.
 
-    Both sides come in blocks of bounded bytes. A pair is verified in the first band that it shares, inside
-    the task, and no further once the document is linked with that component; only links come out.
+    Both sides come in blocks of bounded bytes, with sets of half the size. A pair is compared in the first
+    band that it shares, inside the task, and no further once the document is linked with that component
+    beyond doubt. Only pairs come out that are links but for collisions of short hashes.
     """
-    full = members.select("rep", "n_shingles", "sig").join(sets, "rep")
+    full = members.select("rep", "n_shingles", "sig").join(_shortened(sets), "rep")
     mixed = state.join(_leaders(state, TURNS), "key").join(full, "rep")
-    load = mixed.groupBy("key").agg(F.sum(F.col("n_shingles") * 8 + 4 * HASHES).alias("bytes"))
+    load = mixed.groupBy("key").agg(F.sum(F.col("n_shingles") * 4 + 4 * HASHES).alias("bytes"))
     total = load.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     mixed = mixed.join(load, "key").withColumn("blocks", F.ceil(F.col("bytes") / VERIFY_BYTES).cast("int"))
     # Small buckets share a task, large ones have several of their own.
@@ -257,7 +270,7 @@ def _rest_links(state: DataFrame, members: DataFrame, sets: DataFrame) -> DataFr
             block = block.sort_values("key")
             sig = np.frombuffer(b"".join(block.sig), np.uint32).reshape(-1, HASHES)
             keys, rep, group, n = (block[c].to_numpy() for c in ("key", "rep", "component", "n_shingles"))
-            sets = [np.frombuffer(x, np.uint64) for x in block.set]
+            sets = [np.frombuffer(x, np.uint32) for x in block.set]
             for r in some.itertuples():
                 bucket = slice(np.searchsorted(keys, r.q_key), np.searchsorted(keys, r.q_key, side="right"))
                 equal = sig[bucket] == np.frombuffer(r.q_sig, np.uint32)
@@ -269,16 +282,17 @@ def _rest_links(state: DataFrame, members: DataFrame, sets: DataFrame) -> DataFr
                     & (number >= LEAST_EQUAL)
                     & (first == r.q_band)
                 )
-                own, joined = np.frombuffer(r.q_set, np.uint64), set()
+                own, joined = np.frombuffer(r.q_set, np.uint32), set()
                 for i in (bucket.start + at[np.argsort(-number[at], kind="stable")]).tolist():
                     if group[i] not in joined and _overlap(own, sets[i]):
-                        joined.add(group[i])
-                        out.append((r.q_rep, rep[i]))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+                        if _overlap(own, sets[i], COLLISIONS):
+                            joined.add(group[i])
+                        out.append((r.q_rep, rep[i], r.q_n_shingles))
+        return pd.DataFrame(out, columns=["a", "b", "n_a"]).astype("int64")
 
     by = ("task", "block", "turn")
     both = rest.groupBy(*(f"q_{c}" for c in by)).cogroup(every.groupBy(*by))
-    return both.applyInPandas(compare, "a long, b long").distinct()
+    return both.applyInPandas(compare, "a long, b long, n_a long").distinct()
 
 
 def _band_keys(sig: Column) -> Column:
@@ -313,9 +327,9 @@ def linked(docs: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
                 break
             compared = compared.unionByName(pairs)
             likely = stored(_likely(pairs, members), f"{folder}/likely-{turn}")
-            new = stored(_verify(likely, sets).distinct(), f"{folder}/links-{turn}")
         else:
-            new = stored(_rest_links(state, members, sets), f"{folder}/links-{turn}")
+            likely = stored(_rest_pairs(state, members, sets), f"{folder}/likely-{turn}")
+        new = stored(_verify(likely, sets).distinct(), f"{folder}/links-{turn}")
         if new.isEmpty():
             continue
         links = links.unionByName(new)
