@@ -293,7 +293,7 @@ def encoder(path: str) -> PieceEncoder:
 
 @lru_cache(maxsize=1)
 def library(path: str):
-    """The reference implementation of the file's format."""
+    """The library that defines the format."""
     import sentencepiece
 
     return sentencepiece.SentencePieceProcessor(model_file=path)
