@@ -51,7 +51,8 @@ def work_dir(spark: SparkSession, name: str) -> str:
         "spark.checkpoint.dir"
     )
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         base = tempfile.mkdtemp(prefix="changeflow-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
