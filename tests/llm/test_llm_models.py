@@ -77,10 +77,36 @@ def test_toxicity_is_learned():
     model = compression_toxicity.fit([train[i] for i in rows], y[rows].tolist(), y.mean())
     p = compression_toxicity.score(model, [test[i] for i in english])
     expected = expected[english]
-    # In this table only English documents hold what their label says.
     assert auc(expected, p) > 0.93 and (p[expected == 0] < 0.3).mean() > 0.97 and (p[expected == 1] >= 0.3).mean() > 0.7
 
 
+def test_toxicity_is_learned_in_every_language():
+    import pyarrow.parquet as pq
+
+    docs = pq.read_table(f"{DATA}/documents.parquet", columns=["doc_id", "text", "lang"]).to_pandas()
+    rows = docs.merge(pq.read_table(f"{DATA}/labels.parquet").to_pandas(), on="doc_id")
+    out = np.array([zlib.crc32(str(i).encode()) % 4 == 2 for i in rows.doc_id])
+    learn, test = rows[~out], rows[out]
+
+    def runs(text):
+        words = text.lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    seen = set().union(*map(runs, learn.text))
+    test = test[[len(r & seen) < 0.2 * len(r) for r in map(runs, test.text)]]
+    some = learn[learn.text.str.len() < 8000]
+    model = compression_toxicity.fit(some.text.tolist(), some.toxic.tolist(), learn.toxic.mean())
+    p = compression_toxicity.score(model, test.text.tolist())
+    for lang in ("de", "en", "es", "fr"):
+        own, y = p[test.lang == lang], test.toxic[test.lang == lang].to_numpy()
+        assert auc(y, own) > 0.9 and (own[y == 1] >= 0.3).mean() > 0.65 and (own[y == 0] < 0.3).mean() > 0.94, lang
+
+
+def test_copied_passages_count_once():
+    a, b = b"x" * 10 + bytes(range(97, 123)) + b"one", b"two" + bytes(range(97, 123)) + b"y" * 10
+    assert compression_toxicity._uncopied([a, b, a, b"", b"short"]) == [a, b"two\n" + b"y" * 10, b"", b"", b"short"]
+
+
 @pytest.mark.parametrize("y", [[], [0, 0], [1, 1]])
 def test_models_of_too_few_labels_are_constant(y):
     texts = ["some text"] * len(y)
