@@ -324,7 +324,9 @@ def linked(docs: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
             led = led.select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct()
             pairs = stored(led.join(compared, ["a", "b"], "left_anti"), f"{folder}/pairs-{turn}")
             if pairs.isEmpty():
-                break
+                if _leaders(state, turn).isEmpty():
+                    break
+                continue  # stable leaders have seen all they can, but the other members not each other
             compared = compared.unionByName(pairs)
             likely = stored(_likely(pairs, members), f"{folder}/likely-{turn}")
         else:

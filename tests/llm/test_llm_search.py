@@ -155,6 +155,21 @@ def test_near_duplicates_equal_all_pairs(spark, monkeypatch, turns, size):
     assert all(r.n_shingles == len(shingles(texts[r.doc_id])) and r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_links_that_no_leader_sees_are_found(spark, monkeypatch):
+    # One bucket of all documents: the hub of a family leads it at every turn, and x and y are linked only with each other.
+    only = lambda sig: F.array(F.lit(1).cast("long"), *[F.xxhash64(F.lit(i), sig) for i in range(1, minhash.BANDS)])
+    monkeypatch.setattr(minhash, "_band_keys", only)
+    base = [f"w{i}" for i in range(300)]
+    change = lambda at, words=base: [f"x{i}" if i in at else w for i, w in enumerate(words)]
+    x = change(range(4, 300, 25))
+    rows = [(i, change([i])) for i in range(30)] + [(100, x), (101, change([299], x))]
+    rows = [(i, " ".join(words)) for i, words in rows]
+    want = plain_components(rows)
+    assert set(want.values()) == {0, 100}
+    got = minhash.near_duplicates(spark.createDataFrame(rows, edges.SCHEMA)).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_near_duplicates_on_odd_rows(spark):
     got = minhash.near_duplicates(edges.documents(spark))
     assert edges.same_ids(got)
