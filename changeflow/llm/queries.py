@@ -17,7 +17,7 @@ BATCH_ROWS = 512
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
-MODULES = ("text_queries", "search_queries", "pipeline_query")
+MODULES = ("text_queries", "search_queries", "corpus_queries", "pipeline_query")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
