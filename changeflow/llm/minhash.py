@@ -1,8 +1,8 @@
 """Near-duplicates by MinHash: banding, verification, connected components.
 
-A document's set is its distinct shingles of five words. Documents with equal sets are one class, with the
-smallest id as its representative, so copies cost nothing further. Each set has 125 minima of universal
-hashes; 25 bands of five of them put representatives into buckets. Two sets of 85 % overlap miss each other
+A document's set is its distinct shingles of five words. Documents with equal sets are one class, a node
+of the graph with a number of its own, so copies cost nothing further. Each set has 125 minima of universal
+hashes; 25 bands of five of them put classes into buckets. Two sets of 85 % overlap miss each other
 in all bands in four of ten million cases.
 
 Links are looked for without making all pairs of a bucket. In a few turns every bucket names a leader,
@@ -16,9 +16,14 @@ Stages are written to the shared folder; no list of documents, links or componen
 
 Defined results: null and empty texts, and those of white space, have an empty set and are linked with
 nothing. With fewer than five words the whole sequence is the one shingle. Rows that repeat an id are one
-node: each row is returned, with the component of the node. A row with a null id is in the component of
-its copies with an id, if there are any, and else keeps a null component and stays. Very long texts are
-shingled whole. Only the id and the text are read.
+node of ``near_duplicates``: it joins the components of all their texts, and each row is returned with the
+component of the node. A row with a null id belongs to the component of its text; if no row there has an id,
+its component is null and it counts as kept. Very long texts are shingled whole. Only the id and the text
+are read.
+
+``keep_one_of_each`` looks at texts alone, so that an id that stands for different texts loses none of them:
+of every group of linked texts one row stays, that of the smallest id (rows with an id before those without),
+then of the smallest fingerprint, then of the smallest text and row. Rows with an empty set all stay.
 """
 
 from __future__ import annotations
@@ -27,8 +32,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from changeflow.llm import textbytes as tb
 from changeflow.llm.components import components, stored
@@ -152,20 +159,28 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
+def _blank(text: Column) -> Column:
+    """Whether a text has no word."""
+    return ~F.coalesce(text, F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+
+
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``rep`` and its ``set`` (sorted hashes) for the classes in ``wanted`` (``rep``, ``f1``, ``f2``)."""
+    """``rep`` and its ``set`` (sorted hashes) for the classes in ``wanted`` (``rep``, ``doc_id``, ``f1``, ``f2``)."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in (part for whole in batches for part in tb.frames(whole)):
             keys, size = shingle_sets(b.text)
             ends, print_ = np.cumsum(size), _fingerprints(keys, size)
             sets = [keys[e - s : e].tobytes() for e, s in zip(ends, size, strict=True)]
-            yield pd.DataFrame({"rep": b.doc_id, "f1": print_[:, 0], "f2": print_[:, 1], "set": sets})
+            yield pd.DataFrame({"f1": print_[:, 0], "f2": print_[:, 1], "set": sets})
 
-    ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
-    some = docs.select(F.col("doc_id").cast("long"), "text").join(_few(ids), "doc_id", "left_semi")
-    made = some.mapInPandas(make, "rep long, f1 long, f2 long, set binary")
-    return made.join(wanted, ["rep", "f1", "f2"], "left_semi").dropDuplicates(["rep", "f1", "f2"]).select("rep", "set")
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    ids = wanted.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    some = texts.join(_few(ids), "doc_id", "left_semi")
+    if not wanted.where(F.col("doc_id").isNull()).isEmpty():
+        some = some.unionByName(texts.where(F.col("doc_id").isNull()))
+    made = some.mapInPandas(make, "f1 long, f2 long, set binary")
+    return made.join(wanted.select("rep", "f1", "f2"), ["f1", "f2"]).select("rep", "set").dropDuplicates(["rep"])
 
 
 def _equal_minima(a: Column, b: Column) -> Column:
@@ -301,13 +316,13 @@ def _band_keys(sig: Column) -> Column:
 
 
 def linked(docs: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
-    """``rep`` and ``component`` of the representatives that are linked with a smaller one."""
+    """``rep`` and ``component``: the classes linked with one of a smaller number, and the smallest number."""
     spark = docs.sparkSession
     banded = classes.select("rep", F.posexplode(_band_keys(F.col("sig"))).alias("band", "key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("key")
     buckets = stored(banded.join(shared, "key", "left_semi").distinct(), f"{folder}/buckets")
     members = stored(classes.join(buckets.select("rep").distinct(), "rep", "left_semi"), f"{folder}/members")
-    sets = stored(_sets(docs, members.select("rep", "f1", "f2")), f"{folder}/sets")
+    sets = stored(_sets(docs, members.select("rep", "doc_id", "f1", "f2")), f"{folder}/sets")
     found = spark.createDataFrame([], "rep long, component long")
     degree = spark.createDataFrame([], "rep long, degree long")
     compared = spark.createDataFrame([], "a long, b long")
@@ -342,33 +357,76 @@ def linked(docs: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
     return found
 
 
+def _placed(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The sketch of every row, and every class (``f1``, ``f2``, its smallest id ``least``) with its ``group`` of linked texts."""
+    drawn = stored(sketches(docs), f"{folder}/sketches")
+    classes = drawn.where(F.col("f1").isNotNull()).groupBy("f1", "f2")
+    classes = classes.agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    # Numbered as they are stored, so that a repeated task doesn't number them anew.
+    classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()), f"{folder}/classes")
+    found = linked(docs, classes, folder)
+    placed = classes.select("f1", "f2", F.col("doc_id").alias("least"), "rep").join(found, "rep", "left")
+    return drawn, placed.select("f1", "f2", "least", F.coalesce("component", "rep").alias("group"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of each row."""
     folder = work_dir(docs.sparkSession, "minhash")
-    drawn = stored(sketches(docs), f"{folder}/sketches")
-    known = drawn.where(F.col("f1").isNotNull() & F.col("doc_id").isNotNull())
-    classes = stored(
-        known.groupBy("f1", "f2").agg(
-            F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")
-        ),
-        f"{folder}/classes",
-    )
-    found = linked(docs, classes, folder)
-    placed = classes.select("f1", "f2", "rep").join(found, "rep", "left")
-    placed = placed.select("f1", "f2", F.coalesce("component", "rep").alias("component"))
-    out = drawn.select("doc_id", "n_shingles", "f1", "f2").join(placed, ["f1", "f2"], "left")
-    component = F.when(F.col("f1").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+    drawn, placed = _placed(docs, folder)
+    rows = drawn.select("doc_id", "n_shingles", "f1", "f2").where(F.col("f1").isNotNull()).join(placed, ["f1", "f2"])
+    rows = stored(rows.select("doc_id", "n_shingles", "group", "least"), f"{folder}/rows")
+    # Groups that one id joins; usually there are none.
+    several = rows.groupBy("doc_id").agg(F.min("group").alias("u"), F.max("group").alias("v")).where("doc_id IS NOT NULL AND u < v")
+    several = stored(several, f"{folder}/several")
+    if not several.isEmpty():
+        joined = rows.join(several, "doc_id").select(F.col("u"), F.col("group").alias("v")).distinct()
+        joined = components(joined, f"{folder}/joined").toDF("group", "onto")
+        rows = rows.join(joined, "group", "left").withColumn("group", F.coalesce("onto", "group")).drop("onto")
+    least = rows.groupBy("group").agg(F.min("least").alias("component_id"))
+    rows = rows.join(least, "group").select("doc_id", "n_shingles", "component_id")
+    empty = drawn.where(F.col("f1").isNull()).select("doc_id", "n_shingles")
+    # An empty text under an id that has other texts too belongs to their node.
+    ids = empty.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    same = rows.join(_few(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    empty = empty.join(same, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    out = rows.unionByName(empty)
     stays = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
     return out.withColumn("kept", stays)
 
 
+def _chosen_rows(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each ``doc_id`` (or null), ``f1``, ``f2`` in ``chosen``."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, size = shingle_sets(batch.column("text").to_pylist())
+            f1, f2 = (pa.array(c, pa.int64()) for c in _fingerprints(keys, size).T)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), f1, f2], ["row", "doc_id", "f1", "f2"])
+
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    schema = T.StructType([rows.schema["row"], *(T.StructField(c, T.LongType()) for c in ("doc_id", "f1", "f2"))])
+    marked = rows.mapInArrow(mark, schema).alias("d").join(chosen.alias("c"), ["f1", "f2"])
+    marked = marked.where(F.col("d.doc_id").eqNullSafe(F.col("c.doc_id"))).select("row", "c.doc_id", "f1", "f2")
+    order = F.struct(F.col("row.text"), F.to_json("row"))
+    return marked.groupBy("doc_id", "f1", "f2").agg(F.min_by("row", order).alias("row")).select("row.*")
+
+
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: one a component, and those without an id."""
-    kept = near_duplicates(docs).where(F.col("kept") & F.col("doc_id").isNotNull())
-    ids = stored(kept.groupBy("doc_id").agg(F.count("*").alias("n")), work_dir(docs.sparkSession, "kept"))
-    repeated = ids.where(F.col("n") > 1).select("doc_id")
-    out = docs.join(_few(ids.where(F.col("n") == 1).select("doc_id")), "doc_id", "left_semi")
-    if not repeated.isEmpty():
-        out = out.unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return out.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    """The rows of ``docs`` that stay, with all their columns: one of each group of linked texts, and those without words."""
+    folder = work_dir(docs.sparkSession, "kept")
+    drawn, placed = _placed(docs, folder)
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("doc_id"), "f1", "f2")).alias("c")
+    chosen = placed.groupBy("group").agg(first).select("c.doc_id", "c.f1", "c.f2")
+    rows = drawn.where(F.col("f1").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n"))
+    chosen = stored(chosen.join(rows, "doc_id", "left"), f"{folder}/chosen")
+    blank = _blank(F.col("text"))
+    single = chosen.where(F.col("n") == 1).select("doc_id")
+    out = docs.where(blank).unionByName(docs.where(~blank).join(_few(single), "doc_id", "left_semi").select(*docs.columns))
+    # Ids that repeat, or are null, don't tell rows apart: those rows are told apart by their sets.
+    rest = chosen.where(F.coalesce(F.col("n"), F.lit(0)) != 1).drop("n")
+    if not rest.isEmpty():
+        ids = rest.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
+        texts = docs.where(~blank)
+        some = texts.join(_few(ids), "doc_id", "left_semi").select(*docs.columns)
+        out = out.unionByName(_chosen_rows(some.unionByName(texts.where(F.col("doc_id").isNull())), rest))
+    return out
