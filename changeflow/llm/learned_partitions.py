@@ -3,8 +3,8 @@
 On a bounded sample: the neighbour graph of its vectors is cut into partitions of nearly equal size, by
 moving vectors to the partition of most of their neighbours while it has room; a small network then learns
 from vector to partition. Every row of the table is filed under its most probable partition. A query visits
-the most probable partitions until they hold enough probability, and all rows met there are ranked by the
-exact measure.
+the most probable partitions until they hold enough probability, and rows enough to answer it; all rows met
+there are ranked by the exact measure.
 
 Partitions are stored in blocks of bounded size, so a partition that holds a third of all rows is many
 tasks' work. Queries are sent to all blocks of the partitions they visit, themselves in blocks of bounded
@@ -154,8 +154,14 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.array([np.asarray(v, np.float64) for v in vectors])
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that no square overflows or vanishes; no digit changes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True, initial=0))[1])
+
+
 def cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Row by row, in double precision; equal rows give equal values wherever they stand."""
+    q, x = _scaled(q), _scaled(x)
     return (q * x).sum(axis=1) / (np.sqrt((q * q).sum(axis=1)) * np.sqrt((x * x).sum(axis=1)))
 
 
@@ -178,11 +184,12 @@ def fit(vectors: DataFrame, *, seed: int = 5) -> tuple[Router, int] | None:
     return learn_router(x, label, graph, parts, seed), dim
 
 
-def _visits(p: np.ndarray, mass: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row and partition for the most probable partitions of each row, until they hold ``mass``."""
+def _visits(p: np.ndarray, mass: float, size: np.ndarray, enough: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and partition for the most probable partitions of each row, until they hold ``mass`` and ``enough`` rows."""
     order = np.argsort(-p, axis=1, kind="stable")
-    before = np.cumsum(np.take_along_axis(p, order, 1), axis=1) - np.take_along_axis(p, order, 1)
-    row, rank = np.nonzero(before < mass)
+    own, rows = np.take_along_axis(p, order, 1), size[order]
+    before, met = np.cumsum(own, axis=1) - own, np.cumsum(rows, axis=1) - rows
+    row, rank = np.nonzero((before < mass) | (met < enough))
     return row, order[row, rank]
 
 
@@ -191,12 +198,14 @@ def _stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def _blocks(filed: DataFrame) -> Column | None:
-    """Into how many blocks each partition is dealt: a map of at most ``MOST`` entries."""
-    counts = {r.part: -(-r["count"] // BLOCK) for r in filed.groupBy("part").count().collect()}
-    if not counts:
-        return None
-    return F.create_map(*[F.lit(x) for pair in sorted(counts.items()) for x in pair])[F.col("part")]
+def _sizes(filed: DataFrame) -> dict[int, int]:
+    """Rows of each partition: at most ``MOST`` entries."""
+    return {r.part: r["count"] for r in filed.groupBy("part").count().collect()}
+
+
+def _blocks(sizes: dict[int, int]) -> Column:
+    """Into how many blocks each partition is dealt."""
+    return F.create_map(*[F.lit(x) for part, n in sorted(sizes.items()) for x in (part, -(-n // BLOCK))])[F.col("part")]
 
 
 def _dealt(df: DataFrame, own: str, own_blocks: Column, other: str, other_blocks: Column) -> DataFrame:
@@ -236,15 +245,18 @@ def search(
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                row, part = _visits(router.probabilities(_unit(_matrix(b.vec))), mass)
+                row, part = _visits(router.probabilities(_unit(_matrix(b.vec))), mass, size, top + 1)
                 yield b.iloc[row].assign(part=part.astype(np.int32))
 
     base = work_dir(spark, "partitions")
     filed = _stored(v.mapInPandas(file, "vec_id long, vec array<double>, part int"), f"{base}/rows")
+    sizes = _sizes(filed)
+    size = np.array([sizes.get(k, 0) for k in range(router.w2.shape[1])])
     routed = _stored(v.where(is_query).mapInPandas(route, "vec_id long, vec array<double>, part int"), f"{base}/queries")
-    row_blocks, query_blocks = _blocks(filed), _blocks(routed)
-    if row_blocks is None or query_blocks is None:
+    asked = _sizes(routed)
+    if not sizes or not asked:
         return spark.createDataFrame([], schema)
+    row_blocks, query_blocks = _blocks(sizes), _blocks(asked)
     rows = _dealt(filed, "block", row_blocks, "turn", query_blocks)
     routed = _dealt(routed, "turn", query_blocks, "block", row_blocks)
 

@@ -1,7 +1,7 @@
 """URL filters by hashed host-suffix and path-prefix expressions.
 
-Each URL is expanded into expressions ``host suffix + path prefix``: all suffixes of its host at dots,
-with all prefixes of its path that end in ``/``, and the empty one. A rule is filed under its host and
+Each URL is expanded into expressions ``host suffix + path prefix``: the suffixes of its host at dots,
+with the prefixes of its path that end in ``/``, and the empty one. A rule is filed under its host and
 its path up to the last ``/``. URLs and rules meet in an equi-join on the first four bytes of the
 SHA-256 digests of those expressions; full digests and the rest of the rule's path then confirm a hit.
 Of all rules that fit, the longest (host and path together) wins; of equally long ones a block, then
@@ -9,8 +9,8 @@ the first in order of the rule's text.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path; no rule names an empty
 host, so it gets the default verdict. Repeated rows each get their row. Only the id and URL columns are
-read, whatever else the table holds. Very long paths are expanded only as deep as the deepest rule,
-which loses nothing: a longer prefix equals no rule.
+read, whatever else the table holds. Hosts of very many labels and very long paths are expanded only as deep
+as the deepest rule, which loses nothing: a longer suffix or prefix equals no rule.
 """
 
 from __future__ import annotations
@@ -70,10 +70,15 @@ def _prefixed(expression: Column) -> list[Column]:
     return [F.substring(digest, 1, 8).alias("_prefix"), digest.alias("_digest")]
 
 
-def _host_suffixes(host: Column) -> Column:
-    labels = F.split(host, r"\.", -1)
+def _labels(host: Column) -> Column:
+    return F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+
+
+def _host_suffixes(host: Column, depth: int) -> Column:
+    """The suffixes of at most ``depth`` labels."""
     return F.transform(
-        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
+        F.sequence(F.lit(1), F.least(_labels(host), F.lit(max(depth, 1)))),
+        lambda i: F.call_function("substring_index", host, F.lit("."), -i),
     )
 
 
@@ -105,7 +110,10 @@ def judge_urls(
     )
     slashes = F.length("path") - F.length(F.replace("path", F.lit("/"), F.lit("")))
     size = rules.agg(
-        F.count("*"), F.coalesce(F.max(slashes), F.lit(0)), F.coalesce(F.max(F.length(F.concat("host", "path"))), F.lit(0))
+        F.count("*"),
+        F.coalesce(F.max(slashes), F.lit(0)),
+        F.coalesce(F.max(F.length(F.concat("host", "path"))), F.lit(0)),
+        F.coalesce(F.max(_labels(F.col("host"))), F.lit(0)),
     ).first()
     few = size[0] <= BROADCAST_RULES and size[2] <= BROADCAST_CHARS
 
@@ -115,7 +123,7 @@ def judge_urls(
     expanded = (
         u.select("host", "path")
         .distinct()  # so that a hot URL is expanded once
-        .withColumn("_host", F.explode(_host_suffixes(F.col("host"))))
+        .withColumn("_host", F.explode(_host_suffixes(F.col("host"), size[3])))
         .withColumn("_start", F.explode(_path_prefixes(F.col("path"), size[1])))
         .select("host", "path", *_prefixed(F.concat("_host", F.lit("|"), "_start")))
         .alias("e")

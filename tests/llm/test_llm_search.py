@@ -65,6 +65,31 @@ def test_odd_vectors_take_no_part(spark):
     assert lp.search(df, F.lit(False)).count() == 0
 
 
+def test_tiny_and_huge_vectors_have_scores(spark):
+    base = [[1.0, 0.5, 0.0], [1.0, 0.4, 0.1], [0.9, 0.5, 0.0], [-1.0, 0.0, 0.0], [0.0, 1.0, 0.2]]
+    rows = [(i * 10 + k, [c * s for c in v]) for i, s in enumerate((1.0, 1e200, 1e-200, 1e307, 5e-310)) for k, v in enumerate(base)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = lp.search(df, F.col("vec_id") % 10 == 0, top=24).collect()
+    assert len(got) == 5 * 24 and all(r.score is not None and -1 <= r.score <= 1 + 1e-12 for r in got)
+    for r in got:
+        a, b = np.array(base[r.query_id % 10]), np.array(base[r.vec_id % 10])
+        assert r.score == pytest.approx(a @ b / np.linalg.norm(a) / np.linalg.norm(b), abs=1e-6)
+    x = np.random.default_rng(1).standard_normal((50, 7))
+    plain = (x[:1] * x).sum(axis=1) / (np.sqrt((x[:1] * x[:1]).sum(axis=1)) * np.sqrt((x * x).sum(axis=1)))
+    assert (lp.cosine(np.broadcast_to(x[0], x.shape), x) == plain).all()  # scaling by powers of two changes no digit
+
+
+def test_queries_go_on_until_they_have_candidates(spark, monkeypatch):
+    p = np.array([[0.99, 0.006, 0.003, 0.001]])
+    assert lp._visits(p, 0.98, np.array([1, 3, 5, 9]), 6)[1].tolist() == [0, 1, 2]
+    assert lp._visits(p, 0.98, np.array([9, 3, 5, 9]), 6)[1].tolist() == [0]
+    # Equal vectors are dealt to many partitions of the sample, but all filed under one.
+    rows = [(i, [1.0, 0.0]) for i in range(200)] + [(200 + i, [0.0, 1.0 + i]) for i in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    counts = lp.search(df, F.col("vec_id") >= 200).groupBy("query_id").count().collect()
+    assert {r.query_id: r["count"] for r in counts} == {200: 5, 201: 5, 202: 5}
+
+
 def test_partitions_are_balanced():
     rng = np.random.default_rng(2)
     x = lp._unit(np.concatenate((rng.standard_normal((300, 8)), 5 + 0.01 * rng.standard_normal((300, 8)))))
@@ -189,3 +214,39 @@ def test_minima_of_a_long_set_are_taken_in_parts(monkeypatch):
     whole = minhash.signatures(keys, size)
     monkeypatch.setattr(minhash, "CHUNK", 1000)
     assert (minhash.signatures(keys, size) == whole).all() and size.tolist() == [59_996, 2, 0]
+
+
+def spread(*words):
+    """Texts that share nothing."""
+    return [" ".join(f"{w}{i}" for i in range(60)) for w in words]
+
+
+def test_rows_of_one_id_are_one_node(spark):
+    x, y, z = spread("x", "y", "z")
+    rows = [(3, x), (5, x), (5, y), (7, y), (9, z), (9, ""), (11, z + " end"), (None, x), (None, x.upper()), (None, "q r s"), (2, None)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, edges.SCHEMA)).collect()
+    assert {(r.doc_id, r.component_id) for r in got if r.doc_id is not None} == {(3, 3), (5, 3), (7, 3), (9, 9), (11, 9), (2, 2)}
+    assert sorted(((r.component_id or 0, r.kept) for r in got if r.doc_id is None)) == [(0, True), (3, False), (3, False)]
+    assert len(got) == len(rows) and all(r.kept == (r.doc_id == r.component_id) for r in got if r.doc_id is not None)
+
+
+def test_many_texts_of_one_id_join_their_components(spark):
+    texts = spread(*(f"t{i}_" for i in range(40)))
+    rows = [(1000, t) for t in texts] + [(i, t + " end") for i, t in enumerate(texts, 5)] + [(2000, texts[0]), (2000, "other words of another text")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, edges.SCHEMA)).collect()
+    assert {r.component_id for r in got} == {5} and len(got) == len(rows)
+
+
+def test_one_row_of_each_group_of_texts_stays(spark):
+    a, b, c, x, y = spread("a", "b", "c", "x", "y")
+    rows = [(1, a), (1, b), (2, c), (3, x), (5, x), (5, y), (7, y), (None, a + " end"), (None, c), (4, ""), (None, "")]
+    rows += [(20, x + " end"), (None, "only here"), (None, "only here"), (1, a), (1, b.upper())]
+    df = spark.createDataFrame(rows, edges.SCHEMA).selectExpr("*", "map('k', doc_id) AS f1", "array(text) AS row", "'x' AS `group`", "1 AS least")
+    kept = minhash.keep_one_of_each(df)
+    assert kept.dtypes == df.dtypes
+    got = kept.collect()
+    texts = sorted((r.doc_id or 0, (r.text or "").lower()) for r in got)
+    assert texts == sorted([(1, a), (1, b), (2, c), (3, x), (5, y), (4, ""), (0, ""), (0, "only here")])
+    assert all(r.row == [r.text] and r.f1 == {"k": r.doc_id} for r in got)
+    again = minhash.keep_one_of_each(df.repartition(5)).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, got))
