@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from changeflow.functions.json import register_json_functions
+from changeflow.functions.json_operators import rewrite_json_operators
 
 SOURCE_VIEW = "__src"
 
@@ -17,14 +18,15 @@ SOURCE_VIEW = "__src"
 def sql_transform(df: DataFrame, sql: str) -> DataFrame:
     """Run a SELECT over the batch, visible as ``__src``; feed and event columns are exposed.
 
-    The JSON functions of ``changeflow.functions.json`` can be called by name. The view behind
-    ``__src`` has a name of its own for each call, so jobs that share a session do not meet.
+    The JSON functions of ``changeflow.functions.json`` can be called by name, and by the operators
+    ``->``, ``->>`` and ``?`` (see ``changeflow.functions.json_operators``). The view behind ``__src``
+    has a name of its own for each call, so jobs that share a session do not meet.
     """
     spark = df.sparkSession
     register_json_functions(spark)
     view = f"{SOURCE_VIEW}_{uuid.uuid4().hex}"
     df.createOrReplaceTempView(view)
-    text = sql.strip().rstrip(";")
+    text = rewrite_json_operators(sql).strip().rstrip(";")
     try:
         return spark.sql(f"WITH {SOURCE_VIEW} AS (SELECT * FROM {view}) SELECT * FROM (\n{text}\n)")
     finally:

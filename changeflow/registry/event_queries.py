@@ -148,6 +148,13 @@ _NESTED = """SELECT event_id, '{"a": {"n": [' || event_id || ', {"t": "' || even
   || ' "it''s": ' || props || ', "v": ' || value || '}' AS j FROM events"""
 
 
+def _nested(spark, sf):
+    e = fx.table(spark, sf, "events")
+    start = F.concat(F.lit('{"a": {"n": ['), "event_id", F.lit(', {"t": "'), "event_type", F.lit('"}], "0": true}, '))
+    j = F.concat(start, F.lit('"it\'s": '), "props", F.lit(', "v": '), "value", F.lit("}"))
+    return e.select("event_id", j.alias("j"))
+
+
 @query(
     "json_extract_sql",
     f"""WITH e AS ({_NESTED}) SELECT event_id, json_extract_string(j, '$.a.n[1].t') AS text,
@@ -159,11 +166,8 @@ _NESTED = """SELECT event_id, '{"a": {"n": [' || event_id || ', {"t": "' || even
 )
 def json_extract_sql(spark, sf):
     """Every JSON function by its SQL name, over nested values, positions and a key with a quote."""
-    e = fx.table(spark, sf, "events")
-    start = F.concat(F.lit('{"a": {"n": ['), "event_id", F.lit(', {"t": "'), "event_type", F.lit('"}], "0": true}, '))
-    j = F.concat(start, F.lit('"it\'s": '), "props", F.lit(', "v": '), "value", F.lit("}"))
     return sql_transform(
-        e.select("event_id", j.alias("j")),
+        _nested(spark, sf),
         """SELECT event_id, json_get_str(j, 'a', 'n', 1, 't') AS text, json_get_int(j, 'a', 'n', 0) AS n,
   json_get_float(j, 'v') AS x, json_get_bool(j, 'a', '0') AS flag, json_get_int(j, "it's", 'k') AS quoted,
   json_length(j, 'a', 'n') AS n_items, json_length(j) AS n_keys, json_get_str(j, 'a', 'none') AS missing,
@@ -171,3 +175,32 @@ def json_extract_sql(spark, sf):
   json_contains(j, "it's") AS has, to_json(json_get(j, 'a', 'n', 0)) AS any_value,
   array_join(json_object_keys(j), ',') AS keys FROM __src""",
     )
+
+
+@query(
+    "json_operators_sql",
+    f"""WITH e AS ({_NESTED}), x AS (SELECT event_id, json_extract_string(j, '$.a.n[1].t') AS kind,
+  CAST(json_extract_string(j, '$.v') AS DOUBLE) AS v, CAST(json_extract_string(j, '$."it''s".k') AS BIGINT) AS k FROM e)
+SELECT event_id, kind AS text, '[' || event_id || ',{{"t":"' || kind || '"}}]' AS inner_json, 1 + 2 * k AS odd, kind || '->' || k AS joined,
+  true AS has_a, false AS has_none, kind IN ('view', 'error') AS listed, v > 50 AND NOT kind = 'click' AS large,
+  CASE WHEN k % 2 = 0 THEN 'even ' || kind ELSE '? ->> ' || event_id END AS label, k AS cast_value,
+  CAST(event_id AS VARCHAR) || ',' || kind AS items, k + event_id AS total FROM x
+WHERE kind LIKE '%i%' OR k BETWEEN 10 AND 60""",
+)
+def json_operators_sql(spark, sf):
+    """The JSON operators: chains, positions, precedence, casts, comments, strings and lambdas that hold arrows."""
+    return sql_transform(
+        _nested(spark, sf),
+        """SELECT event_id, j -> 'a'->'n' -> 1 ->> 't' AS text, -- the text under j -> 'a'
+  j->'a'->'n' AS inner_json, 1 + 2 * (j -> "it's" ->> 'k')::bigint AS odd,
+  j->'a'->'n'->1->>'t' || '->' || (j /* ? */ -> 'it\\'s' ->> 'k') AS joined, j ? 'a' AS has_a, j -> 'a' ? 'none' AS has_none,
+  j->'a'->'n'->1->>'t' IN ('view', 'error') AS listed,
+  (j ->> 'v')::double > 50 AND NOT j->'a'->'n'->1->>'t' = 'click' AS large,
+  CASE WHEN try_cast(j->'it''s'->>'k' AS BIGINT) % 2 = 0 THEN 'even ' || (j->'a'->'n'->1->>'t')
+    ELSE '? ->> ' || (j->'a'->'n'->>0) END AS label,
+  CAST(j->"it's" ->> CASE WHEN j ? 'v' THEN 'k' ELSE 'none' END AS BIGINT) AS cast_value,
+  array_join(transform(from_json(j->'a'->'n', 'array<string>'), (x, i) -> CASE WHEN i = 0 THEN x ELSE x ->> 't' END), ',') AS items,
+  aggregate(array(j->'it''s'->>'k', j->'a'->'n'->>0), 0L, (acc, x) -> acc + x::bigint, acc -> acc) AS total
+FROM __src
+WHERE j->'a'->'n'->1->>'t' LIKE '%i%' OR (j->'it''s'->>'k')::bigint BETWEEN 10 AND 60""",
+    )
