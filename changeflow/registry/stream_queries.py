@@ -14,8 +14,12 @@ from changeflow.registry.feed_queries import SNAPSHOT_DIFF, snapshots
 from changeflow.registry.plan_queries import HUGE, greedy
 from changeflow.session import work_dir
 from changeflow.sinks.table import VersionedTable
+from changeflow.sinks.parquet import AppendFolder, StateFolder
 from changeflow.sources import events as ev
+from changeflow.sources.event_source import event_batches, read_event_batch
+from changeflow.sources.feed_source import read_feed, write_feed
 from changeflow.sources.feeds import stream_changes as stream_folder
+from changeflow.streaming.micro_batches import EventBatches, FeedTransfer, drain
 from changeflow.streaming.transfer import EventSpec, EventTransfer, Transfer, TransferSpec
 
 _NEWEST = "_commit_version DESC NULLS FIRST, event_id DESC NULLS FIRST"
@@ -266,3 +270,107 @@ def event_replay(spark, sf):
     transfer.apply(log.where("NOT (sequence_number % 3 = 0 AND sequence_number < 500 OR sequence_number < 400)"), {})
     transfer.apply(log, transfer.offset_table())
     return transfer.target.read().select("partition_id", "sequence_number", "body")
+
+
+# A feed folder as a data source, and event files in bounded batches ------------------------------
+
+_FEED_COLUMNS = f"{_DATA}, _change_type, _commit_version, _commit_timestamp"
+
+
+@query(
+    "feed_source_batch",
+    f"SELECT {_FEED_COLUMNS} FROM ({fx.POST}) p WHERE _commit_version BETWEEN 3 AND 17 AND event_type <> 'view'",
+)
+def feed_source_batch(spark, sf):
+    """Some commits of a feed folder; the others are not opened."""
+    path = f"{work_dir(spark, 'feed')}/feed"
+    write_feed(fx.feed(spark, sf), path)
+    return ops.read_changes(read_feed(spark, path, endingVersion=20), 3, 17).where("event_type <> 'view'")
+
+
+class _Recorded(AppendFolder):
+    """Keeps the version beside the rows of each batch."""
+
+    def apply(self, changes, number):
+        kept = ops.without_tombstones(changes).withColumn("version", F.col("_commit_version"))
+        super().apply(kept, number)
+
+
+_FIRST_RUN, _PER_BATCH = 12, 5
+
+
+@query(
+    "feed_source_stream",
+    f"""WITH p AS ({fx.POST}), v AS (SELECT version, row_number() OVER (ORDER BY version) - 1 AS i
+  FROM (SELECT DISTINCT _commit_version AS version FROM ({fx.FEED}) f)),
+n AS (SELECT count(*) AS n FROM v WHERE version <= {_FIRST_RUN}),
+b AS (SELECT version, CASE WHEN i < n THEN i // {_PER_BATCH}
+  ELSE (n + {_PER_BATCH - 1}) // {_PER_BATCH} + (i - n) // {_PER_BATCH} END AS batch FROM v, n)
+SELECT {_DATA}, version, CAST(batch AS INTEGER) AS batch FROM p JOIN b ON version = _commit_version WHERE _change_type <> 'delete'""",
+)
+def feed_source_stream(spark, sf):
+    """Micro-batches of whole commits, over a stop between two commits and a restart."""
+    root = work_dir(spark, "feed-stream")
+    write_feed(fx.feed(spark, sf), f"{root}/feed")
+    target = _Recorded(spark, f"{root}/target")
+    for end in (_FIRST_RUN, None):
+        transfer = FeedTransfer(spark, f"{root}/feed", target, end_version=end, max_versions=_PER_BATCH)
+        drain(transfer.start(f"{root}/checkpoint"))
+    return target.read()
+
+
+@query("feed_source_merge", _MERGED)
+def feed_source_merge(spark, sf):
+    """A feed folder merged, micro-batch by micro-batch, into plain parquet divided by key."""
+    root = work_dir(spark, "feed-merge")
+    write_feed(fx.feed(spark, sf), f"{root}/feed")
+    target = StateFolder(spark, f"{root}/target", _BY_USER, BUCKETS)
+    target.apply(fx.target(spark, sf), -1)
+    drain(FeedTransfer(spark, f"{root}/feed", target, max_rows=2_000).start(f"{root}/checkpoint"))
+    return target.read()
+
+
+def _event_files(spark, sf, path):
+    """The event log in a few files of unequal size, in the order of its sequence numbers."""
+    log = fx.event_log(spark, sf).withColumn("__part", F.floor(F.sqrt("sequence_number") / 20))
+    sorted_log = log.repartitionByRange(6, "__part").sortWithinPartitions("sequence_number").drop("__part")
+    sorted_log.write.option("parquet.block.size", 32_768).parquet(path)
+
+
+_MAX_EVENTS = 700
+_BATCHES = f"""SELECT (row_number() OVER (ORDER BY event_id) - 1) // {_MAX_EVENTS} AS batch, event_id FROM events"""
+
+
+@query(
+    "event_batch_cut",
+    f"""SELECT batch, count(*) AS events, min(event_id) AS first_sequence, max(event_id) AS last_sequence
+FROM ({_BATCHES}) b GROUP BY batch""",
+)
+def event_batch_cut(spark, sf):
+    """Batches of at most so many events, cut inside files, and what each holds."""
+    path = f"{work_dir(spark, 'events')}/log"
+    _event_files(spark, sf, path)
+    events = read_event_batch(event_batches(spark, path, _MAX_EVENTS, order="name"), path)
+    return events.groupBy("batch").agg(
+        F.count("*").alias("events"),
+        F.min("sequence_number").alias("first_sequence"),
+        F.max("sequence_number").alias("last_sequence"),
+    )
+
+
+@query(
+    "event_batch_stream",
+    f"""SELECT CAST(batch AS INTEGER) AS batch, count(*) AS events, min(event_id) AS first_sequence,
+  max(event_id) AS last_sequence FROM ({_BATCHES.replace(str(_MAX_EVENTS), "3000")}) b GROUP BY batch""",
+)
+def event_batch_stream(spark, sf):
+    """The same as micro-batches of a stream."""
+    root = work_dir(spark, "event-stream")
+    _event_files(spark, sf, f"{root}/log")
+    target = AppendFolder(spark, f"{root}/target")
+    drain(EventBatches(spark, f"{root}/log", target, 3_000, "name").start(f"{root}/checkpoint"))
+    return target.read().groupBy("batch").agg(
+        F.count("*").alias("events"),
+        F.min("sequence_number").alias("first_sequence"),
+        F.max("sequence_number").alias("last_sequence"),
+    )

@@ -20,6 +20,10 @@ class Folder:
     def _at(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
 
+    def qualified(self) -> str:
+        """The folder's path with scheme, as Spark names the files in it."""
+        return self._fs.makeQualified(self._at("")).toString()
+
     def names(self) -> list[str]:
         if not self._fs.exists(self._at("")):
             return []
@@ -60,6 +64,11 @@ class Folder:
     def remove(self, name: str) -> None:
         self._fs.delete(self._at(name), True)
 
+    def move(self, name: str, onto: str) -> None:
+        """Rename an entry; ``onto`` must not be there."""
+        if not self._fs.rename(self._at(name), self._at(onto)):
+            raise OSError(f"could not rename {self.path}/{name} to {onto}")
+
     def usage(self) -> tuple[int, int]:
         """Number and total size of the parquet files in the folder."""
         files = [s for s in self._fs.listStatus(self._at("")) if s.getPath().getName().endswith(".parquet")]
