@@ -6,11 +6,13 @@ measures such as ``duration_ms`` and row counts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from changeflow.plans.positions import row_positions
+from changeflow.plans.scan import Scan, before_blocks, span
 
+#: Batch numbers in a block of a job's runs.
+BLOCK = 1_024
 COUNTERS = ("inserts", "updates", "deletes", "appended")
 
 
@@ -33,20 +35,36 @@ def rows_per_sec(runs: DataFrame) -> DataFrame:
 def rolling_means(runs: DataFrame, **means: tuple[str, int]) -> DataFrame:
     """Per name, the mean of a measure's newest values up to each run, rounded down.
 
-    ``means`` maps a name to ``(measure, how many)``. Runs are numbered per job and cut into blocks
-    as long as the longest mean. A block gets the block before it as context, so no task needs a
-    whole job, however many runs it has.
+    ``means`` maps a name to ``(measure, how many)``. Each job is cut into blocks of ``BLOCK`` batch numbers.
+    A block hands its last measures on, as many as the longest mean looks back, and is entered with those
+    that lie before it, whether one block holds them or many. So no task needs a whole job, and besides the
+    runs only these tails are spread out.
     """
-    longest = max(n for _, n in means.values())
-    own = F.floor(F.col("__p") / longest).cast("bigint")
-    placed = row_positions(runs, ["job"], "seq", name="__p").withColumn("__own", own)
-    spread = placed.withColumn("__block", F.explode(F.array("__own", F.col("__own") + 1)))
-    newest = Window.partitionBy("job", "__block").orderBy("seq")
+    back = max(n for _, n in means.values()) - 1
+    measures = sorted({measure for measure, _ in means.values()})
+    row = F.struct(F.col("seq").cast("bigint").alias("seq"), *[F.col(m).alias(m) for m in measures])
+    own = F.floor(F.col("seq") / BLOCK).cast("bigint")
+    placed = runs.withColumn("__g", F.struct("job")).withColumn("__n", own).withColumn("__row", row).withColumn("__own", F.lit(True))
+    first, numbers = span(placed.select("__n"), "__n")
+    if back and numbers > 1:
+        tails = placed.groupBy(F.col("__g").alias("g"), F.col("__n").alias("n"))
+        tails = tails.agg(_newest(F.array_sort(F.collect_list("__row")), back).alias("v"))
+        kind = tails.schema["v"].dataType.simpleString()
+        newest = "slice({0}, greatest(size({0}) - %d, 0) + 1, %d)" % (back, back)
+        later = "concat({}, b)"
+        scan = Scan(newest.format(later.format("a")), newest.format(later.format("s")), kind)
+        entered = before_blocks(tails, scan, f"cast(array() AS {kind})", first, numbers)
+        context = entered.select(F.col("g").alias("__g"), F.col("n").alias("__n"), F.explode("before").alias("__row"))
+        placed = placed.unionByName(context.withColumn("__own", F.lit(False)), allowMissingColumns=True)
+    newest_runs = Window.partitionBy("__g", "__n").orderBy("__row.seq")
     for name, (measure, n) in means.items():
-        w = newest.rowsBetween(1 - n, 0)
-        mean = F.floor(F.sum(measure).over(w) / F.count(measure).over(w))
-        spread = spread.withColumn(name, mean.cast("bigint"))
-    return spread.where("__block = __own").drop("__p", "__own", "__block")
+        w, value = newest_runs.rowsBetween(1 - n, 0), F.col("__row")[measure]
+        placed = placed.withColumn(name, F.floor(F.sum(value).over(w) / F.count(value).over(w)).cast("bigint"))
+    return placed.where("__own").drop("__g", "__n", "__row", "__own")
+
+
+def _newest(rows: Column, n: int) -> Column:
+    return F.slice(rows, F.greatest(F.size(rows) - n, F.lit(0)) + 1, n)
 
 
 def recent_runs(runs: DataFrame, newest: int = 50) -> DataFrame:

@@ -1,10 +1,12 @@
 """Cut a list of commits into work units by row count.
 
-Input is one row per commit: ``version`` and ``rows``. A group takes commits greedily in version
-order, so each group starts where the one before ended. The plan still runs in parallel: a group
-has at most ``max_commits`` commits, hence a block of commits can be entered at one of its first
-``max_commits`` places only. Each block works out where every entry leads; one short pass over the
-blocks then picks the entry that happens, and each block numbers its groups.
+Input is one row per commit: ``version`` and ``rows``. A group takes commits greedily in version order, so
+each group starts where the one before ended. The plan still runs in parallel. A block of commits is a map
+from the state of the open group (its rows and commits so far) to the state behind the block: the open group
+takes on as many commits of the block as fit, at most ``max_commits``, and what happens after these doesn't
+depend on it. So a map is a short list, one entry for each number of commits taken on; maps of neighbouring
+blocks make a map of the same form. They are put together level by level (``plans.scan``), and the states
+that happen are handed back down, where each block numbers its groups.
 """
 
 from __future__ import annotations
@@ -13,10 +15,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changeflow.plans.positions import row_positions, running_sum
+from changeflow.plans.scan import Scan, before_blocks, span
 
 MAX_COMMITS = 10
+#: Version numbers in a block.
 BLOCK = 256
 
+# A state: rows s and commits k of the open group, groups n so far. A group that takes no more has k = max_commits.
+_STATE = "struct<s: bigint, k: int, n: bigint>"
+_TAKEN = "named_struct('s', {s}, 'k', {k}, 'n', {n})"
+
+
+def _maps(row_limit: int, alone_above: int | None, max_commits: int) -> tuple[str, str, Scan]:
+    """The map of a block's sorted commits ``a``, the state behind one more commit, and how maps are put together.
+
+    A map has ``m`` commits; ``p``, the running sums of the first commits that an open group could take on;
+    ``whole``, whether these are all; ``e``, the state behind the block when the group ends before commit 0, 1, ...
+    """
+    big = "false" if alone_above is None else f"x.rows > {alone_above}"
+    closed = _TAKEN.format(s="0L", k=max_commits, n="0L")
+    next_state = f"""CASE WHEN {big} THEN {_TAKEN.format(s="0L", k=max_commits, n="t.n + 1")}
+      WHEN t.k < {max_commits} AND t.s + x.rows <= {row_limit} THEN {_TAKEN.format(s="t.s + x.rows", k="t.k + 1", n="t.n")}
+      ELSE {_TAKEN.format(s="x.rows", k="1", n="t.n + 1")} END"""
+    sums = f"""aggregate(slice(a, 1, {max_commits}), named_struct('p', cast(array() AS array<bigint>), 'open', true),
+      (t, x) -> CASE WHEN t.open AND NOT {big}
+        THEN named_struct('p', array_append(t.p, coalesce(element_at(t.p, -1), 0L) + x.rows), 'open', true)
+        ELSE named_struct('p', t.p, 'open', false) END, t -> t.p)"""
+    sums = sums.replace("element_at(t.p, -1)", "try_element_at(t.p, -1)")
+    ends = f"""transform(sequence(0, least(size(p), size(a) - 1)), i ->
+      aggregate(slice(a, i + 1, size(a) - i), {closed}, (t, x) -> {next_state}))"""
+    block = f"""transform(array({sums}), p -> named_struct('m', size(a), 'p', p, 'whole', size(p) = size(a), 'e', {ends}))[0]"""
+    taken = f"size(filter(b.p, (x, i) -> s.s + x <= {row_limit} AND s.k + i + 1 <= {max_commits}))"
+    step = f"""transform(array({taken}), i -> CASE
+      WHEN b.whole AND i = b.m THEN {_TAKEN.format(s="s.s + b.p[i - 1]", k="s.k + i", n="s.n")}
+      ELSE {_TAKEN.format(s="b.e[i].s", k="b.e[i].k", n="s.n + b.e[i].n")} END)[0]"""
+    join = f"""named_struct('m', a.m + b.m,
+      'p', CASE WHEN a.whole THEN slice(concat(a.p, transform(b.p, x -> x + a.p[a.m - 1])), 1, {max_commits}) ELSE a.p END,
+      'whole', a.whole AND b.whole AND a.m + b.m <= {max_commits},
+      'e', slice(concat(transform(a.e, s -> {step}), CASE WHEN a.whole THEN b.e ELSE slice(b.e, 1, 0) END), 1, {max_commits} + 1))"""
+    return block, next_state, Scan(join, step, _STATE)
+
 
 def _greedy_groups(
     commits: DataFrame, row_limit: int, alone_above: int | None, max_commits: int
@@ -26,56 +64,22 @@ def _greedy_groups(
     The first commit of a group always fits. A commit of more than ``alone_above`` rows is a group
     of its own.
     """
-    block = max(BLOCK, 4 * max_commits)
-    last = max_commits - 1
-    indexed = row_positions(commits.select("version", "rows"), [], "version", name="i")
-    own = F.floor(F.col("i") / block).cast("bigint")
-    shared = (F.col("i") % block < last) & (own > 0)
-    blocks = (
-        indexed.withColumn("block", F.explode(F.when(shared, F.array(own, own - 1)).otherwise(F.array(own))))
-        .groupBy("block")
-        .agg(F.array_sort(F.collect_list(F.struct("i", "version", "rows"))).alias("a"))
-        .withColumn("m", F.least(F.size("a"), F.lit(block)))
-    )
-    big = "false" if alone_above is None else f"x.rows > {alone_above}"
-    big_next = "false" if alone_above is None else f"y.rows > {alone_above}"
-    # following[p]: place after the group that starts at place p of the block.
-    following = f"""transform(slice(a, 1, m), (x, p) -> CASE WHEN {big} THEN p + 1 ELSE
-      aggregate(slice(a, p + 2, {last}),
-        named_struct('sum', x.rows, 'stop', p + 1, 'open', true),
-        (s, y) -> CASE
-          WHEN s.open AND NOT {big_next} AND s.sum + y.rows <= {row_limit}
-          THEN named_struct('sum', s.sum + y.rows, 'stop', s.stop + 1, 'open', true)
-          ELSE named_struct('sum', s.sum, 'stop', s.stop, 'open', false) END).stop END)"""
-    # leads[e]: entering at place e, where the next block is entered and how many groups start here.
-    leads = f"""transform(sequence(0, {last}), e -> aggregate(sequence(0, m - 1),
-      named_struct('at', e, 'n', 0L),
-      (s, p) -> CASE WHEN s.at = p THEN named_struct('at', f[p], 'n', s.n + 1) ELSE s END,
-      s -> named_struct('at', greatest(s.at - m, 0), 'n', s.n)))"""
-    # The one-element transform binds the array to f, so it is built once and not per use.
-    bound = f"transform(array({following}), f -> named_struct('following', f, 'leads', {leads}))[0]"
-    blocks = blocks.withColumn("way", F.expr(bound)).select("block", "a", "m", "way.*")
-    entries = blocks.agg(
-        F.array_sort(F.collect_list(F.struct("block", "leads"))).alias("b")
-    ).select(
-        F.inline(
-            F.expr(
-                """aggregate(b, named_struct('at', 0, 'n', 0L,
-                  'out', cast(array() AS array<struct<block: bigint, entry: int, groups: bigint>>)),
-                (s, x) -> named_struct('at', x.leads[s.at].at, 'n', s.n + x.leads[s.at].n,
-                  'out', array_append(s.out, named_struct('block', x.block, 'entry', s.at, 'groups', s.n))),
-                s -> s.out)"""
-            )
-        )
-    )
-    starts = """aggregate(sequence(0, m - 1),
-      named_struct('at', entry, 'out', cast(array() AS array<int>)),
-      (s, p) -> CASE WHEN s.at = p
-        THEN named_struct('at', f[p], 'out', array_append(s.out, p)) ELSE s END).out"""
-    starts = f"transform(array(following), f -> {starts})[0]"
-    rows = f"""flatten(transform(array({starts}), t -> transform(slice(a, 1, m), (x, p) -> named_struct(
-      'version', x.version, 'rows', x.rows, 'group', groups - 1 + size(filter(t, q -> q <= p))))))"""
-    return blocks.join(entries, "block").select(F.inline(F.expr(rows)))
+    block, next_state, scan = _maps(row_limit, alone_above, max_commits)
+    number = F.floor(F.col("version") / BLOCK).cast("bigint").alias("n")
+    commits = commits.select(F.col("version").cast("bigint"), F.col("rows").cast("bigint"))
+    first, numbers = span(commits.select(number), "n")
+    blocks = commits.groupBy(number).agg(F.array_sort(F.collect_list(F.struct("version", "rows"))).alias("a"))
+    initial = _TAKEN.format(s="0L", k=max_commits, n="0L")
+    if numbers <= 1:
+        entered = blocks.withColumn("before", F.expr(initial))
+    else:
+        maps = blocks.select(F.struct(F.lit(0)).alias("g"), "n", F.expr(block).alias("v"))
+        states = before_blocks(maps, scan, initial, first, numbers).select(F.col("n").alias("m"), "before")
+        entered = blocks.join(states, F.col("n") == F.col("m"))
+    numbered = f"""aggregate(a, named_struct('t', before, 'out', cast(array() AS array<struct<version: bigint, rows: bigint, `group`: bigint>>)),
+      (u, x) -> transform(array(transform(array(u.t), t -> {next_state})[0]), t -> named_struct('t', t,
+        'out', array_append(u.out, named_struct('version', x.version, 'rows', x.rows, 'group', t.n - 1))))[0], u -> u.out)"""
+    return entered.select(F.inline(F.expr(numbered)))
 
 
 def plan_adaptive(
