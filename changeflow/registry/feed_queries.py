@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from changeflow.operators import feed as ops
-from changeflow.operators.diff import diff_snapshots
+from changeflow.operators.diff import diff_by_digest, diff_snapshots
 from changeflow.operators.latest import latest_per_key, replay
 from changeflow.registry import fixtures as fx
 from changeflow.registry.base import query
@@ -118,3 +118,17 @@ def snapshots(spark, sf):
 @query("snapshot_diff", SNAPSHOT_DIFF)
 def snapshot_diff(spark, sf):
     return diff_snapshots(*snapshots(spark, sf), ["k"])
+
+
+_WIDTH, _SPLIT = 640, 40
+
+
+@query(
+    "snapshot_diff_digest",
+    f"""WITH d AS ({SNAPSHOT_DIFF}) SELECT *, (SELECT count(DISTINCT k // {_WIDTH // _SPLIT}) FROM d) AS ranges_joined FROM d""",
+)
+def snapshot_diff_digest(spark, sf):
+    """The diff of two snapshots by digests of key ranges, and how many of the ranges were joined."""
+    fine = F.floor(F.col("k") / (_WIDTH // _SPLIT))
+    feed, joined = diff_by_digest(*snapshots(spark, sf), ["k"], (F.floor(F.col("k") / _WIDTH), fine))
+    return feed.withColumn("ranges_joined", F.lit(joined).cast("bigint"))

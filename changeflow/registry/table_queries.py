@@ -2,10 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from changeflow.functions.zorder import SAMPLED, interleave, quantile_ranks
+from changeflow.functions.zorder import interleave, quantile_ranks
 from changeflow.operators import datagen, inspect, maintenance, runs
+from changeflow.operators.compaction import compact_folder, partitioned_files
 from changeflow.registry import fixtures as fx
 from changeflow.registry.base import query
+from changeflow.session import work_dir
 from changeflow.sources import commits
 
 # Commit log derived from the feed: adds with text or object statistics, a blank line, a broken
@@ -147,6 +149,40 @@ def compact(spark, sf):
     return maintenance.compacted(fx.table(spark, sf, "orders"), size, 1_000_000)
 
 
+@query(
+    "compact_small_files",
+    """SELECT l_returnflag AS mode, count(*) AS rows, CAST(sum(l_orderkey) AS BIGINT) AS key_sum,
+  CAST(1 AS BIGINT) AS large_before, CAST(4 AS BIGINT) AS small_before, CAST(1 AS BIGINT) AS large_kept,
+  CAST(1 AS BIGINT) AS small_after, CAST(0 AS BIGINT) AS small_kept FROM lineitem GROUP BY 1""",
+)
+def compact_small_files(spark, sf):
+    """Each return flag has a large file and four small ones; the small ones become one, the large one stays as it is."""
+    folder = f"{work_dir(spark, 'compact')}/table"
+    rows = fx.table(spark, sf, "lineitem").withColumn("mode", F.col("l_returnflag"))
+    large = F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(100)) >= 4
+    rows.where(large).repartition(1).write.partitionBy("mode").parquet(folder)
+    for k in range(4):
+        some = rows.where(F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(100)) == k)
+        some.repartition(1).write.mode("append").partitionBy("mode").parquet(folder)
+    before = partitioned_files(spark, folder)
+    before = before.sparkSession.createDataFrame(before.collect(), before.schema)
+    target = before.groupBy("partition").agg(F.max("size_bytes").alias("size")).agg(F.min("size")).first()[0]
+    compact_folder(spark, folder, target)
+    both = before.withColumn("before", F.lit(True)).join(
+        partitioned_files(spark, folder).withColumn("after", F.lit(True)), ["path", "partition", "size_bytes"], "full_outer"
+    )
+    is_large, was, stays = F.col("size_bytes") >= target, F.col("before").isNotNull(), F.col("after").isNotNull()
+    files = both.groupBy(F.regexp_replace("partition", "^mode=", "").alias("mode")).agg(
+        F.count_if(is_large & was).alias("large_before"),
+        F.count_if(~is_large & was).alias("small_before"),
+        F.count_if(is_large & was & stays).alias("large_kept"),
+        F.count_if(~was & stays).alias("small_after"),
+        F.count_if(~is_large & was & stays).alias("small_kept"),
+    )
+    read = spark.read.parquet(folder).groupBy("mode")
+    return read.agg(F.count("*").alias("rows"), F.sum("l_orderkey").alias("key_sum")).join(files, "mode")
+
+
 @query("zorder_cluster", "SELECT * FROM orders")
 def zorder_cluster(spark, sf):
     o = fx.table(spark, sf, "orders")
@@ -159,22 +195,21 @@ _TEXT = "'https://example.com/items/' || o_orderpriority || '/' || o_orderkey"
 
 def _rank(name):
     return f"""(SELECT count(*) FROM (SELECT b.{name} FROM numbered b JOIN range(1, {2**_BITS}) t(k)
-      ON b.rn_{name} = greatest(1, (t.k * b.n + {2**_BITS - 1}) // {2**_BITS})) x WHERE x.{name} <= o.{name})"""
+      ON b.rn_{name} = (t.k * b.n + {2**_BITS - 1}) // {2**_BITS}) x WHERE x.{name} <= o.{name})"""
 
 
 @query(
     "zorder_ranks",
     f"""WITH o AS (SELECT o_orderkey, o_totalprice AS price, {_TEXT} AS url FROM orders),
-drawn AS (SELECT * FROM o ORDER BY md5(CAST(o_orderkey AS VARCHAR)) LIMIT {SAMPLED * 2**_BITS}),
 numbered AS (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY price) AS rn_price,
-  row_number() OVER (ORDER BY url) AS rn_url FROM drawn)
+  row_number() OVER (ORDER BY url) AS rn_url FROM o)
 SELECT o_orderkey, {_rank("price")} AS price_rank, {_rank("url")} AS url_rank FROM o""",
 )
 def zorder_ranks(spark, sf):
-    """Ranks of numbers and of long texts that begin alike."""
+    """Ranks of numbers and of long texts that begin alike, among all rows."""
     url = F.concat(F.lit("https://example.com/items/"), "o_orderpriority", F.lit("/"), F.col("o_orderkey").cast("string"))
     o = fx.table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"), url.alias("url"))
-    price, text = quantile_ranks(o, ["price", "url"], _BITS, F.md5(F.col("o_orderkey").cast("string").cast("binary")))
+    price, text = quantile_ranks(o, ["price", "url"], _BITS)
     return o.select("o_orderkey", price.alias("price_rank"), text.alias("url_rank"))
 
 
