@@ -113,18 +113,28 @@ OP6_SQL = f"""
 WITH t AS (SELECT * FROM (VALUES {_template_rows()}) v(license, n, least, most, grams)),
 tg AS (SELECT license, gram, count(*) AS k FROM (SELECT license, unnest(grams) AS gram FROM t) GROUP BY ALL),
 d AS (SELECT doc_id, regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{GAPS}', ' ', 'g') AS s FROM documents),
-units AS (
-    SELECT doc_id, unnest(ls) AS s, generate_subscripts(ls, 1) AS line FROM (SELECT doc_id, string_split(s, chr(10)) AS ls FROM d)
-    UNION ALL SELECT doc_id, regexp_replace(s, '[ \\n]+', ' ', 'g'), 0 FROM d WHERE contains(s, chr(10))),
+ls AS (SELECT doc_id, unnest(ls) AS s, generate_subscripts(ls, 1) AS line FROM (SELECT doc_id, string_split(s, chr(10)) AS ls FROM d)),
+units AS (SELECT * FROM ls UNION ALL SELECT doc_id, regexp_replace(s, '[ \\n]+', ' ', 'g'), 0 FROM d WHERE contains(s, chr(10))),
 words AS (SELECT doc_id, line, string_split(trim(s), ' ') AS ws FROM units),
 likely AS (SELECT DISTINCT w.* FROM words w JOIN t ON len(ws) - 1 BETWEEN least AND most),
 grams AS (SELECT doc_id, line, n, gram, count(*) AS k FROM (
     SELECT doc_id, line, len(ws) - 1 AS n, unnest([ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))]) AS gram FROM likely) GROUP BY ALL),
 scores AS (SELECT doc_id, line, g.n, tg.license, sum(least(g.k, tg.k)) AS common FROM grams g JOIN tg ON g.gram = tg.gram GROUP BY ALL),
-found AS (SELECT doc_id, line, s.license, 2.0::DOUBLE * common / (s.n + t.n) AS score FROM scores s JOIN t ON s.license = t.license
-    WHERE s.n BETWEEN least AND most AND 2.0::DOUBLE * common / (s.n + t.n) >= {THRESHOLD}),
-best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line, license) AS k,
-    count(*) OVER (PARTITION BY doc_id) AS n FROM found)
+word AS (SELECT doc_id, line, word, row_number() OVER (PARTITION BY doc_id ORDER BY line, i) - 1 AS place FROM (
+    SELECT doc_id, line, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM words WHERE line > 0) WHERE word <> ''),
+pair AS (SELECT doc_id, line, place, word || ' ' || lead(word) OVER w AS gram, count(*) OVER (PARTITION BY doc_id) - 1 AS total
+    FROM word WINDOW w AS (PARTITION BY doc_id ORDER BY place)),
+hits AS (SELECT p.*, tg.license, tg.k, t.n FROM pair p JOIN tg ON p.gram = tg.gram JOIN t ON t.license = tg.license),
+often AS (SELECT doc_id, license FROM hits GROUP BY doc_id, license, n HAVING count(*) >= 0.6 * n),
+near AS (SELECT hits.* FROM hits JOIN often USING (doc_id, license)),
+inside AS (SELECT h.doc_id, h.license, h.place, h.line, h.n, least(h.n, h.total - h.place) AS size, x.gram, least(count(*), any_value(x.k)) AS k
+    FROM near h JOIN near x ON h.doc_id = x.doc_id AND h.license = x.license AND x.place BETWEEN h.place AND h.place + h.n - 1 GROUP BY ALL),
+windows AS (SELECT doc_id, line, license, 2.0::DOUBLE * sum(k) / (size + n) AS score, sum(k) AS common FROM inside GROUP BY doc_id, license, place, line, n, size),
+found AS (SELECT doc_id, line, s.license, 2.0::DOUBLE * common / (s.n + t.n) AS score, common FROM scores s JOIN t ON s.license = t.license
+    WHERE s.n BETWEEN least AND most UNION ALL SELECT doc_id, line, license, score, common FROM windows),
+named AS (SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY score DESC, line, common DESC) AS k FROM found WHERE score >= {THRESHOLD}),
+best AS (SELECT doc_id, line, license, score, row_number() OVER (PARTITION BY doc_id ORDER BY common DESC, score DESC, line, license) AS k,
+    count(*) OVER (PARTITION BY doc_id) AS n FROM named WHERE k = 1)
 SELECT d.doc_id, CAST(coalesce(b.n, 0) AS BIGINT) AS n_matches, b.license, CAST(b.line AS INTEGER) AS line, b.score
 FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id AND b.k = 1
 """

@@ -114,11 +114,24 @@ def plain_license(text, templates, threshold):
         a = grams(s)
         for name, template in templates.items():
             b = grams(" ".join(license_scan.template_words(template)))
-            dice = 2 * sum((a & b).values()) / max(1, a.total() + b.total())
+            common = sum((a & b).values())
+            dice = 2 * common / max(1, a.total() + b.total())
             if dice >= threshold:
-                found.append((-dice, line, name))
-    best = min(found, default=(None, None, None))
-    return len(found), best[2], best[1], -best[0] if found else None
+                found.append((-dice, line, name, -common))
+    where, words = [(n, w) for n, x in enumerate(lines, 1) for w in x.split()], " ".join(lines).split()
+    pairs = list(zip(words, words[1:], strict=False))
+    for name, template in templates.items():
+        b = grams(" ".join(license_scan.template_words(template)))
+        m = b.total()
+        for at in range(len(pairs)):
+            a = Counter(pairs[at : at + m])
+            common = sum((a & b).values())
+            dice = 2 * common / (a.total() + m)
+            if dice >= threshold and pairs[at] in b:
+                found.append((-dice, where[at][0], name, -common))
+    each = {name: min(f for f in found if f[2] == name) for name in {f[2] for f in found}}
+    best = min(((less, *f) for *f, less in each.values()), default=(None,) * 4)
+    return len(each), best[3], best[2], -best[1] if found else None
 
 
 def test_license_scan_equals_a_plain_scan(spark):
@@ -136,6 +149,25 @@ def test_license_scan_equals_a_plain_scan(spark):
         assert got[i][:3] == want[:3] and got[i][3] == (pytest.approx(want[3]) if want[3] else None), t
 
 
+def test_notices_are_found_where_they_are_wrapped_or_embedded(spark):
+    t = license_scan.TEMPLATES
+    wrap = lambda text, n, mark: "\n".join(f"{mark} {' '.join(text.split()[i : i + n])}" for i in range(0, len(text.split()), n))
+    code = "import os\n\ndef main():\n    return os.getcwd()\n" * 20
+    texts = {
+        "apache-2.0-header": "#!/usr/bin/env python\n" + wrap(t["apache-2.0-header"], 9, "#") + "\n" + code,
+        "mit-text": "/*\n" + wrap("Copyright (c) 2020 Foo " + t["mit-text"], 7, " *") + "\n */\n" + code,
+        "all-rights-reserved": "Copyright 2020 Foo Inc. All rights reserved. Use of this page is free.",
+        "gpl-3.0": "The files are here. This work is licensed under the GNU General Public License, version 3. See below for more of them.",
+        "bsd-3-clause": code + t["bsd-3-clause"].replace("the copyright holder", "Foo", 1) + " " + code.replace("\n", " "),
+        "zlib": code * 5 + wrap(t["zlib"], 5, "//") + code,
+        None: code + "the license of this work is under a version of the public domain, all rights of the software are free",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts.values())), edges.SCHEMA)
+    got = license_scan.license_scan(docs).orderBy("doc_id").collect()
+    assert [r.license for r in got] == list(texts) and [r.line for r in got] == [2, 2, 1, 1, 81, 401, None]
+    assert all(r.score > 0.9 for r in got if r.license)
+
+
 def test_license_scan_on_odd_rows(spark):
     got = license_scan.license_scan(edges.documents(spark))
     assert edges.same_ids(got)
