@@ -2,8 +2,8 @@
 
 The operator merges by itself (see ``piece_bpe``) and checks every Arrow batch against the sentencepiece
 library: the ids of each whole text, and what they decode to where that isn't the text itself, with spaces
-for U+2581. ``agrees`` tells whether both were the same; should they ever differ, the library's ids and
-text are the ones returned, for they are the definition.
+for U+2581. Should they ever differ the batch fails with ``ValueError``, so whatever is returned is both the
+operator's own and the library's result; ``agrees`` is true in every row.
 
 Defined results: a null or empty text has only the begin and the end id and decodes to an empty text.
 Repeated rows are encoded each, very long texts whole. Only the id and the text are read.
@@ -32,12 +32,11 @@ def _both(path: str, texts: list[str]) -> Iterator[tuple[np.ndarray, str, bool]]
     theirs = lib.encode(texts, add_bos=True, add_eos=True, num_threads=1)
     for source, mine, other in zip(texts, ids, theirs, strict=True):
         text, other = own.decode(mine), np.array(other, "<u4")
-        same = np.array_equal(mine, other)
-        if same and text == source.replace(SPACE, " "):
-            yield mine, text, True
-        else:
-            expected = lib.decode(other.tolist())
-            yield other, expected, same and text == expected
+        if not np.array_equal(mine, other):
+            raise ValueError(f"other ids than the library's for a text of {len(source)} characters: {source[:80]!r}")
+        if text != source.replace(SPACE, " ") and text != lib.decode(mine.tolist()):
+            raise ValueError(f"decoded to another text than the library's: {text[:80]!r}")
+        yield mine, text, True
 
 
 def encoded(text: Column, path: str) -> Column:
