@@ -1,11 +1,12 @@
 """Queries over the keyed merge and its transforms."""
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from changeflow.operators import feed as ops
-from changeflow.operators.merge import MergeSpec, merge, merge_change_feed, merge_metrics
+from changeflow.operators.merge import MergeSpec, merge, merge_change_feed, merge_metrics, prepare_source
 from changeflow.operators.transform import arrow_transform, sql_transform
 from changeflow.registry import fixtures as fx
 from changeflow.registry.base import query
@@ -343,3 +344,69 @@ def merge_arrow(spark, sf):
     tgt = fx.target(spark, sf).drop("props")
     src = ops.postimages(fx.feed(spark, sf))
     return merge(tgt, src, _spec(transform_arrow=_double_clicks, transform_schema=_ARROW_SCHEMA))
+
+
+# The user's own functions in a transform ---------------------------------------------------------
+
+
+@F.udtf(returnType="half string, amount double", useArrow=True)
+class _Halves:
+    """Two rows for a value, the second of which takes the rest."""
+
+    def eval(self, value: float):
+        if value is not None:
+            low = float(int(value) // 2)
+            yield "low", low
+            yield "high", value - low
+
+
+@F.pandas_udf("double")
+def _spread(values: pd.Series) -> float:
+    return float(values.max() - values.min())
+
+
+@query(
+    "transform_udtf",
+    f"""WITH f AS ({fx.POST}) SELECT event_id, 'low' AS half, CAST(CAST(trunc(value) AS BIGINT) // 2 AS DOUBLE) AS amount FROM f WHERE event_type = 'click'
+UNION ALL SELECT event_id, 'high', value - CAST(CAST(trunc(value) AS BIGINT) // 2 AS DOUBLE) FROM f WHERE event_type = 'click'""",
+)
+def transform_udtf(spark, sf):
+    """A table function of the user's, called beside each row of the batch."""
+    source = fx.feed(spark, sf).where("_change_type <> 'update_preimage'")
+    sql = "SELECT event_id, half, amount FROM __src, LATERAL halves(value) WHERE event_type = 'click' -- halves(x)"
+    return sql_transform(source, sql, {"halves": _Halves})
+
+
+@query(
+    "transform_udaf",
+    f"SELECT user_id, max(value) - min(value) AS spread, 'spread(value)' AS text FROM ({fx.POST}) f GROUP BY user_id HAVING max(value) - min(value) > 40",
+)
+def transform_udaf(spark, sf):
+    """A grouped aggregate of the user's."""
+    source = fx.feed(spark, sf).where("_change_type <> 'update_preimage'")
+    sql = "SELECT user_id, Spread(value) AS spread, 'spread(value)' AS text FROM __src GROUP BY user_id HAVING SPREAD(value) > 40"
+    return sql_transform(source, sql, {"spread": _spread})
+
+
+def _accepted(make) -> bool:
+    try:
+        make()
+    except ValueError:
+        return False
+    return True
+
+
+@query(
+    "key_validation",
+    """SELECT column_name AS key, column_name IN ('user_id', 'event_type') AS after_transform, true AS without_transform
+FROM (DESCRIBE events) UNION ALL SELECT name, false, false FROM (VALUES ('_change_type'), ('_commit_version')) t(name)""",
+)
+def key_validation(spark, sf):
+    """Which columns of the events may be merge keys, with a transform that keeps some of them and without."""
+    events = fx.table(spark, sf, "events").withColumns({"_change_type": F.lit("insert"), "_commit_version": F.lit(0)})
+    kept = "SELECT user_id, event_type, _change_type, _commit_version FROM __src"
+    rows = [
+        tuple([c, *(_accepted(lambda c=c, sql=sql: prepare_source(events, MergeSpec((c,), transform_sql=sql))) for sql in (kept, None))])
+        for c in events.columns
+    ]
+    return spark.createDataFrame(rows, "key string, after_transform boolean, without_transform boolean")

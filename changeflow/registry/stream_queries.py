@@ -2,10 +2,12 @@
 
 import json
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from changeflow import jobs
 from changeflow.operators import feed as ops
+from changeflow.operators import runs
 from changeflow.operators.merge import MergeSpec
 from changeflow.registry import fixtures as fx
 from changeflow.registry.base import query
@@ -20,7 +22,8 @@ from changeflow.sources.event_source import event_batches, read_event_batch
 from changeflow.sources.feed_source import read_feed, write_feed
 from changeflow.sources.feeds import stream_changes as stream_folder
 from changeflow.streaming.micro_batches import EventBatches, FeedTransfer, drain
-from changeflow.streaming.transfer import EventSpec, EventTransfer, Transfer, TransferSpec
+from changeflow.streaming.run_log import RunLog, read_runs
+from changeflow.streaming.transfer import EventSpec, EventTransfer, SourceMismatch, Transfer, TransferSpec
 
 _NEWEST = "_commit_version DESC NULLS FIRST, event_id DESC NULLS FIRST"
 _DATA = "user_id, event_id, event_type, value, props"
@@ -374,3 +377,82 @@ def event_batch_stream(spark, sf):
         F.min("sequence_number").alias("first_sequence"),
         F.max("sequence_number").alias("last_sequence"),
     )
+
+
+# Run rows that a stream leaves ---------------------------------------------------------------------
+
+_BY_BATCH = f"""WITH p AS ({fx.POST}), v AS (SELECT version, row_number() OVER (ORDER BY version) - 1 AS i
+  FROM (SELECT DISTINCT _commit_version AS version FROM ({fx.FEED}) f)),
+b AS (SELECT p.*, i // {_PER_BATCH} AS batch FROM p JOIN v ON version = _commit_version),
+r AS (SELECT 'events' AS job, batch, count(*) AS n, count(*) FILTER (_change_type = 'insert') AS inserts,
+  count(*) FILTER (_change_type = 'update_postimage') AS updates, count(*) FILTER (_change_type = 'delete') AS deletes,
+  count(*) FILTER (_change_type <> 'delete') AS appended FROM b GROUP BY batch)"""
+
+
+@query(
+    "run_totals_stream",
+    f"""{_BY_BATCH} SELECT job, count(*) AS batches, sum(inserts)::BIGINT AS inserts, sum(updates)::BIGINT AS updates,
+  sum(deletes)::BIGINT AS deletes, sum(appended)::BIGINT AS appended FROM r GROUP BY job""",
+)
+def run_totals_stream(spark, sf):
+    """Totals over the log that a stream wrote while it ran."""
+    root = work_dir(spark, "run-log")
+    write_feed(fx.feed(spark, sf), f"{root}/feed")
+    log = RunLog(spark, f"{root}/runs", "events")
+    transfer = FeedTransfer(spark, f"{root}/feed", AppendFolder(spark, f"{root}/target"), max_versions=_PER_BATCH, log=log)
+    drain(transfer.start(f"{root}/checkpoint"), log)
+    return runs.run_totals(read_runs(spark, f"{root}/runs"))
+
+
+class _Refusing(AppendFolder):
+    """Fails at the first change of a version beyond a limit, as a transform that meets a bad row would."""
+
+    limit = 12
+
+    def apply(self, changes, number):
+        bad = F.raise_error(F.lit("a row that can not be read"))
+        super().apply(changes.withColumn("value", F.when(F.col("_commit_version") > self.limit, bad).otherwise(F.col("value"))), number)
+
+
+@query(
+    "stream_failure",
+    f"""{_BY_BATCH}, f AS (SELECT min(batch) AS failed FROM b WHERE _commit_version > {_Refusing.limit})
+SELECT batch AS seq, n AS rows, appended, false AS failed FROM r, f WHERE batch < f.failed
+UNION ALL SELECT failed, NULL, NULL, true FROM f""",
+)
+def stream_failure(spark, sf):
+    """A row for each batch that was applied and one, with its error, for the batch that ended the stream."""
+    root = work_dir(spark, "run-failure")
+    write_feed(fx.feed(spark, sf), f"{root}/feed")
+    log = RunLog(spark, f"{root}/runs", "events")
+    transfer = FeedTransfer(spark, f"{root}/feed", _Refusing(spark, f"{root}/target"), max_versions=_PER_BATCH, log=log)
+    try:
+        drain(transfer.start(f"{root}/checkpoint"), log)
+    except StreamingQueryException as e:
+        if "can not be read" not in str(e):
+            raise
+    failed = F.coalesce(F.col("error").contains("can not be read"), F.lit(False))
+    return read_runs(spark, f"{root}/runs").select("seq", "rows", "appended", failed.alias("failed"))
+
+
+@query(
+    "stream_guard",
+    f"SELECT true AS refused_source, true AS refused_target, count(*) AS rows FROM ({fx.POST}) p WHERE _change_type <> 'delete'",
+)
+def stream_guard(spark, sf):
+    """A checkpoint serves one source and one target; what it has applied stays."""
+    root = work_dir(spark, "guard")
+    target = AppendFolder(spark, f"{root}/target")
+    for name in ("feed", "other"):
+        write_feed(fx.feed(spark, sf), f"{root}/{name}")
+    drain(FeedTransfer(spark, f"{root}/feed", target, max_versions=0).start(f"{root}/checkpoint"))
+    refused = []
+    for name, place in (("other", target), ("feed", AppendFolder(spark, f"{root}/elsewhere"))):
+        try:
+            drain(FeedTransfer(spark, f"{root}/{name}", place).start(f"{root}/checkpoint"))
+            refused.append(False)
+        except SourceMismatch:
+            refused.append(True)
+    return target.read().agg(
+        F.lit(refused[0]).alias("refused_source"), F.lit(refused[1]).alias("refused_target"), F.count("*").alias("rows")
+    )

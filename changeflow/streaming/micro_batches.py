@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from changeflow.operators import feed as feed_ops
 from changeflow.sources.event_source import MAX_EVENTS, stream_event_batches
 from changeflow.sources.feed_source import stream_feed
+from changeflow.streaming.run_log import RunLog
 from changeflow.streaming.transfer import guard_checkpoint
 
 
@@ -28,17 +29,26 @@ class Target(Protocol):
     def apply(self, changes: DataFrame, number: int) -> None: ...
 
 
-def _run(stream: DataFrame, checkpoint: str, interval: str, each) -> StreamingQuery:
-    writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
-    return writer.trigger(processingTime=interval).start()
+def _run(stream: DataFrame, checkpoint: str, interval: str, each, log: RunLog | None = None) -> StreamingQuery:
+    if log is None:
+        writer = stream.writeStream.foreachBatch(each)
+    else:
+        log.add()
+        writer = stream.writeStream.queryName(log.job).foreachBatch(lambda batch, n: each(log.observed(batch, n), n))
+    query = writer.option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
+    if log is not None:
+        log.query_id = str(query.id)
+    return query
 
 
-def drain(query: StreamingQuery) -> None:
+def drain(query: StreamingQuery, log: RunLog | None = None) -> None:
     """Wait until the query has applied all that is there, then stop it; an error in a batch is raised."""
     try:
         query.processAllAvailable()
     finally:
         query.stop()
+        if log is not None:
+            log.remove()
 
 
 @dataclass(frozen=True)
@@ -51,9 +61,13 @@ class FeedTransfer:
     end_version: int | None = None
     max_versions: int = 10
     max_rows: int = 0
+    log: RunLog | None = None
 
     def start(self, checkpoint: str, interval: str = "0 seconds") -> StreamingQuery:
-        """A query that goes on until it is stopped. A checkpoint of another source or target is refused."""
+        """A query that goes on until it is stopped. A checkpoint of another source or target is refused.
+
+        With a ``log`` each micro-batch leaves a row there, also one that fails.
+        """
         guard_checkpoint(self.spark, checkpoint, self.source, self.target.path)
         stream = stream_feed(
             self.spark,
@@ -65,7 +79,8 @@ class FeedTransfer:
             maxRowsPerTrigger=self.max_rows,
             checkpoint=checkpoint,
         )
-        return _run(stream, checkpoint, interval, lambda batch, number: self.target.apply(feed_ops.postimages(batch), number))
+        stream = feed_ops.postimages(stream)
+        return _run(stream, checkpoint, interval, self.target.apply, self.log)
 
 
 @dataclass(frozen=True)
