@@ -21,7 +21,7 @@ REUSE_WINDOW = 100_000
 
 def row_ids(spark: SparkSession, rows: int) -> DataFrame:
     if rows < 1:
-        raise ValueError("rows must be >= 1")
+        raise ValueError("a table without rows can not be made")
     return spark.range(rows)
 
 
@@ -102,7 +102,7 @@ def wide_table(
 ) -> DataFrame:
     """A wide table, one row per ``id``; column types repeat every five columns."""
     if columns < 2:
-        raise ValueError("columns must be >= 2")
+        raise ValueError("a table has an id and a time, so two columns or more")
     made = [
         _uuid(F.col("id"), "event").alias("event_id"),
         _before(now, "time", 30 * 24 * 3_600).alias("event_timestamp"),
@@ -125,5 +125,5 @@ def wide_table(
 def commit_of(rows: int, commits: int) -> Column:
     """The commit a row id belongs to when ``rows`` are spread over ``commits``."""
     if commits < 1:
-        raise ValueError("commits must be >= 1")
+        raise ValueError("all rows belong to a commit, so there is one or more")
     return F.floor(F.col("id") / -(-rows // commits)).cast("bigint")

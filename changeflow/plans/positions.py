@@ -79,7 +79,7 @@ def row_positions(
 
 
 def running_sum(
-    df: DataFrame, order: str, value: Column, width: int = 4_096, name: str = "total"
+    df: DataFrame, order: str, value: Column, width: int = FAN, name: str = "total"
 ) -> DataFrame:
     """Sum of ``value`` over all rows up to this one; ``order`` is a unique integer column."""
     sliced = df.withColumn("__slice", F.floor(column(order) / width).cast("bigint"))

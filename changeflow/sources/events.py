@@ -65,7 +65,7 @@ def initial_position(text: str) -> str:
         return "latest"
     if word in ("earliest", "oldest", "beginning"):
         return "earliest"
-    raise ValueError(f"invalid initial position '{text}': expected 'earliest' or 'latest'")
+    raise ValueError(f"a log is read from its earliest or its latest event on, not from '{text}'")
 
 
 def batch_offsets(events: DataFrame) -> DataFrame:

@@ -70,8 +70,8 @@ def guard_source(stored: str | None, wanted: str, override: bool = False) -> Non
     """
     if stored is not None and stored != wanted and not override:
         raise SourceMismatch(
-            f"stored progress belongs to source '{stored}', not '{wanted}'. Use the original "
-            "source, another job name, or an explicit start version."
+            f"this job has come as far as it has in '{stored}'; going on in '{wanted}' would leave out "
+            "what lies before. A version to start from says that this is meant."
         )
 
 
