@@ -16,7 +16,7 @@ def read_feed_folder(spark: SparkSession, path: str) -> DataFrame:
 def stream_changes(spark: SparkSession, path: str, schema: T.StructType, max_files: int) -> DataFrame:
     """New files of such a feed as they appear; files, not commits, make up a micro-batch.
 
-    ``changeflow.streaming.transfer`` follows a commit log instead and keeps commits whole.
+    ``changeflow.sources.feed_source.stream_feed`` keeps commits whole.
     """
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 

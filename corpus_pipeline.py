@@ -2,8 +2,8 @@
 
 Stages, each written as Parquet and read again before the next: documents whose repetition rules fail go,
 toxic documents go, one document of each group of near-duplicates stays, the rest is packed. All but the
-last return the columns of ``documents``. Rows without an id pass the dedup stage, for nothing tells them
-apart; of rows that repeat an id it keeps one.
+last return the columns of ``documents``. The dedup stage looks at texts: different texts under one id, or
+without an id, stay each.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each component of near-duplicates."""
+    """One document, that with the smallest id, of each group of linked texts."""
     prepared(spark)
     return keep_one_of_each(docs)
 
