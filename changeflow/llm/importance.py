@@ -11,10 +11,11 @@ words the CRC state after the word and after the space behind it, of at most ``P
 bucket. A feature of the head is looked up; any other takes its CRC directly, a pair by going on from the
 state of its first word. So which features are in the head decides the cost and never a result. Words are
 counted exactly. Pairs of head words are counted in pieces of ``PIECE`` pairs, and a piece reports those that
-hold at least one in ``SHARE`` of it: a pair that frequent in the whole corpus is so in some piece.
+it holds twice at least and as one in ``SHARE`` of its pairs: a pair that frequent in the whole corpus is so in
+some piece.
 
-What reaches the driver: the head (at most ``WORDS`` words of at most ``LONGEST`` bytes and ``PAIRS`` codes),
-one row a bucket, one row a partition of the ranked table.
+What reaches the driver: the head (at most ``WORDS`` words of at most ``LONGEST`` bytes and ``PAIRS`` codes;
+where many are equally frequent, fewer), one row a bucket, one row a partition of the ranked table.
 
 Defined results: a null or empty text, or one without words, has no features and weight 0. Rows that repeat
 an id are scored each. A row without an id counts in the bucket totals, but has no score and is not drawn.
@@ -35,6 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from changeflow.llm.components import stored
 from changeflow.session import work_dir
 
 #: Bounds of the head, and the bytes of the longest word in it: 2 MB of words, 3 MB of pairs.
@@ -172,7 +174,7 @@ def _pair_counter(head):
 
         def report() -> pd.DataFrame:
             codes, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n * SHARE >= n.sum()
+            often = (n > 1) & (n * SHARE >= n.sum())
             held.clear()
             return pd.DataFrame({"code": codes[often], "n": n[often]})
 
@@ -187,14 +189,32 @@ def _pair_counter(head):
     return count
 
 
-def learn_head(texts: DataFrame, buckets: int) -> Head:
-    """The head of a table's words and pairs, by two passes over its column ``text``."""
+def _most(counted: DataFrame, most: int, folder: str) -> DataFrame:
+    """The rows of the largest ``n``, at most ``most``: all those from a power of 2 ** 0.125 on.
+
+    A histogram of ``n`` finds the power, so the driver gets no more rows than the head has, however many
+    partitions the counts have.
+    """
+    counted = stored(counted.withColumn("step", F.floor(F.log2("n") * 8).cast("int")), folder)
+    steps = counted.groupBy("step").agg(F.count("*").alias("rows")).orderBy(F.desc("step")).collect()  # a few hundred
+    least, total = None, 0
+    for s in steps:
+        total += s["rows"]
+        if total > most:
+            break
+        least = s["step"]
+    return counted.where(F.lit(False) if least is None else F.col("step") >= least).drop("step")
+
+
+def learn_head(texts: DataFrame, buckets: int, folder: str) -> Head:
+    """The head of a table's words and pairs, by two passes over its column ``text``; counts are stored in ``folder``."""
     spark = texts.sparkSession
     words = texts.select("text").mapInPandas(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = [bytes(r.word) for r in words.orderBy(F.desc("n"), "word").limit(WORDS).collect()]
+    found = _most(words, WORDS, f"{folder}/words").collect()
+    top = [bytes(r.word) for r in sorted(found, key=lambda r: (-r.n, bytes(r.word)))]
     shared = spark.sparkContext.broadcast(Head(top, np.empty(0, np.int64), buckets))
     pairs = texts.select("text").mapInPandas(_pair_counter(shared), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    codes = [r.code for r in pairs.orderBy(F.desc("n"), "code").limit(PAIRS).collect()]
+    codes = [r.code for r in _most(pairs, PAIRS, f"{folder}/pairs").collect()]
     return Head(top, np.array(codes, np.int64), buckets)
 
 
@@ -283,8 +303,7 @@ def resample(
     """
     spark: SparkSession = docs.sparkSession
     folder = work_dir(spark, "importance")
-    head = spark.sparkContext.broadcast(learn_head(docs, buckets))
+    head = spark.sparkContext.broadcast(learn_head(docs, buckets, folder))
     gain = gains(bucket_totals(docs, head), bucket_totals(target, head))
     scored = weights(docs, head, gain).withColumn("score", F.col("weight") + gumbel(F.col("doc_id"), seed))
-    scored.write.parquet(f"{folder}/scored")
-    return ranked(spark.read.parquet(f"{folder}/scored"), folder, percent, min_words)
+    return ranked(stored(scored, f"{folder}/scored"), folder, percent, min_words)
