@@ -1,5 +1,7 @@
 """The quality network and the toxicity dictionaries: gradients, held-out accuracy, odd rows."""
 
+import math
+import random
 import zlib
 
 import numpy as np
@@ -62,6 +64,62 @@ def test_scores_do_not_depend_on_neighbours():
     assert alone[0] == alone[5]
 
 
+def plain_quality(net, text):
+    """The network's score of one text by loops over chunks, windows and filters."""
+    data = (text or "").encode()
+    halves = max(2, -(-(len(data) + 8) // 128))
+    codes = [*data, *[byte_cnn.PAD] * (halves * 128 + 8 - len(data))]
+    pooled = [0.0] * byte_cnn.UNITS
+    for chunk in range(halves - 1):
+        begins = [p for p in range(chunk * 128, chunk * 128 + 256, 2) if p < len(data)]
+        sums = [0.0] * byte_cnn.FILTERS
+        for p in begins:
+            x = [float(v) for c in codes[p : p + 8] for v in net.embed[c]]
+            for f in range(byte_cnn.FILTERS):
+                sums[f] += max(0.0, sum(a * float(w) for a, w in zip(x, net.w1[:, f], strict=True)) + float(net.b1[f]))
+        mean = [v / max(1, len(begins)) for v in sums]
+        for u in range(byte_cnn.UNITS):
+            unit = sum(m * float(w) for m, w in zip(mean, net.w2[:, u], strict=True)) + float(net.b2[u])
+            pooled[u] = max(pooled[u], unit)
+    logit = sum(a * float(b) for a, b in zip(pooled, net.v, strict=True)) + float(net.c[0]) + net.shift
+    return 1 / (1 + math.exp(-max(-60.0, min(60.0, logit))))
+
+
+def test_network_equals_plain_loops():
+    net, rng = byte_cnn.Network.fresh(5), random.Random(2)
+    for w in net.weights()[1:]:
+        w += np.random.default_rng(4).standard_normal(w.shape).astype(np.float32) * 0.1
+    net.shift = 0.3
+    texts = [None, "", "x", "é" * 61, *("".join(rng.choice("abC é.\n") for _ in range(n)) for n in (119, 120, 121, 128, 247, 256, 257, 640))]
+    assert byte_cnn.score(net, texts) == pytest.approx([plain_quality(net, t) for t in texts], abs=2e-5)
+
+
+def plain_toxicity(model, text):
+    """The score of one text by loops over windows; lengths come from zstandard with each dictionary."""
+    data = bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode())
+    starts = [0, *(i for i in range(32, len(data), 32) if i < len(data) - 48 + 32)]
+    lengths = [[len(compress(data[i : i + 48])) for i in starts] for compress in model.compressors()]
+    own = [a - b for a, b in zip(lengths[0], lengths[1], strict=True)]
+    often = [a - b for a, b in zip(lengths[0], lengths[2], strict=True)]
+    top, beyond = sorted(own, reverse=True)[:3], [g for g in own if g > model.cut]
+    x = [1.0, top[0], sum(top) / 3, math.log1p(sum(g - model.cut for g in beyond)), math.sqrt(sum(beyond) / len(own))]
+    for cut, tail in zip(model.cuts, model.tails, strict=True):
+        n, expected = sum(g > cut for g in often), tail * len(often)
+        ratio = 2 * ((n * math.log(n / expected) if n else 0.0) - (n - expected))
+        x.append(math.copysign(math.sqrt(max(ratio, 0.0)), n - expected) if n != expected else 0.0)
+    z = sum(a * float(w) for a, w in zip(x, model.weights, strict=True))
+    return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
+
+
+def test_toxicity_equals_plain_loops():
+    train, y, test, _ = labelled("toxic", 4, 2)
+    rows = [i for label in (0, 1) for i in np.flatnonzero(y == label)[:150] if len(train[i]) < 4000]
+    model = compression_toxicity.fit([train[i] for i in rows], y[rows].tolist(), y.mean())
+    texts = [None, "", "x", "a" * 47, "a" * 48, "a" * 49, "B" * 80, "c" * 81, *test[:200]]
+    got = compression_toxicity.score(model, texts)
+    assert got == pytest.approx([plain_toxicity(model, t) for t in texts], abs=1e-9) and got.std() > 0.01
+
+
 def test_quality_is_learned():
     train, y, test, expected = labelled("quality", 5, 0)
     rows = [i for label in (0, 1) for i in np.flatnonzero(y == label)[:1000] if len(train[i]) < 8000]
