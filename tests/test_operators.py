@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from changeflow.functions import json as js
+from changeflow.functions import zorder
 from changeflow.functions.zorder import quantile_ranks
 from changeflow.operators import datagen, feed, inspect, maintenance, runs
 from changeflow.operators.transform import sql_transform
@@ -175,3 +176,37 @@ def test_scans_read_only_what_a_query_needs(spark):
     counts = feed.change_counts(table(spark, SMALL, "events").selectExpr("event_type AS _change_type", "user_id AS _commit_version", "props"))
     plan = counts._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<user_id:bigint,event_type:string>" in plan
+
+
+def exact_ranks(values, bits):
+    """Rank of each value among the exact quantiles; 0 for None."""
+    known = sorted(v for v in values if v is not None)
+    bounds = [known[-(-k * len(known) // 2**bits) - 1] for k in range(1, 2**bits)] if known else []
+    return [0 if v is None else sum(b <= v for b in bounds) for v in values]
+
+
+@pytest.mark.parametrize("few", [1_024, 2])
+def test_text_ranks_are_those_of_all_rows(spark, monkeypatch, few):
+    monkeypatch.setattr(zorder, "FEW", few)
+    monkeypatch.setattr(zorder, "FINE", 1 << 30)
+    r = random.Random(few)
+    start = ["", "https://www.example.com/", "https://www.example.com/a/", "é", "z" * 3_000]
+    texts = [r.choice(start) + "".join(r.choice("ab/é") for _ in range(r.randrange(6))) for _ in range(2_000)]
+    texts += ["https://www.example.com/hot"] * 700 + [None] * 50 + ["", "a", "ab"] * 20
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(5)
+    (rank,) = zorder.quantile_ranks(df, ["t"], 4)
+    got = {x.i: x.r for x in df.select("i", rank.alias("r")).collect()}
+    want = exact_ranks([None if t is None else t.encode() for t in texts], 4)
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_number_ranks_are_those_of_all_rows_and_stay_in_the_jvm(spark):
+    r = random.Random(1)
+    values = [r.choice([None, float("nan"), 5.0, r.gauss(0, 1), -1e300, float("inf")]) for _ in range(3_000)]
+    df = spark.createDataFrame([(i, v, str(v)) for i, v in enumerate(values)], "i int, v double, t string").repartition(5)
+    ranks = zorder.quantile_ranks(df, ["v", "t"], 5)
+    ranked = df.select("i", ranks[0].alias("r"), ranks[1].alias("t"))
+    assert "Python" not in ranked._jdf.queryExecution().executedPlan().toString()
+    got = {x.i: x.r for x in ranked.collect()}
+    assert [got[i] for i in range(len(values))] == exact_ranks([None if v is None or v != v else v for v in values], 5)
+    assert zorder.quantile_ranks(df.limit(0), ["v", "t"])[0] is not None

@@ -1,6 +1,7 @@
 """Commit grouping and chunking against brute force."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,3 +109,20 @@ def test_progress(spark):
     assert [(r.checkpoint, r.rows_committed) for r in got.collect()] == [
         ("v1:complete", 11), ("v1+chunk1", 177), ("v1+chunk2", 343), ("v2:complete", 511)
     ]
+
+
+def test_no_step_gathers_all_blocks(spark):
+    df = spark.createDataFrame(some_commits(7, 3_000, True), "version bigint, rows bigint")
+    plan = plan_adaptive(df, 100, 80)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan
+    aggregates = [line for line in plan.split("\n") if "Aggregate" in line and "collect_list" in line]
+    assert aggregates and not any(re.search(r"Aggregate \[collect_list", line) for line in aggregates)
+
+
+def test_commits_far_apart_and_of_one_block(spark):
+    for versions in ([5], [-3, 10**12, 10**15], list(range(300))):
+        commits = [(v, 30) for v in versions]
+        df = spark.createDataFrame(commits, "version bigint, rows bigint")
+        got = plan_adaptive(df, 100, 80, 3).select("version", "rows", "group")
+        assert sorted(map(tuple, got.collect())) == greedy(commits, 100, 80, 3)
+    assert plan_adaptive(df.limit(0), 100, 80).count() == 0
