@@ -9,9 +9,9 @@ bigrams, repeated bigrams counted as often as they occur.
 
 For a score of at least ``t`` the numbers n of the text and m of the template must satisfy
 ``m * t / (2 - t) <= n <= m * (2 - t) / t``, so templates (and lines that fit no template) are pruned by
-counting spaces, before any bigram is made. Windows of a template are looked at only in texts that hold
-enough of its words, then of its bigrams; the number of hits inside a window, which the places of the hits
-tell, bounds its score before bigrams are counted. All is computed within the row: nothing is shuffled,
+counting spaces, before any bigram is made. A template is looked for only in texts that hold enough of its
+words, its windows only where enough of its bigrams are; the number of hits inside a window, which the places
+of the hits tell, bounds its score before bigrams are counted. All is computed within the row: nothing is shuffled,
 however often a line or a document is repeated.
 
 Defined results: null and empty texts, and texts of one word, match nothing. Of a document's matches with
@@ -98,6 +98,7 @@ TABLE = (
     "array<struct<license: string, n: int, least: int, most: int, grams: array<string>, kinds: array<string>, "
     "words: array<string>, enough_kinds: int, enough_words: int>>"
 )
+FOUND = "array<struct<less: int, minus: double, line: int, license: string>>"
 #: Runs of ASCII characters other than small letters, digits and the newline.
 GAPS = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -124,7 +125,7 @@ def numbered(words: list[str]) -> list[str]:
     return out
 
 
-def _templates(templates: dict[str, str], threshold: float) -> tuple[Column, int, int]:
+def _templates(templates: dict[str, str], threshold: float) -> Column:
     words = {name: template_words(text) for name, text in sorted(templates.items())}
     if sum(map(len, words.values())) > MAX_TEMPLATE_WORDS:
         raise ValueError(f"templates of more than {MAX_TEMPLATE_WORDS} words")
@@ -141,7 +142,7 @@ def _templates(templates: dict[str, str], threshold: float) -> tuple[Column, int
         row |= {"kinds": kinds, "words": _distinct(w), "enough_kinds": max(1, len(kinds) - lost), "enough_words": max(1, len(set(w)) - lost)}
         rows.append(row)
     # A constant of the plan: Spark folds it once.
-    return F.from_json(F.lit(json.dumps(rows)), TABLE), min(a for a, _ in limits.values()), max(b for _, b in limits.values())
+    return F.from_json(F.lit(json.dumps(rows)), TABLE)
 
 
 def _distinct(items) -> list[str]:
@@ -180,7 +181,18 @@ def _line(text: Column, word: Column) -> Column:
     return walked["line"]
 
 
-def _windows(text: Column, whole: Column, table: Column, vocabulary: list[str], threshold: float) -> Column:
+def _likely(words: Column, table: Column, vocabulary: list[str]) -> Column:
+    """The templates of which the text has enough words, wherever they stand."""
+    met = F.array_intersect(words, F.split(F.lit(" ".join(vocabulary)), " "))
+
+    def of(met: Column) -> Column:
+        enough = lambda t: F.size(F.array_intersect(met, t["words"])) >= t["enough_words"]
+        return F.filter(table, lambda t: (F.size(met) >= t["enough_words"]) & enough(t))
+
+    return _bound(met, of)
+
+
+def _windows(text: Column, words: Column, table: Column, threshold: float) -> Column:
     """The best window of each license: structs of ``minus``, ``line``, ``license`` and ``less``, all but the name to be small."""
 
     def best(grams: Column, t: Column) -> Column:
@@ -206,29 +218,17 @@ def _windows(text: Column, whole: Column, table: Column, vocabulary: list[str],
 
         return F.when(F.size(F.array_intersect(grams, t["kinds"])) >= t["enough_kinds"], _bound(hits, scored))
 
-    def of_likely(words: Column) -> Column:
-        met = F.array_intersect(words, F.split(F.lit(" ".join(vocabulary)), " "))
-        likely = _bound(met, lambda m: F.filter(table, lambda t: F.size(F.array_intersect(m, t["words"])) >= t["enough_words"]))
-
-        def found(likely: Column) -> Column:
-            each = _bound(
-                _pairs(words), lambda grams: F.transform(likely, lambda t: F.struct(best(grams, t).alias("m"), t["license"].alias("license")))
-            )
-            some = F.filter(each, lambda x: x["m"].isNotNull())
-            line = lambda x: F.struct(x["m"]["minus"].alias("minus"), _line(text, x["m"]["at"]).alias("line"), x["license"].alias("license"), x["m"]["less"].alias("less"))
-            return F.when(F.size(likely) > 0, F.transform(some, line))
+    each = _bound(_pairs(words), lambda grams: F.transform(table, lambda t: F.struct(best(grams, t).alias("m"), t["license"].alias("license"))))
 
-        return _bound(likely, found)
+    def placed(x: Column) -> Column:
+        line = _line(text, x["m"]["at"])
+        return F.struct(x["m"]["minus"].alias("minus"), line.alias("line"), x["license"].alias("license"), x["m"]["less"].alias("less"))
 
-    return _bound(F.split(whole, " "), of_likely)
+    return F.transform(F.filter(each, lambda x: x["m"].isNotNull()), placed)
 
 
-def matches(text: Column, whole: Column, templates: dict[str, str], threshold: float) -> Column:
-    """The best match with each license: structs of ``score``, ``line`` and ``license``, the best first.
-
-    ``text`` is normalised, ``whole`` the same in one line.
-    """
-    table, least, most = _templates(templates, threshold)
+def _units(text: Column, whole: Column, table: Column, threshold: float) -> Column:
+    """Matches of lines and of the whole text, as those of ``_windows``."""
     lines = F.split(text, "\n", -1)
     units = F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), F.trim(x).alias("s")))
     one = F.array(F.struct(F.lit(0).alias("line"), whole.alias("s")))
@@ -241,10 +241,7 @@ def matches(text: Column, whole: Column, templates: dict[str, str], threshold: f
             (F.length(u["s"]) - F.length(F.replace(u["s"], F.lit(" "), F.lit("")))).alias("n"),
         ),
     )
-    likely = F.filter(
-        counted,
-        lambda c: c["n"].between(least, most) & F.exists(table, lambda t: c["n"].between(t["least"], t["most"])),
-    )
+    likely = F.filter(counted, lambda c: F.exists(table, lambda t: c["n"].between(t["least"], t["most"])))
 
     def compare(c: Column) -> Column:
         def score(grams: Column) -> Column:
@@ -262,22 +259,33 @@ def matches(text: Column, whole: Column, templates: dict[str, str], threshold: f
                 ),
             )
 
-        return F.transform(F.array(_grams(c["s"])), score)[0]
+        return _bound(_grams(c["s"]), score)
+
+    return F.filter(F.flatten(F.transform(likely, compare)), lambda m: m["minus"] <= -threshold)
+
+
+def matches(text: Column, whole: Column, templates: dict[str, str], threshold: float) -> Column:
+    """The best match with each license: structs of ``score``, ``line`` and ``license``, the best first.
 
-    found = F.filter(F.flatten(F.transform(likely, compare)), lambda m: m["minus"] <= -threshold)
+    ``text`` is normalised, ``whole`` the same in one line.
+    """
+    table = _templates(templates, threshold)
     vocabulary = _distinct(w for t in templates.values() for w in template_words(t))
-    windows = _windows(text, whole, table, vocabulary, threshold)
-    found = F.concat(found, F.coalesce(windows, F.slice(found, 1, 0)))
 
     def best(found: Column) -> Column:
         names = F.array_distinct(F.transform(found, lambda m: m["license"]))
         of = F.transform(names, lambda n: F.array_min(F.filter(found, lambda m: m["license"] == n)))
         return F.transform(of, lambda m: F.struct(*[m[c].alias(c) for c in ("less", "minus", "line", "license")]))
 
-    return F.transform(
-        F.array_sort(_bound(found, best)),
-        lambda m: F.struct((-m["minus"]).alias("score"), m["line"].alias("line"), m["license"].alias("license")),
-    )
+    def compared(words: Column) -> Column:
+        def by(table: Column) -> Column:
+            found = F.concat(_units(text, whole, table, threshold), _windows(text, words, table, threshold))
+            return F.when(F.size(table) > 0, F.array_sort(_bound(found, best)))
+
+        return _bound(_likely(words, table, vocabulary), by)
+
+    found = F.coalesce(_bound(F.split(whole, " "), compared), F.from_json(F.lit("[]"), FOUND))
+    return F.transform(found, lambda m: F.struct((-m["minus"]).alias("score"), m["line"].alias("line"), m["license"].alias("license")))
 
 
 def normalised(text: Column) -> Column:
