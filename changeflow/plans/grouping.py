@@ -18,8 +18,8 @@ from changeflow.plans.positions import row_positions, running_sum
 from changeflow.plans.scan import Scan, before_blocks, span
 
 MAX_COMMITS = 10
-#: Version numbers in a block.
-BLOCK = 256
+#: Version numbers in a block; a list of no more is one block and needs no maps.
+BLOCK = 1_024
 
 # A state: rows s and commits k of the open group, groups n so far. A group that takes no more has k = max_commits.
 _STATE = "struct<s: bigint, k: int, n: bigint>"
@@ -65,16 +65,17 @@ def _greedy_groups(
     of its own.
     """
     block, next_state, scan = _maps(row_limit, alone_above, max_commits)
-    number = F.floor(F.col("version") / BLOCK).cast("bigint").alias("n")
     commits = commits.select(F.col("version").cast("bigint"), F.col("rows").cast("bigint"))
-    first, numbers = span(commits.select(number), "n")
+    first, versions = span(commits, "version")
+    numbers = -(-versions // BLOCK)
+    number = F.floor((F.col("version") - first) / BLOCK).cast("bigint").alias("n")
     blocks = commits.groupBy(number).agg(F.array_sort(F.collect_list(F.struct("version", "rows"))).alias("a"))
     initial = _TAKEN.format(s="0L", k=max_commits, n="0L")
     if numbers <= 1:
         entered = blocks.withColumn("before", F.expr(initial))
     else:
         maps = blocks.select(F.struct(F.lit(0)).alias("g"), "n", F.expr(block).alias("v"))
-        states = before_blocks(maps, scan, initial, first, numbers).select(F.col("n").alias("m"), "before")
+        states = before_blocks(maps, scan, initial, 0, numbers).select(F.col("n").alias("m"), "before")
         entered = blocks.join(states, F.col("n") == F.col("m"))
     numbered = f"""aggregate(a, named_struct('t', before, 'out', cast(array() AS array<struct<version: bigint, rows: bigint, `group`: bigint>>)),
       (u, x) -> transform(array(transform(array(u.t), t -> {next_state})[0]), t -> named_struct('t', t,
