@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from changeflow.plans.scan import Scan, before_blocks, span
 
 #: Batch numbers in a block of a job's runs.
-BLOCK = 1_024
+BLOCK = 16_384
 COUNTERS = ("inserts", "updates", "deletes", "appended")
 
 
@@ -44,23 +44,25 @@ def rolling_means(runs: DataFrame, **means: tuple[str, int]) -> DataFrame:
     measures = sorted({measure for measure, _ in means.values()})
     row = F.struct(F.col("seq").cast("bigint").alias("seq"), *[F.col(m).alias(m) for m in measures])
     own = F.floor(F.col("seq") / BLOCK).cast("bigint")
-    placed = runs.withColumn("__g", F.struct("job")).withColumn("__n", own).withColumn("__row", row).withColumn("__own", F.lit(True))
+    placed = runs.withColumn("__n", own).withColumn("__own", F.lit(True))
     first, numbers = span(placed.select("__n"), "__n")
     if back and numbers > 1:
-        tails = placed.groupBy(F.col("__g").alias("g"), F.col("__n").alias("n"))
-        tails = tails.agg(_newest(F.array_sort(F.collect_list("__row")), back).alias("v"))
+        tails = placed.groupBy(F.struct("job").alias("g"), F.col("__n").alias("n"))
+        tails = tails.agg(_newest(F.array_sort(F.collect_list(row)), back).alias("v"))
         kind = tails.schema["v"].dataType.simpleString()
         newest = "slice({0}, greatest(size({0}) - %d, 0) + 1, %d)" % (back, back)
         later = "concat({}, b)"
         scan = Scan(newest.format(later.format("a")), newest.format(later.format("s")), kind)
         entered = before_blocks(tails, scan, f"cast(array() AS {kind})", first, numbers)
-        context = entered.select(F.col("g").alias("__g"), F.col("n").alias("__n"), F.explode("before").alias("__row"))
-        placed = placed.unionByName(context.withColumn("__own", F.lit(False)), allowMissingColumns=True)
-    newest_runs = Window.partitionBy("__g", "__n").orderBy("__row.seq")
+        context = entered.select("g.job", F.col("n").alias("__n"), F.explode("before").alias("r"))
+        seq = F.col("r.seq").cast(runs.schema["seq"].dataType).alias("seq")
+        context = context.select("job", "__n", seq, *[F.col("r")[m].alias(m) for m in measures], F.lit(False).alias("__own"))
+        placed = placed.unionByName(context, allowMissingColumns=True)
+    newest_runs = Window.partitionBy("job", "__n").orderBy("seq")
     for name, (measure, n) in means.items():
-        w, value = newest_runs.rowsBetween(1 - n, 0), F.col("__row")[measure]
-        placed = placed.withColumn(name, F.floor(F.sum(value).over(w) / F.count(value).over(w)).cast("bigint"))
-    return placed.where("__own").drop("__g", "__n", "__row", "__own")
+        w = newest_runs.rowsBetween(1 - n, 0)
+        placed = placed.withColumn(name, F.floor(F.sum(measure).over(w) / F.count(measure).over(w)).cast("bigint"))
+    return placed.where("__own").drop("__n", "__own")
 
 
 def _newest(rows: Column, n: int) -> Column:
