@@ -349,7 +349,6 @@ def merge_arrow(spark, sf):
 # The user's own functions in a transform ---------------------------------------------------------
 
 
-@F.udtf(returnType="half string, amount double", useArrow=True)
 class _Halves:
     """Two rows for a value, the second of which takes the rest."""
 
@@ -360,7 +359,6 @@ class _Halves:
             yield "high", value - low
 
 
-@F.pandas_udf("double")
 def _spread(values: pd.Series) -> float:
     return float(values.max() - values.min())
 
@@ -374,7 +372,7 @@ def transform_udtf(spark, sf):
     """A table function of the user's, called beside each row of the batch."""
     source = fx.feed(spark, sf).where("_change_type <> 'update_preimage'")
     sql = "SELECT event_id, half, amount FROM __src, LATERAL halves(value) WHERE event_type = 'click' -- halves(x)"
-    return sql_transform(source, sql, {"halves": _Halves})
+    return sql_transform(source, sql, {"halves": F.udtf(_Halves, returnType="half string, amount double", useArrow=True)})
 
 
 @query(
@@ -385,7 +383,7 @@ def transform_udaf(spark, sf):
     """A grouped aggregate of the user's."""
     source = fx.feed(spark, sf).where("_change_type <> 'update_preimage'")
     sql = "SELECT user_id, Spread(value) AS spread, 'spread(value)' AS text FROM __src GROUP BY user_id HAVING SPREAD(value) > 40"
-    return sql_transform(source, sql, {"spread": _spread})
+    return sql_transform(source, sql, {"spread": F.pandas_udf(_spread, "double")})
 
 
 def _accepted(make) -> bool:
