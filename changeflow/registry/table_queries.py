@@ -149,6 +149,10 @@ def compact(spark, sf):
     return maintenance.compacted(fx.table(spark, sf, "orders"), size, 1_000_000)
 
 
+#: Rows of one part of the table that is compacted, so that no file is more than a task's work.
+_PART_ROWS = 2_000_000
+
+
 @query(
     "compact_small_files",
     """SELECT l_returnflag AS mode, count(*) AS rows, CAST(sum(l_orderkey) AS BIGINT) AS key_sum,
@@ -156,14 +160,24 @@ def compact(spark, sf):
   CAST(1 AS BIGINT) AS small_after, CAST(0 AS BIGINT) AS small_kept FROM lineitem GROUP BY 1""",
 )
 def compact_small_files(spark, sf):
-    """Each return flag has a large file and four small ones; the small ones become one, the large one stays as it is."""
+    """Each return flag has a large file and four small ones; the small ones become one, the large one stays as it is.
+
+    A large table has several parts of a return flag, all alike: were one not, its flag would come out in two rows.
+    """
     folder = f"{work_dir(spark, 'compact')}/table"
-    rows = fx.table(spark, sf, "lineitem").withColumn("mode", F.col("l_returnflag"))
-    large = F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(100)) >= 4
-    rows.where(large).repartition(1).write.partitionBy("mode").parquet(folder)
+    lines = fx.table(spark, sf, "lineitem")
+    parts = -(-lines.count() // _PART_ROWS) or 1
+    part = F.pmod(F.xxhash64(F.lit("part"), "l_orderkey"), F.lit(parts))
+    rows = lines.withColumn("mode", F.col("l_returnflag")).withColumn("part", part)
+
+    def write(some, mode):  # a file for each return flag of each part
+        dealt = some.repartition(4 * parts, "mode", "part")
+        dealt.write.mode(mode).partitionBy("mode", "part").parquet(folder)
+
+    hundredth = F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(100))
+    write(rows.where(hundredth >= 4), "error")
     for k in range(4):
-        some = rows.where(F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(100)) == k)
-        some.repartition(1).write.mode("append").partitionBy("mode").parquet(folder)
+        write(rows.where(hundredth == k), "append")
     before = partitioned_files(spark, folder)
     before = before.sparkSession.createDataFrame(before.collect(), before.schema)
     target = before.groupBy("partition").agg(F.max("size_bytes").alias("size")).agg(F.min("size")).first()[0]
@@ -172,13 +186,15 @@ def compact_small_files(spark, sf):
         partitioned_files(spark, folder).withColumn("after", F.lit(True)), ["path", "partition", "size_bytes"], "full_outer"
     )
     is_large, was, stays = F.col("size_bytes") >= target, F.col("before").isNotNull(), F.col("after").isNotNull()
-    files = both.groupBy(F.regexp_replace("partition", "^mode=", "").alias("mode")).agg(
+    mode = F.regexp_replace("partition", "^mode=|/part=[0-9]+$", "").alias("mode")
+    files = both.groupBy(mode, "partition").agg(
         F.count_if(is_large & was).alias("large_before"),
         F.count_if(~is_large & was).alias("small_before"),
         F.count_if(is_large & was & stays).alias("large_kept"),
         F.count_if(~was & stays).alias("small_after"),
         F.count_if(~is_large & was & stays).alias("small_kept"),
     )
+    files = files.drop("partition").distinct()
     read = spark.read.parquet(folder).groupBy("mode")
     return read.agg(F.count("*").alias("rows"), F.sum("l_orderkey").alias("key_sum")).join(files, "mode")
 

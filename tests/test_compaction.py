@@ -11,6 +11,7 @@ from changeflow.operators import compaction
 from changeflow.operators.compaction import compact_folder, finish, packed, partitioned_files, size_classes
 from changeflow.operators.diff import diff_by_digest, diff_snapshots
 from changeflow.plans.scan import FAN, Scan, before_blocks
+from changeflow.registry import table_queries
 from changeflow.sinks.files import Folder
 
 
@@ -161,3 +162,17 @@ def test_scans_of_sums_and_of_last_values(spark, n):
         for b, v in own:
             assert by[g, b] == flat[-3:]
             flat += [b, v]
+
+
+def test_a_large_table_is_compacted_in_parts(spark, folder, monkeypatch):
+    rows = spark.range(20_000).selectExpr("id AS l_orderkey", "1 AS l_linenumber", "substr('AN', 1 + int(id % 2), 1) AS l_returnflag")
+    rows.write.parquet(f"{folder}/lineitem.parquet")
+    monkeypatch.setattr(table_queries, "_PART_ROWS", 5_000, raising=False)
+    monkeypatch.setattr(table_queries, "work_dir", lambda spark, name: f"{folder}/{name}")
+    got = {r["mode"]: r.asDict() for r in table_queries.compact_small_files(spark, folder).collect()}
+    for i, mode in enumerate("AN"):
+        counts = {"large_before": 1, "small_before": 4, "large_kept": 1, "small_after": 1, "small_kept": 0}
+        assert got.pop(mode) == {"mode": mode, "rows": 10_000, "key_sum": sum(range(i, 20_000, 2)), **counts}
+    assert not got
+    files = spark.read.parquet(f"{folder}/compact/table").groupBy(F.input_file_name()).count()
+    assert files.agg(F.max("count")).first()[0] < 3_500  # a task's rows don't grow with the table
