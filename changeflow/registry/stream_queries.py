@@ -333,10 +333,15 @@ def feed_source_merge(spark, sf):
     return target.read()
 
 
+#: Events of a file, about, where six files would be larger.
+_FILE_EVENTS = 200_000
+
+
 def _event_files(spark, sf, path):
-    """The event log in a few files of unequal size, in the order of its sequence numbers."""
+    """The event log in a few files of unequal size, more if it is large, in the order of its sequence numbers."""
     log = fx.event_log(spark, sf).withColumn("__part", F.floor(F.sqrt("sequence_number") / 20))
-    sorted_log = log.repartitionByRange(6, "__part").sortWithinPartitions("sequence_number").drop("__part")
+    files = max(6, log.count() // _FILE_EVENTS)
+    sorted_log = log.repartitionByRange(files, "__part").sortWithinPartitions("sequence_number").drop("__part")
     sorted_log.write.option("parquet.block.size", 32_768).parquet(path)
 
 

@@ -8,8 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from changeflow.operators.merge import MergeSpec, merge
+from changeflow.schema import EVENT_SCHEMA
 from changeflow.sinks.files import Folder
 from changeflow.sinks.parquet import AppendFolder, StateFolder
+from changeflow.sources import event_source
 from changeflow.sources.event_source import event_batches, read_event_batch
 from changeflow.sources.feed_source import FeedFolder, cut, read_feed, write_feed
 from changeflow.streaming.micro_batches import EventBatches, FeedTransfer, drain
@@ -232,3 +234,22 @@ def test_event_streams_keep_their_limit_over_restarts(spark, folder):
     run()
     got = sorted((r.batch, r.sequence_number) for r in target.read().collect())
     assert got == [*((i // 6, i) for i in range(14)), *((3 + (i - 14) // 6, i) for i in range(14, 23))]
+
+
+def test_a_planned_read_opens_files_once_and_has_several_tasks(spark, folder, monkeypatch):
+    spark.range(6_000).selectExpr(
+        "'0' AS partition_id", "cast(id AS string) AS offset", "id AS sequence_number", "timestamp_micros(id) AS enqueued_time", "'b' AS body", "cast(NULL AS string) AS properties"
+    ).repartitionByRange(3, "sequence_number").sortWithinPartitions("sequence_number").write.option("parquet.block.size", 1_024).parquet(folder)
+    plan = event_batches(spark, folder, 70, order="name")
+    parts = plan.orderBy("file", "row_group", "first_row").collect()
+    opened = []
+    monkeypatch.setattr(event_source.pq, "ParquetFile", lambda f, real=event_source.pq.ParquetFile, **o: opened.append(f) or real(f, **o))
+    names = [f.name for f in EVENT_SCHEMA]
+    wanted = event_source.to_arrow_schema(EVENT_SCHEMA)
+    rows = [n for _, b in event_source._slices(folder, [tuple(p)[1:] for p in parts], wanted) for n in b.column(names.index("sequence_number")).to_pylist()]
+    assert rows == list(range(6_000)) and len(opened) == 3 < len({(p.file, p.row_group) for p in parts})
+    monkeypatch.undo()
+    monkeypatch.setattr(event_source, "SPLIT_BYTES", 4_096, raising=False)
+    read = read_event_batch(plan, folder).select("batch", "sequence_number", F.spark_partition_id().alias("task")).collect()
+    assert sorted((r.sequence_number, r.batch) for r in read) == [(i, i // 70) for i in range(6_000)]
+    assert len({r.task for r in read}) > 3
