@@ -333,8 +333,8 @@ def feed_source_merge(spark, sf):
     return target.read()
 
 
-#: Events of a file, about, where six files would be larger.
-_FILE_EVENTS = 200_000
+#: Events of a file, about, where six files would be larger, and batches that a stream behind takes at once.
+_FILE_EVENTS, _TOGETHER = 200_000, 400
 
 
 def _event_files(spark, sf, path):
@@ -376,7 +376,7 @@ def event_batch_stream(spark, sf):
     root = work_dir(spark, "event-stream")
     _event_files(spark, sf, f"{root}/log")
     target = AppendFolder(spark, f"{root}/target")
-    drain(EventBatches(spark, f"{root}/log", target, 3_000, "name").start(f"{root}/checkpoint"))
+    drain(EventBatches(spark, f"{root}/log", target, 3_000, "name", _TOGETHER).start(f"{root}/checkpoint"))
     return target.read().groupBy("batch").agg(
         F.count("*").alias("events"),
         F.min("sequence_number").alias("first_sequence"),

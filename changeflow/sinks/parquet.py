@@ -32,6 +32,12 @@ class AppendFolder:
         rows = feed_ops.strip_metadata(feed_ops.without_tombstones(changes))
         rows.write.mode("overwrite").parquet(f"{self.path}/{BATCH}={number}")
 
+    def apply_batches(self, changes: DataFrame) -> None:
+        """Rows of several batches by their number in ``batch``; the folders of other batches stay as they are."""
+        rows = feed_ops.strip_metadata(feed_ops.without_tombstones(changes))
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(BATCH).parquet(self.path)
+
     def read(self) -> DataFrame:
         return self.spark.read.option("mergeSchema", "true").parquet(self.path)
 

@@ -90,9 +90,16 @@ class EventBatches:
     target: Target
     max_events: int = MAX_EVENTS
     order: str = "time"
+    together: int = 1
 
     def start(self, checkpoint: str, interval: str = "0 seconds") -> StreamingQuery:
-        """A query that goes on until it is stopped; no micro-batch has more than ``max_events`` events."""
+        """A query that goes on until it is stopped; no batch has more than ``max_events`` events.
+
+        A micro-batch is one batch, or up to ``together`` of a backlog. They go to the target's
+        ``apply_batches`` with their numbers in ``batch``, the same ones if the micro-batch comes again.
+        """
         guard_checkpoint(self.spark, checkpoint, self.source, self.target.path)
-        stream = stream_event_batches(self.spark, self.source, self.max_events, self.order, checkpoint)
-        return _run(stream, checkpoint, interval, self.target.apply)
+        stream = stream_event_batches(self.spark, self.source, self.max_events, self.order, checkpoint, self.together)
+        if self.together == 1:
+            return _run(stream, checkpoint, interval, self.target.apply)
+        return _run(stream, checkpoint, interval, lambda batch, _: self.target.apply_batches(batch))

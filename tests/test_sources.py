@@ -253,3 +253,18 @@ def test_a_planned_read_opens_files_once_and_has_several_tasks(spark, folder, mo
     read = read_event_batch(plan, folder).select("batch", "sequence_number", F.spark_partition_id().alias("task")).collect()
     assert sorted((r.sequence_number, r.batch) for r in read) == [(i, i // 70) for i in range(6_000)]
     assert len({r.task for r in read}) > 3
+
+
+def test_a_stream_behind_takes_several_batches_at_once(spark, folder):
+    events(spark, f"{folder}/log", [10, 9, 16])
+    target = AppendFolder(spark, f"{folder}/t")
+    run = lambda together=3, c="c": drain(EventBatches(spark, f"{folder}/log", target, 4, together=together).start(f"{folder}/{c}"))
+    run()
+    events(spark, f"{folder}/log", [9, 2], first=35)
+    run()
+    got = sorted((r.batch, r.sequence_number) for r in target.read().collect())
+    assert got == [*((i // 4, i) for i in range(35)), *((9 + (i - 35) // 4, i) for i in range(35, 46))]
+    assert len(glob.glob(f"{folder}/c/commits/[0-9]*")) == 3 + 1
+    assert all(len(glob.glob(f"{folder}/t/batch={b}")) == 1 for b in range(12))
+    with pytest.raises(Exception, match="numbered"):  # the micro-batches of this stream have other numbers
+        run(together=1)
