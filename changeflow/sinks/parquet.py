@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 from changeflow.operators import feed as feed_ops
 from changeflow.operators.merge import MergeSpec, empty_target, merge_prepared, prepare_source, with_key_bucket
 from changeflow.sinks.files import Folder
+from changeflow.sinks.table import value_bytes
 
 BATCH, BUCKET = "batch", "bucket"
+#: A batch is broadcast up to so many bytes of values: the driver gets them from one batch after another.
+BROADCAST_BYTES = 8 << 20
 
 
 class AppendFolder:
@@ -75,16 +78,17 @@ class StateFolder:
         prepared = with_key_bucket(prepare_source(changes, self.spec), self.spec.keys, self.buckets, BUCKET, kinds)
         prepared.write.mode("overwrite").parquet(f"{staged.path}/{number}")
         batch = self.spark.read.schema(prepared.schema).parquet(f"{staged.path}/{number}")
-        touched = sorted(r[0] for r in batch.select(BUCKET).distinct().collect())  # one row a bucket at most
-        if touched:
-            self._merge(batch.drop(BUCKET), touched)
+        sizes = batch.groupBy(BUCKET).agg(value_bytes(batch).alias("bytes")).collect()  # one row a bucket at most
+        if sizes:
+            small = sum(r["bytes"] for r in sizes) <= BROADCAST_BYTES
+            self._merge(batch.drop(BUCKET), sorted(r[BUCKET] for r in sizes), small)
         staged.remove(str(number))
 
-    def _merge(self, batch: DataFrame, touched: list[int]) -> None:
+    def _merge(self, batch: DataFrame, touched: list[int], small: bool) -> None:
         target = self._stored(touched)
         target = empty_target(batch) if target is None else target
         ready = replace(self.spec, transform_sql=None, transform_arrow=None)
-        rows = with_key_bucket(merge_prepared(target, batch, ready), self.spec.keys, self.buckets, BUCKET)
+        rows = with_key_bucket(merge_prepared(target, batch, ready, small), self.spec.keys, self.buckets, BUCKET)
         # A large bucket is written by several tasks, a small one by one.
         gathered = rows.hint("rebalance", BUCKET)
         # Written beside the table first: what a bucket is overwritten with must not depend on reading it.

@@ -7,8 +7,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from changeflow.operators.merge import MergeSpec, merge
+from changeflow.operators.merge import MergeSpec, merge, merge_prepared
 from changeflow.schema import EVENT_SCHEMA
+from changeflow.sinks import parquet
 from changeflow.sinks.files import Folder
 from changeflow.sinks.parquet import AppendFolder, StateFolder
 from changeflow.sources import event_source
@@ -268,3 +269,21 @@ def test_a_stream_behind_takes_several_batches_at_once(spark, folder):
     assert all(len(glob.glob(f"{folder}/t/batch={b}")) == 1 for b in range(12))
     with pytest.raises(Exception, match="numbered"):  # the micro-batches of this stream have other numbers
         run(together=1)
+
+
+def test_a_batch_is_broadcast_by_its_measured_size(spark, folder, monkeypatch):
+    plans = []
+
+    def spied(*args):
+        merged = merge_prepared(*args)
+        plans.append(merged._jdf.queryExecution().executedPlan().toString())
+        return merged
+
+    monkeypatch.setattr(parquet, "merge_prepared", spied)
+    target = StateFolder(spark, folder, MergeSpec(("k",)), 4)
+    target.apply(spark.range(2_000).selectExpr("id AS k", "repeat('a', 40) AS v"))
+    for limit in (8 << 20, 10_000):
+        monkeypatch.setattr(parquet, "BROADCAST_BYTES", limit, raising=False)
+        target.apply(spark.range(500, 2_500).selectExpr("id AS k", "repeat('b', 40) AS v"))
+    assert "BroadcastHashJoin" in plans[1] and "BroadcastHashJoin" not in plans[2]
+    assert target.read().groupBy("v").count().where("v LIKE 'b%'").first()["count"] == 2_000 and target.read().count() == 2_500
