@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from changeflow.llm import textbytes as tb
-from changeflow.llm.components import components, stored
+from changeflow.llm.components import components, gathered, stored
 from changeflow.session import work_dir
 
 SHINGLE = 5
@@ -154,9 +154,14 @@ def sketches(docs: DataFrame) -> DataFrame:
     )
 
 
+def _light(rows: DataFrame, n: int) -> DataFrame:
+    """``rows``, at most ``n``, to be broadcast if that is few; else Spark shuffles both sides."""
+    return F.broadcast(rows) if n <= BROADCAST_IDS else rows
+
+
 def _few(ids: DataFrame) -> DataFrame:
-    """``ids``, to be broadcast if a count shows that they are few; else Spark shuffles both sides."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    """``ids``, to be broadcast if a count shows that they are few."""
+    return _light(ids, ids.count())
 
 
 def _blank(text: Column) -> Column:
@@ -205,7 +210,7 @@ def _likely(pairs: DataFrame, members: DataFrame) -> DataFrame:
     left = m.toDF("a", "n_a", "sig_a")
     right = m.toDF("b", "n_b", "sig_b")
     met = pairs.join(left, "a").join(right, "b").where(_alike_size(F.col("n_a"), F.col("n_b")))
-    return met.where(_equal_minima(F.col("sig_a"), F.col("sig_b")) >= LEAST_EQUAL).select("a", "b", "n_a").distinct()
+    return met.where(_equal_minima(F.col("sig_a"), F.col("sig_b")) >= LEAST_EQUAL).select("a", "b", "n_a")
 
 
 def _overlap(x: np.ndarray, y: np.ndarray, less: int = 0) -> bool:
@@ -225,9 +230,10 @@ def _shortened(sets: DataFrame) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b`` of the pairs that overlap enough, by full sets. Many partners of one ``a`` are split."""
-    load = pairs.groupBy("a").agg((F.count("*") * F.max("n_a") * 8).alias("bytes"))
-    chunks = load.select("a", F.ceil(F.col("bytes") / VERIFY_BYTES).cast("int").alias("chunks"))
+    """``a, b`` of the pairs, which are distinct, that overlap enough, by full sets. Many partners of one ``a`` are split."""
+    n = pairs.count()
+    load = gathered(pairs, n).groupBy("a").agg((F.count("*") * F.max("n_a") * 8).alias("bytes"))
+    chunks = _light(load.select("a", F.ceil(F.col("bytes") / VERIFY_BYTES).cast("int").alias("chunks")), n)
     right = (
         pairs.select("a", "b")
         .join(chunks, "a")
@@ -257,18 +263,19 @@ def _leaders(state: DataFrame, turn: int) -> DataFrame:
     return mixed.select("key", F.col("best.rep").alias("leader"), F.col("best.component").alias("lead"), "n")
 
 
-def _rest_pairs(state: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+def _rest_pairs(state: DataFrame, members: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
     """Pairs of all documents outside their bucket's leading component with its other components.
 
     Both sides come in blocks of bounded bytes, with sets of half the size. A pair is compared in the first
     band that it shares, inside the task, and no further once the document is linked with that component
     beyond doubt. Only pairs come out that are links but for collisions of short hashes.
     """
-    full = members.select("rep", "n_shingles", "sig").join(_shortened(sets), "rep")
-    mixed = state.join(_leaders(state, TURNS), "key").join(full, "rep")
-    load = mixed.groupBy("key").agg(F.sum(F.col("n_shingles") * 4 + 4 * HASHES).alias("bytes"))
-    total = load.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    mixed = mixed.join(load, "key").withColumn("blocks", F.ceil(F.col("bytes") / VERIFY_BYTES).cast("int"))
+    mixed = state.join(_leaders(state, TURNS).drop("n"), "key").join(members.select("rep", "n_shingles"), "rep")
+    mixed = stored(mixed, f"{folder}/mixed")  # without sets: what the buckets weigh is asked before they are joined
+    load = stored(mixed.groupBy("key").agg(F.sum(F.col("n_shingles") * 4 + 4 * HASHES).alias("bytes")), f"{folder}/load")
+    total, n = load.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
+    mixed = mixed.join(_light(load, n), "key").withColumn("blocks", F.ceil(F.col("bytes") / VERIFY_BYTES).cast("int"))
+    mixed = mixed.join(members.select("rep", "sig").join(_shortened(sets), "rep"), "rep")
     # Small buckets share a task, large ones have several of their own.
     together = F.pmod(F.xxhash64("key"), F.lit(-(-total // VERIFY_BYTES) or 1))
     mixed = mixed.withColumn("task", F.when(F.col("blocks") == 1, together).otherwise(F.col("key")))
@@ -326,34 +333,38 @@ def linked(docs: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
     found = spark.createDataFrame([], "rep long, component long")
     degree = spark.createDataFrame([], "rep long, degree long")
     compared = spark.createDataFrame([], "a long, b long")
-    links = compared
+    links, n_compared, n_links = compared, 0, 0
     for turn in range(TURNS + 1):
+        # Every link adds one row to ``found`` and two to ``degree`` at most.
         state = (
-            buckets.join(found, "rep", "left")
-            .join(degree, "rep", "left")
+            buckets.join(_light(found, n_links), "rep", "left")
+            .join(_light(degree, 2 * n_links), "rep", "left")
             .withColumn("component", F.coalesce("component", "rep"))
             .withColumn("degree", F.coalesce("degree", F.lit(0)))
         )
         if turn < TURNS:
             led = state.join(_leaders(state, turn), "key").where(F.col("component") != F.col("lead"))
             led = led.select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct()
-            pairs = stored(led.join(compared, ["a", "b"], "left_anti"), f"{folder}/pairs-{turn}")
-            if pairs.isEmpty():
+            pairs = stored(led.join(_light(compared, n_compared), ["a", "b"], "left_anti"), f"{folder}/pairs-{turn}")
+            n_pairs = pairs.count()
+            if not n_pairs:
                 if _leaders(state, turn).isEmpty():
                     break
                 continue  # stable leaders have seen all they can, but the other members not each other
-            compared = compared.unionByName(pairs)
+            compared, n_compared = compared.unionByName(pairs), n_compared + n_pairs
             likely = stored(_likely(pairs, members), f"{folder}/likely-{turn}")
         else:
-            likely = stored(_rest_pairs(state, members, sets), f"{folder}/likely-{turn}")
-        new = stored(_verify(likely, sets).distinct(), f"{folder}/links-{turn}")
-        if new.isEmpty():
+            likely = stored(_rest_pairs(state, members, sets, folder), f"{folder}/likely-{turn}")
+        new = stored(_verify(likely, sets), f"{folder}/links-{turn}")
+        n_new = new.count()
+        if not n_new:
             continue
-        links = links.unionByName(new)
-        ends = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep")))
-        degree = ends.groupBy("rep").agg(F.count("*").alias("degree"))
+        links, n_links = links.unionByName(new), n_links + n_new
+        if turn < TURNS:
+            ends = gathered(links, n_links).select(F.explode(F.array("a", "b")).alias("rep"))
+            degree = stored(ends.groupBy("rep").agg(F.count("*").alias("degree")), f"{folder}/degree-{turn}")
         edges = found.toDF("u", "v").unionByName(new.toDF("u", "v"))
-        found = components(edges, f"{folder}/components-{turn}").toDF("rep", "component")
+        found = components(edges, f"{folder}/components-{turn}", n_links + n_new).toDF("rep", "component")
     return found
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import edges
 from changeflow.llm import learned_partitions as lp
+from changeflow.llm import components as components_of
 from changeflow.llm import minhash
 from changeflow.llm.components import components
 from edges import SMALL
@@ -250,3 +251,21 @@ def test_one_row_of_each_group_of_texts_stays(spark):
     assert all(r.row == [r.text] and r.f1 == {"k": r.doc_id} for r in got)
     again = minhash.keep_one_of_each(df.repartition(5)).collect()
     assert sorted(map(repr, again)) == sorted(map(repr, got))
+
+
+@pytest.mark.parametrize("most", [0, None, 10**6])
+def test_few_edges_are_not_shuffled(spark, folder, monkeypatch, most):
+    if most == 0:
+        monkeypatch.setattr(components_of, "ONE_TASK", 0, raising=False)
+    r, n = random.Random(9), 300
+    pairs = [(r.randrange(n), r.randrange(n)) for _ in range(220)] + [(None, 1), (2, None)] + [(n + i, n + i + 1) for i in range(40)]
+    edges = spark.createDataFrame(pairs, "u long, v long").repartition(4)
+    root = {i: i for i in range(n + 41)}
+    for _ in range(n):
+        for a, b in pairs:
+            if a is not None and b is not None:
+                root[a] = root[b] = min(root[a], root[b])
+    got = {r.u: r.v for r in components(edges, f"{folder}/c", most or None).collect()}
+    assert got == {u: v for u, v in root.items() if u != v}
+    plan = components_of._large_star(spark.read.parquet(f"{folder}/c/0"), 300)._jdf.queryExecution().executedPlan().toString()
+    assert ("Exchange" in plan) == (most == 0)
