@@ -6,7 +6,8 @@ until none is left. Characters without a piece become their bytes.
 
 Merging needs no look beyond places that no piece spans. Loading the vocabulary proves such places:
 between a character and a following U+2581 (if no piece holds the two in a row), around characters
-that no longer piece holds, and between any two characters that stand side by side in no piece. So a
+that no longer piece holds, behind a word of letters before an ASCII mark (if no piece holds a letter
+and such a mark in a row), and between any two characters that stand side by side in no piece. So a
 text is cut into pre-tokens, and each distinct pre-token is merged once and remembered.
 
 New pre-tokens of a batch are merged together: each has its agenda as a row of a matrix, the ranks of
@@ -19,17 +20,20 @@ from __future__ import annotations
 import heapq
 import re
 from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 
 SPACE = "▁"
-#: Pre-tokens remembered by one worker (about 100 MB); beyond that it forgets all and begins anew.
-MEMORY = 400_000
+#: Pre-tokens remembered by one worker (about 150 MB); beyond that it forgets all and begins anew.
+MEMORY = 1_000_000
 #: Longer pre-tokens are not remembered, whatever their number.
 MEMORY_CHARS = 64
 #: Longest pre-token that is merged as a row, and rows merged together.
 ROW_CHARS, ROWS = 40, 8192
 NONE = np.int32(-1)
+#: Letters of words, and the marks and digits that may follow them, as regular expressions have them.
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ɏЀ-ӿ", "!-@\\[-`{-~"
 
 
 class PieceVocabulary:
@@ -81,9 +85,9 @@ class PieceVocabulary:
         self.char_symbol[[ord(c) for c in chars]] = [symbol[c] for c in chars]
         order = {r: i for i, r in enumerate(sorted(set(self.rank.values())))}
         self.symbol_rank = np.full(len(self.surface_size) + 1, len(order), np.int32)
+        self.symbol_rank[list(self.ids.values())] = [order[self.rank[piece]] for piece in self.ids]
         pairs = {}
         for piece, i in self.ids.items():
-            self.symbol_rank[i] = order[self.rank[piece]]
             for k in range(1, len(piece)):
                 a, b = symbol.get(piece[:k]), symbol.get(piece[k:])
                 if a is not None and b is not None:
@@ -108,10 +112,20 @@ class PieceVocabulary:
         """The piece that each pair of symbols forms, or NONE."""
         keys = (a.astype(np.int64) << 20 | b.astype(np.int64)).view(np.uint64)
         at = self._slot(keys)
-        out = np.where(self._keys[at] == keys, self._pieces[at], NONE)
+        held, out = self._keys[at], self._pieces[at]
+        other = (held != keys) | (a < 0) | (b < 0)
+        # Few pairs lie behind another one, and none behind an empty slot.
+        rest = np.nonzero(other & (out != NONE) & (a >= 0) & (b >= 0))
+        out[other] = NONE
+        keys, at = keys[rest], at[rest]
         for probe in range(1, self._probes):
-            out = np.where(self._keys[at + probe] == keys, self._pieces[at + probe], out)
-        return np.where((a >= 0) & (b >= 0), out, NONE)
+            if not len(keys):
+                break
+            found = self._keys[at + probe] == keys
+            out[tuple(r[found] for r in rest)] = self._pieces[at + probe][found]
+            left = ~found & (self._pieces[at + probe] != NONE)
+            keys, at, rest = keys[left], at[left], tuple(r[left] for r in rest)
+        return out
 
     def merge_all(self, pre_tokens: list[str]) -> list[bytes]:
         """Ids of each pre-token as little-endian unsigned 32-bit integers."""
@@ -175,6 +189,9 @@ class PieceVocabulary:
         if any(pair[1] == SPACE and pair[0] != SPACE for pair in self.inner):
             return f"[^{alone}]+|[{alone}]" if alone else "(?s:.+)"
         rest = f"[^{SPACE}{alone}]+"
+        letter, mark = re.compile(f"[{LETTERS}]").match, re.compile(f"[{MARKS}]").match
+        if not any(letter(first) and mark(second) for first, second in self.inner):
+            rest = f"(?:[{LETTERS}]++(?![^{MARKS}{SPACE}{alone}])|{rest})"
         return f"{SPACE}*{rest}|{SPACE}+" + (f"|[{alone}]" if alone else "")
 
     def prepare(self, text: str) -> str:
@@ -248,27 +265,65 @@ def vocabulary(path: str) -> PieceVocabulary:
     return PieceVocabulary(path)
 
 
+def _room(values: np.ndarray, size: int) -> np.ndarray:
+    """``values`` with room for ``size``, doubled if need be."""
+    return values if size <= len(values) else np.concatenate((values, np.zeros(max(size, 2 * len(values)) - len(values), values.dtype)))
+
+
+class _Numbers(dict):
+    """Numbers for pre-tokens, given as they are first asked for; ``new`` lists those without ids yet."""
+
+    def __init__(self):
+        self.given, self.new = 0, []
+
+    def __missing__(self, pre_token: str) -> int:
+        n = self[pre_token] = self.given
+        self.given += 1
+        self.new.append(pre_token)
+        return n
+
+
 class PieceEncoder:
     """Encodes and decodes whole texts; one for each worker."""
 
     def __init__(self, path: str):
         self.vocabulary = vocabulary(path)
-        self.known: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.ids = _Numbers(), np.zeros(1 << 16, "<u4")
+        self.at = np.zeros(1 << 16, np.int64)  # where each number's ids begin, and where the last ends
+
+    def _learn(self) -> None:
+        """Ids of the new pre-tokens."""
+        known, new = self.known, self.known.new
+        merged = self.vocabulary.merge_all(new)
+        first, last = known.given - len(new), known.given
+        ids = np.frombuffer(b"".join(merged), "<u4")
+        begin = self.at[first]
+        self.at = _room(self.at, last + 1)
+        self.ids = _room(self.ids, begin + len(ids))
+        self.at[first + 1 : last + 1] = begin + np.cumsum(np.fromiter(map(len, merged), np.int64, len(new)) // 4)
+        self.ids[begin : begin + len(ids)] = ids
+        for p in new:
+            if len(p) > MEMORY_CHARS:
+                del known[p]
+        known.new = []
 
     def encode_batch(self, texts: list[str], ends: bool = True) -> list[np.ndarray]:
         """Ids of each text, with begin and end ids if ``ends``."""
         v = self.vocabulary
+        if len(self.known) > MEMORY or len(self.ids) > 16 * MEMORY:
+            self._forget()
         cut = [v.pre_tokens(v.prepare(t)) for t in texts]
-        begin, end = (np.array([i], "<u4").tobytes() if ends else b"" for i in (v.begin_id, v.end_id))
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        new = list(set().union(*cut).difference(self.known))
-        self.known.update(zip(new, v.merge_all(new), strict=True))
-        ids = [np.frombuffer(begin + b"".join(map(self.known.__getitem__, c)) + end, "<u4") for c in cut]
-        for p in new:
-            if len(p) > MEMORY_CHARS:
-                del self.known[p]
-        return ids
+        number = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
+        self._learn()
+        begin, end = self.at[number], self.at[number + 1]
+        to = np.cumsum(end - begin)
+        ids = self.ids[np.arange(to[-1] if len(to) else 0) + np.repeat(end - to, end - begin)]
+        stops = np.concatenate((np.zeros(1, np.int64), to))[np.cumsum([0, *map(len, cut)])].tolist()
+        lead, tail = (np.array([i] if ends else [], "<u4") for i in (v.begin_id, v.end_id))
+        return [np.concatenate((lead, ids[a:b], tail)) for a, b in pairwise(stops)]
 
     def encode(self, text: str, ends: bool = True) -> np.ndarray:
         return self.encode_batch([text], ends)[0]

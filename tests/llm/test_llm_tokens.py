@@ -162,3 +162,15 @@ def test_packing_is_near_its_bound(spark, monkeypatch):
     r = packing.report(packed).first()
     assert check_packed(packed.collect(), rows, 1024) == r.sequences
     assert r.bound <= r.sequences <= 1.02 * r.bound + 2
+
+
+def test_words_are_told_from_the_marks_behind_them(monkeypatch):
+    v = vocabulary(PIECES)
+    assert v.pre_tokens(v.prepare("one, two!!9 drei%% д.é")) == ["▁one", ",", "▁two", "!!9", "▁drei", "%%", "▁д", ".é"]
+    own, lib, r = encoder.__wrapped__(PIECES), library(PIECES), random.Random(4)
+    words = ["the", "Wort", "été", "слово", "日本", "x1", ",", "...", "%&", "\n", "  ", "́", "’s", "'s", "»", "0", "▁", "a" * 70]
+    monkeypatch.setattr("changeflow.llm.piece_bpe.MEMORY", 50)  # it forgets between batches
+    for _ in range(60):
+        texts = ["".join(r.choices(words, k=r.randrange(30))) for _ in range(r.randrange(6))]
+        for text, ids in zip(texts, own.encode_batch(texts), strict=True):
+            assert ids.tolist() == lib.encode(text, add_bos=True, add_eos=True)
